@@ -142,7 +142,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
             if batch.num_rows and writer is None:
                 fs, path = file_system(file)
                 fs.create_dir(path.rpartition("/")[0])
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
                 writer = ShardWriter(out, bits)
             for doc, ids in zip(batch["doc_id"].to_pylist(), tokens.encoder(tokenizer).encode(t.as_py() for t in batch["text"])):
                 writer.add(doc, ids + end)
