@@ -8,6 +8,13 @@ replicated to all anchors within 2 (16 or fewer a half), and members of an ancho
 those whose home it is, on all 64 bits.  An anchor gives a spanning forest of its links, not the
 links themselves, so groups of near copies don't grow quadratically on the way out.
 
+`near_copies` finds documents by their similarity instead: Jaccard >= 0.8 of five-word shingles.  Each
+document has WORDS fingerprints of 64 bits over word pairs; of texts that similar some half of these
+differs in at most 1 bit with high probability, so the same anchors bring them together.  An anchor
+compares the next fingerprint too and gives a minimum spanning forest of what is close, whose links are
+then checked exactly on whole texts.  Cutting a minimum spanning forest leaves the components that all
+close pairs would have, as far as fingerprints order pairs as similarity does.
+
 Equal fingerprints are one point, so exact copies cost nothing beyond the first.  Comparison memory
 is bounded by blocks; the homes of one anchor (distinct fingerprints equal in 30 of 31 bits) are
 held together.
@@ -25,11 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import row_digest, without, written
+from llm.common import row_digest, small_side, without, written
 from llm.components import components
 
 SEED = 42
 LIMIT = 3
+#: Similarity search: fingerprints of a document and words of their shingles, bits of 64 in which close documents may differ, and the measure.
+WORDS, SKETCH_WORDS, CLOSE_BITS, SIMILARITY, SHINGLE_WORDS = 6, 2, 18, 0.8, 5
 #: Bytes of text cut into words at a time.
 RUN_BYTES = 4 << 20
 #: Rows of a comparison block.
@@ -54,16 +63,9 @@ def word_runs(data: bytes, k: int):
 
 def fingerprint(text: str | None, k: int = 3) -> int:
     """64 bits: bit i is 1 if it is set in over half of the shingles' XXH64, repeats counted; 0 without words."""
-    from xxhash import xxh64_intdigest as h64
-
     total, counts = 0, np.zeros(64, np.uint64)
     for words in word_runs((text or "").encode().lower(), k):
-        if not words:
-            continue
-        joined = b" ".join(words)
-        ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = np.array([h64(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :] or ends[-1:])], "<u8")
+        hashes = _shingle_hashes(words, k)
         for i in range(0, len(hashes), 1 << 16):
             counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
         total += len(hashes)
@@ -177,6 +179,144 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return dealt.mapInArrow(_compare(limit), "a bigint, b bigint").distinct()
 
 
+def _shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 of the k-word shingles of a run; of fewer words, of all of them."""
+    from xxhash import xxh64_intdigest as h64
+
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
+    starts = [0, *(e + 1 for e in ends)]
+    return np.array([h64(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :] or ends[-1:])], "<u8")
+
+
+def sketch(text: str | None, words: int = WORDS, k: int = SKETCH_WORDS) -> np.ndarray:
+    """`words` fingerprints of 64 bits: majority bits of as many mixtures of each shingle's hash."""
+    total, counts = 0, np.zeros((words, 64), np.uint64)
+    for run in word_runs((text or "").encode().lower(), k):
+        hashes = _shingle_hashes(run, k)
+        total += len(hashes)
+        for w in range(words):
+            mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            for i in range(0, len(mixed), 1 << 16):
+                counts[w] += np.unpackbits(mixed[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _replicate_sketch(batches):
+    """The anchors of both halves of each fingerprint, with the fingerprint after it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        node, n = batch["node"].to_numpy(), len(batch["node"])
+        wide = np.frombuffer(b"".join(batch["wide"].to_pylist()), "<u8").reshape(n, -1)
+        count = wide.shape[1]
+        for w in range(count):
+            other = wide[:, (w + 1) % count].view(np.int64)
+            for side, half in enumerate((wide[:, w] & np.uint64(0xFFFFFFFF), wide[:, w] >> np.uint64(32))):
+                rows, found, homes = anchors(half)
+                for i in range(0, len(rows), 1 << 16):
+                    r = rows[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)] | ((2 * w + side) << 32)), pa.array(homes[i : i + (1 << 16)]), pa.array(node[r]), pa.array(other[r])], names=["anchor", "home", "node", "bits"])
+
+
+def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the places of bits, links being at most `limit` bits long; memory follows the number of places."""
+    out, n = [], len(bits)
+    left = np.arange(n)
+    best, via = np.full(n, 255), np.full(n, -1)
+    while len(left):
+        j = int(best[left].argmin())
+        i = int(left[j])
+        if best[i] <= limit:
+            out.append((int(via[i]), i))
+        left = np.delete(left, j)
+        d = np.bitwise_count(bits[left] ^ bits[i])
+        closer = d < best[left]
+        best[left[closer]], via[left[closer]] = d[closer], i
+    return out
+
+
+#: Pairs of an anchor's homes and members that are compared at once; larger anchors go one by one.
+SMALL_PAIRS = 4096
+
+
+def _compare_sketch(batches):
+    import pyarrow as pa
+
+    def close(key, home, node, bits):
+        edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+        sizes, homes = np.diff(edges), np.add.reduceat(home.astype(np.int64), edges[:-1])
+        many = sizes * homes > SMALL_PAIRS
+        out = [np.zeros((0, 2), np.int64)]
+        # small anchors together: every home against every member of its anchor
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(home & ~many[group] & (sizes[group] > 1))
+        for part in np.array_split(at, max(1, int(sizes[group[at]].sum()) >> 20)):
+            reach = sizes[group[part]]
+            a = np.repeat(part, reach)
+            b = np.repeat(edges[group[part]], reach) + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
+            near = (np.bitwise_count(bits[a] ^ bits[b]) <= CLOSE_BITS) & (node[a] != node[b])
+            hit = np.unique(group[a[near]])
+            for g in hit:
+                out.append(_forest_of(node, bits, edges[g], edges[g + 1]))
+        for g in np.flatnonzero(many & (sizes > 1)):
+            out.append(_forest_of(node, bits, edges[g], edges[g + 1]))
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs.min(axis=1))), pa.array(np.ascontiguousarray(pairs.max(axis=1)))], names=["a", "b"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append([batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "home", "node", "bits")])
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield close(*(x[:cut] for x in whole))
+            held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
+    if rows:
+        yield close(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _forest_of(node, bits, a, b):
+    own, first = np.unique(node[a:b], return_index=True)
+    pairs = spanning(bits[a:b][first].view(np.uint64), CLOSE_BITS)
+    return own[np.array(pairs, np.int64).reshape(-1, 2)]
+
+
+def near_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(a, b): links between nodes of rows (node, id, digest, wide) whose texts' k-word shingles are that similar; they connect what all such links connect, but for pairs that fingerprints miss."""
+    points = written(rows.groupBy("wide").agg(F.min("node").alias("node")), "simhash-points")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // 6_000))
+    close = points.mapInArrow(_replicate_sketch, "anchor bigint, home boolean, node bigint, bits bigint").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketch, "a bigint, b bigint")
+    same = rows.join(points.withColumnRenamed("node", "a"), "wide").where("a < node").select("a", F.col("node").alias("b"))
+    pairs = written(close.distinct().union(same), "simhash-close")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(rows.join(nodes, "node").select("node", "id", "digest"), "simhash-wanted")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(r, k) for r in word_runs((t.as_py() or "").encode().lower(), k))])).view(np.int64) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("i"), row_digest(F.col(text_col)).alias("d"), F.col(text_col).alias("text"))
+    side = small_side(wanted.groupBy("id", "digest").agg(F.min("node").alias("first")), 64)
+    found = texts.join(side, texts["i"].eqNullSafe(side["id"]) & (texts["d"] == side["digest"])).select(F.col("first").alias("node"), "text").dropDuplicates(["node"])
+    first = wanted.join(wanted.groupBy("id", "digest").agg(F.min("node").alias("first")).withColumnsRenamed({"id": "i", "digest": "d"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("node", "first")
+    sets = written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "simhash-sets")
+    every = first.join(sets.withColumnRenamed("node", "first"), "first").select("node", "shingles")
+    left, right = (every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    # |A and B| / |A or B| >= similarity, without dividing
+    return pairs.join(left, "a").join(right, "b").where(both * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b")
+
+
 def _components(rows: DataFrame, limit: int) -> DataFrame:
     """rows (id, digest, fp) with component_id."""
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-prints")
@@ -187,16 +327,47 @@ def _components(rows: DataFrame, limit: int) -> DataFrame:
     return rows.join(written(own, "simhash-components"), "fp")
 
 
+def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: int, limit: int, similarity: float) -> DataFrame:
+    """(id, digest, fp, component_id) of every row, by fingerprint links and links by similarity together."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t.as_py() for t in batch["text"]]
+            prints = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([sketch(t).tobytes() for t in texts], pa.binary())], names=["id", "digest", "fp", "wide"])
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, wide binary").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    own = written(rows.groupBy("fp").agg(F.min("node").alias("first")), "simhash-firsts")
+    by_print = links(own.select("fp"), limit)
+    a, b = (own.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in ("a", "b"))
+    joined = by_print.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = rows.join(own, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    roots = written(components(joined.union(equal).union(near_copies(rows, docs, id_col, text_col, similarity))), "simhash-roots")
+    placed = written(rows.select("node", "id", "digest", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed")
+    named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return placed.join(named, "root").select("id", "digest", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = written(fingerprints(docs, id_col, text_col, k), "simhash-rows")
     return _components(rows, limit).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, limit: int = LIMIT) -> DataFrame:
-    """docs, all columns, with one row of each component: of those with its smallest id, the one with the smallest digest."""
-    rows = written(_components(written(fingerprints(docs, id_col, text_col, k), "simhash-rows"), limit), "simhash-labelled")
-    keepers = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("keep_id"), "fp", "digest").agg(F.count("*").alias("n"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, limit: int = LIMIT, similarity: float | None = None) -> DataFrame:
+    """docs, all columns, with one row of each component: of those with its smallest id, the one with the smallest digest.
+
+    Components are those of fingerprint links; with a similarity, also of links by that similarity.
+    """
+    if similarity is None:
+        rows = _components(written(fingerprints(docs, id_col, text_col, k), "simhash-rows"), limit)
+    else:
+        rows = _components_by_similarity(docs, id_col, text_col, k, limit, similarity)
+    rows = written(rows, "simhash-labelled")
+    keepers = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("keep_id"), "digest").agg(F.count("*").alias("n"))
     keepers = keepers.groupBy("keep_id").agg(F.min(F.struct("digest", "n")).alias("keep"))
     shared = rows.groupBy("component_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     shared = written(shared.join(keepers, shared["component_id"].eqNullSafe(keepers["keep_id"])).select(F.col("component_id").alias("cid"), "keep.digest", "keep.n"), "simhash-keepers")

@@ -364,3 +364,35 @@ def test_chat(spark):
     assert [r["turn"] for r in out if r["conv_id"] == 1] == [0, 1, 3, 4, 2, 2, 5]
     assert next(r["chat"] for r in out if (r["conv_id"], r["turn"]) == (1, 1)) == "<|assistant|>\nFine."
     assert chat.format_chats(none(df)).count() == 0
+
+
+def test_similarity_dedup(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(800)]
+    texts = [[r.choice(vocabulary) for _ in range(r.randint(100, 400))] for _ in range(60)]
+    near = []
+    for t in texts[:30]:
+        copy = list(t)
+        for _ in range(max(1, len(t) // 70)):
+            copy[r.randrange(len(t))] = "edited"
+        near.append(copy)
+    half = [t[: len(t) // 2] + [r.choice(vocabulary) for _ in range(len(t) // 2)] for t in texts[:20]]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts + near + half)] + [(500, " ".join(texts[40]) + "\n"), (501, "tiny text"), (502, "tiny text too"), (503, None), (504, "")]
+    df = spark.createDataFrame([(*d, 7) for d in data], "doc_id bigint, text string, node int")
+    left = {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()}
+    shingles = {i: {tuple((t or "").lower().split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in data}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and alike(a, b)]
+    root = union_find(shingles, pairs)
+    lost = left - set(root.values())
+    assert set(root.values()) <= left | {502} and len(lost) <= 1 and {504} & left == set() and all(i in left for i in range(90, 110))
+    assert simhash.deduplicate(none(df), similarity=0.8).count() == 0
+
+
+def test_spanning_forest():
+    r = random.Random(0)
+    points = np.array([r.getrandbits(10) << 30 for _ in range(200)] + [r.getrandbits(64) for _ in range(20)], np.uint64)
+    for limit in (0, 1, 3):
+        links = simhash.spanning(points, limit)
+        want = union_find(range(220), [(a, b) for a in range(220) for b in range(220) if int(points[a] ^ points[b]).bit_count() <= limit])
+        assert union_find(range(220), links) == want and len(links) == 220 - len(set(want.values()))
