@@ -12,6 +12,11 @@ LARGE_LINES, MOCK_HEAVY, ASSERTION_HEAVY, HOT_SCORE = 30, 3, 10, 6.0
 TIME_ALLOWANCE, OUTPUT_ALLOWANCE, MEMORY_ALLOWANCE = 5, 16 << 20, 256 << 20
 
 
+def rounded(value: Column, digits: int = 1) -> Column:
+    """Half away from zero of the scaled value, which is not always what the value's decimal digits say."""
+    return F.round(value * 10**digits) / 10**digits
+
+
 def crap(complexity: Column, coverage: Column) -> Column:
     """complexity² · (1 − coverage)³ + complexity, with coverage from 0 to 1; NULL without coverage."""
     untested = 1 - coverage
@@ -26,22 +31,22 @@ def band_grade(low: Column, medium: Column, high: Column) -> Column:
     """1 to 10 from the share of risky functions; NULL if none is measured."""
     measured = low + medium + high
     risk = (high + 0.3 * medium) / F.when(measured > 0, measured)
-    return F.when(measured > 0, F.round(10 - 9 * F.least(F.lit(1.0), 2 * risk), 1))  # least skips NULL
+    return F.when(measured > 0, rounded(10 - 9 * F.least(F.lit(1.0), 2 * risk)))  # least skips NULL
 
 
 def crap_grade(worst: Column) -> Column:
     """1 to 10 from the worst CRAP of a module."""
-    return F.when(worst <= LOW_CRAP, 10.0).when(worst >= HIGH_CRAP, 1.0).otherwise(F.round(10 - 9 * (worst - LOW_CRAP) / (HIGH_CRAP - LOW_CRAP), 1))
+    return F.when(worst <= LOW_CRAP, 10.0).when(worst >= HIGH_CRAP, 1.0).otherwise(rounded(10 - 9 * (worst - LOW_CRAP) / (HIGH_CRAP - LOW_CRAP)))
 
 
 def mutation_grade(killed: Column, survived: Column) -> Column:
     judged = killed + survived
-    return F.round(1 + 9 * killed / F.when(judged > 0, judged), 1)
+    return rounded(1 + 9 * killed / F.when(judged > 0, judged))
 
 
 def overall_grade(crap_: Column, mutation: Column) -> Column:
     """The mean of both grades, or the one there is."""
-    return F.when(crap_.isNotNull() & mutation.isNotNull(), F.round((crap_ + mutation) / 2, 1)).otherwise(F.coalesce(crap_, mutation))
+    return F.when(crap_.isNotNull() & mutation.isNotNull(), rounded((crap_ + mutation) / 2)).otherwise(F.coalesce(crap_, mutation))
 
 
 def grade_hue(grade: Column) -> Column:
@@ -52,7 +57,7 @@ def grade_hue(grade: Column) -> Column:
 def example_score(lines: Column, decisions: Column, mocks: Column, assertions: Column) -> Column:
     """What a test example asks of its reader; 1 is the least."""
     score = 1.0 + F.greatest(F.lit(0), lines - 15) / 5 + 2.5 * decisions + 1.5 * F.greatest(F.lit(0), mocks - 2)
-    return F.round(score + F.when(assertions == 0, 6).otherwise(0) + F.greatest(F.lit(0), assertions - ASSERTION_HEAVY) / 2, 1)
+    return rounded(score + F.when(assertions == 0, 6).otherwise(0) + F.greatest(F.lit(0), assertions - ASSERTION_HEAVY) / 2)
 
 
 def smells(lines: Column, decisions: Column, mocks: Column, assertions: Column) -> Column:

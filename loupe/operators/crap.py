@@ -10,7 +10,7 @@ from loupe.functions import scores
 
 def score(units: DataFrame, digits: int = 2) -> DataFrame:
     """units with complexity and coverage (NULL: unmeasured) get crap and band."""
-    value = F.round(scores.crap(F.col("complexity"), F.col("coverage")), digits)
+    value = scores.rounded(scores.crap(F.col("complexity"), F.col("coverage")), digits)
     return units.withColumn("crap", value).withColumn("band", scores.band(F.col("crap")))
 
 

@@ -88,10 +88,10 @@ def draw(rows: DataFrame, seed: str, columns: list[str], count: int) -> DataFram
 
 def compare_runs(previous: DataFrame, current: DataFrame) -> DataFrame:
     """current (file, pressure) with its change since the previous run and a verdict; NULL for new files."""
-    from loupe.functions.scores import verdict
+    from loupe.functions.scores import rounded, verdict
 
     joined = current.join(previous.select("file", F.col("pressure").alias("previous_pressure")), "file", "left")
-    return joined.withColumn("delta", F.round(F.col("pressure") - F.col("previous_pressure"), 1)).withColumn("verdict", F.when(F.col("delta").isNotNull(), verdict(F.col("delta"))))
+    return joined.withColumn("delta", rounded(F.col("pressure") - F.col("previous_pressure"))).withColumn("verdict", F.when(F.col("delta").isNotNull(), verdict(F.col("delta"))))
 
 
 def tallies(mutants: DataFrame) -> DataFrame:

@@ -32,14 +32,14 @@ def file_reports(details: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row a file from scored examples (file, group, score, mocks, assertions) and clusters (file, kind, similarity, size)."""
     hot = (F.col("score") >= scores.HOT_SCORE) | (F.col("assertions") == 0)
     sums = details.groupBy("file").agg(
-        F.count("*").alias("examples"), F.round(F.avg("score"), 1).alias("average_score"), F.max("score").alias("max_score"), F.sum(F.col("score") - 1).alias("own"),
+        F.count("*").alias("examples"), scores.rounded(F.avg("score")).alias("average_score"), F.max("score").alias("max_score"), F.sum(F.col("score") - 1).alias("own"),
         F.count_if(hot).alias("hot"), F.count_distinct(F.when(hot, F.col("group"))).alias("hot_groups"), F.count_if(F.col("mocks") >= scores.MOCK_HEAVY).alias("mocked"),
     )
     weight = cluster_weight(F.col("kind"), F.col("similarity"))
     shared = clusters.groupBy("file").agg(F.sum(weight * (F.col("size") - 1)).alias("shared"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if((F.col("kind") != "table") & (weight > 0)).alias("duplications"))
     both = sums.join(shared, "file", "left").fillna({"shared": 0.0, "tables": 0, "duplications": 0})
     act = scores.action(*(F.col(c) for c in ("examples", "hot", "hot_groups", "mocked", "tables", "duplications")))
-    return both.select("file", "examples", "average_score", "max_score", F.round(F.col("own") + F.col("shared"), 1).alias("pressure"), act.alias("action"))
+    return both.select("file", "examples", "average_score", "max_score", scores.rounded(F.col("own") + F.col("shared")).alias("pressure"), act.alias("action"))
 
 
 def recommendations(details: DataFrame, most: int = MOST_ADVICE) -> DataFrame:

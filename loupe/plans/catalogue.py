@@ -70,8 +70,8 @@ def q_bands(spark, d):
     return crap.score(_units(spark, d)).groupBy("band").agg(F.count("*").alias("functions"), F.max("crap").alias("worst"))
 
 
-@query("""WITH u AS (SELECT c_custkey AS id, c_mktsegment AS language, CASE WHEN c_acctbal > 8000 AND c_mktsegment <> 'BUILDING' THEN 0.5 END AS coverage FROM customer)
-  SELECT id, language, CASE WHEN coverage IS NULL AND language IN (SELECT language FROM u WHERE coverage IS NOT NULL) THEN 0.0 ELSE coverage END AS coverage FROM u""")
+@query("""WITH u AS (SELECT c_custkey AS id, c_mktsegment AS language, CASE WHEN c_acctbal > 8000 AND c_mktsegment <> 'BUILDING' THEN 0.5::DOUBLE END AS coverage FROM customer)
+  SELECT id, language, CASE WHEN coverage IS NULL AND language IN (SELECT language FROM u WHERE coverage IS NOT NULL) THEN 0.0::DOUBLE ELSE coverage END AS coverage FROM u""")
 def q_unloaded_untested(spark, d):
     units = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("language"), F.when((F.col("c_acctbal") > 8000) & (F.col("c_mktsegment") != "BUILDING"), 0.5).alias("coverage"))
     return crap.unloaded_as_untested(units).select("id", "language", "coverage")
@@ -267,10 +267,10 @@ def q_scrap_clusters(spark, d):
     return similarity.similar_pairs(sets, 0.05).select("a", "b", "part", F.round("score", 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT source, round(sum(n_chars) / 1000.0, 1) AS pressure FROM documents WHERE doc_id % 2 = 0 GROUP BY source), c AS (SELECT source, round(sum(n_chars) / 1000.0, 1) AS pressure FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
+@query("""WITH p AS (SELECT source, round(sum(n_chars) / 1000.0::DOUBLE, 1) AS pressure FROM documents WHERE doc_id % 2 = 0 GROUP BY source), c AS (SELECT source, round(sum(n_chars) / 1000.0::DOUBLE, 1) AS pressure FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
   SELECT source AS file, round(CAST(c.pressure - p.pressure AS DOUBLE), 1) AS delta, CASE WHEN p.pressure IS NULL THEN NULL WHEN round(CAST(c.pressure - p.pressure AS DOUBLE), 1) <= -0.5 THEN 'improved' WHEN round(CAST(c.pressure - p.pressure AS DOUBLE), 1) >= 0.5 THEN 'worse' ELSE 'unchanged' END AS verdict FROM c LEFT JOIN p USING (source)""")
 def q_compare_runs(spark, d):
-    rows = table(spark, d, "documents").groupBy((F.col("doc_id") % 2).alias("run"), F.col("source").alias("file")).agg(F.round(F.sum("n_chars") / 1000.0, 1).alias("pressure"))
+    rows = table(spark, d, "documents").groupBy((F.col("doc_id") % 2).alias("run"), F.col("source").alias("file")).agg(scores.rounded(F.sum("n_chars") / 1000.0).alias("pressure"))
     return history.compare_runs(rows.where("run = 0"), rows.where("run = 1")).select("file", "delta", "verdict")
 
 
@@ -508,7 +508,7 @@ def q_span_union(spark, d):
     return coverage.span_union(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("string").alias("span"), F.col("l_quantity").alias("weight"), (F.col("l_discount") > 0.05).alias("covered")))
 
 
-@query(f'WITH {SEGMENTS} SELECT file, line, bool_or(covered > 0) AS covered FROM (SELECT file, covered, unnest(range(start, "end" + 1)) AS line FROM segments) GROUP BY ALL')
+@query(f'WITH {SEGMENTS} SELECT file, CAST(line AS INT) AS line, bool_or(covered > 0) AS covered FROM (SELECT file, covered, unnest(range(start, "end" + 1)) AS line FROM segments) GROUP BY ALL')
 def q_line_inventory(spark, d):
     return coverage.line_inventory(_segments(spark, d))
 
