@@ -223,5 +223,5 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, size
             yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    numbered = pieces.join(small_side(before, 24), ["src", "length"]).select(*names, (F.col("nth") + F.col("before")).alias("number"))
+    numbered = pieces.join(small_side(before, 80), ["src", "length"]).select(*names, (F.col("nth") + F.col("before")).alias("number"))
     return numbered.mapInArrow(run, "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, sequence_id bigint, offset bigint")
