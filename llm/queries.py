@@ -75,6 +75,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        cut AS (SELECT r, conv_id, turn, unnest(string_split_regex(text, '\r?\n')) AS line, unnest(range(len(string_split_regex(text, '\r?\n')))) AS pos FROM m),
+        l AS (SELECT r, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^(([ \t]*>)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^([ \t]*>)+', '') AS body FROM cut),
+        b AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY pos) AS begins FROM l),
+        runs AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM b),
+        own AS (SELECT r, conv_id, turn, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS text, count(*) FILTER (level > 0) AS quoted FROM l GROUP BY r, conv_id, turn),
+        passages AS (SELECT r, conv_id, turn, level, string_agg(body, chr(10) ORDER BY pos) AS text, count(*) + 1 AS weight FROM runs GROUP BY r, conv_id, turn, run, level),
+        keys AS (SELECT conv_id, turn, level, weight, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM
+            (SELECT conv_id, turn, level, weight, text FROM passages UNION ALL SELECT conv_id, turn, level, 1, body FROM l UNION ALL SELECT conv_id, turn, 0, 1, text FROM own)),
+        originals AS (SELECT conv_id, norm, min(turn) AS original FROM keys WHERE level = 0 AND norm <> '' GROUP BY ALL),
+        votes AS (SELECT conv_id, turn, level, original, sum(weight) AS weight FROM keys JOIN originals USING (conv_id, norm) WHERE level > 0 AND original < turn GROUP BY ALL),
+        parents AS (SELECT conv_id, turn, arg_max(original, (-level, weight, original)) AS parent FROM votes GROUP BY conv_id, turn),
+        paths AS (SELECT conv_id, turn, parent AS up, [turn] AS path FROM parents UNION ALL SELECT p.conv_id, p.turn, q.parent, list_prepend(p.up, p.path) FROM paths p JOIN parents q ON p.conv_id = q.conv_id AND p.up = q.turn),
+        done AS (SELECT conv_id, turn, list_prepend(up, path) AS path FROM paths p WHERE NOT EXISTS (SELECT 1 FROM parents q WHERE q.conv_id = p.conv_id AND q.turn = p.up))
+        SELECT m.conv_id, m.turn, m.role, parent AS parent_turn, coalesce(path[1], m.turn) AS root_turn, CAST(coalesce(len(path), 1) - 1 AS INT) AS depth, coalesce(array_to_string(path, '/'), CAST(m.turn AS VARCHAR), '') AS reply_path,
+            CAST(quoted AS INT) AS n_quoted_lines, own.text AS text, '<|' || coalesce(m.role, '') || '|>' || chr(10) || own.text AS chat
+        FROM m JOIN own USING (r) LEFT JOIN parents ON parents.conv_id = m.conv_id AND parents.turn = m.turn LEFT JOIN done ON done.conv_id = m.conv_id AND done.turn = m.turn""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p""",
     "op1_decontamination": rf"""
         WITH cut AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
