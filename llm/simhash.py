@@ -15,9 +15,8 @@ compares the next fingerprint too and gives a minimum spanning forest of what is
 then checked exactly on whole texts.  Cutting a minimum spanning forest leaves the components that all
 close pairs would have, as far as fingerprints order pairs as similarity does.
 
-Equal fingerprints are one point, so exact copies cost nothing beyond the first.  Comparison memory
-is bounded by blocks; the homes of one anchor (distinct fingerprints equal in 30 of 31 bits) are
-held together.
+Equal fingerprints are one point, so exact copies cost nothing beyond the first.  An anchor that more
+than HOT_HOMES points have for their home is compared in several tasks.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words
 than a shingle are one shingle; of components, the smallest id names them (null only if all are null).
@@ -41,8 +40,8 @@ LIMIT = 3
 WORDS, SKETCH_WORDS, CLOSE_BITS, SIMILARITY, SHINGLE_WORDS = 6, 2, 18, 0.8, 5
 #: Bytes of text cut into words at a time.
 RUN_BYTES = 4 << 20
-#: Rows of a comparison block.
-BLOCK = 1 << 20
+#: Rows of a comparison block, and homes of an anchor beyond which its comparison is split.
+BLOCK, HOT_HOMES = 1 << 20, 4096
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -169,11 +168,49 @@ def _compare(limit: int):
     return run
 
 
+def _homes(batches):
+    """The home anchors of both halves of each 64-bit point in a row."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.types.is_integer(batch["points"].type)
+        wide = batch["points"].to_numpy().view(np.uint64).reshape(-1, 1) if whole else np.frombuffer(b"".join(batch["points"].to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        for w in range(wide.shape[1]):
+            for side, half in enumerate((wide[:, w] & np.uint64(0xFFFFFFFF), wide[:, w] >> np.uint64(32))):
+                points = half.astype(np.int64) & 0x7FFFFFFF
+                syndrome = _syndromes(points)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(syndrome > 0, points ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), points) | ((2 * w + side) << 32))], names=["anchor"])
+
+
+def split_hot(replicas: DataFrame, points: DataFrame, by: str, pairs: bool) -> DataFrame:
+    """replicas with the comparison of anchors that many points have for their home dealt to several tasks.
+
+    points: each point's fingerprint as a bigint, or the bytes of several.  Such an anchor's members are hashed by
+    `by` into parts.  Either each part's homes meet all members (pairs: no), or the members of each two
+    parts meet (pairs: yes); so every pair that would meet does, in one of the tasks.
+    """
+    counts = points.mapInArrow(_homes, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n"))
+    hot = written(counts.where(F.col("n") > HOT_HOMES).select("anchor", F.ceil(F.col("n") / HOT_HOMES).cast("bigint").alias("parts")), "simhash-hot")
+    if hot.limit(1).count() == 0:
+        return replicas
+    rows = replicas.join(small_side(hot, 64), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    if pairs:
+        task = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    else:
+        task = F.col("other")
+        rows = rows.withColumn("home", F.col("home") & (F.col("own") == F.col("other")))
+    return rows.withColumn("anchor", F.col("anchor") + task * (1 << 40)).select(*replicas.columns)
+
+
 def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect what all links within `limit` <= 3 bits connect."""
     if limit > 3:
         raise ValueError("the halves' radius covers 3 differing bits at most")
     replicas = prints.select("fp").mapInArrow(_replicate, "anchor bigint, home boolean, fp bigint")
+    replicas = split_hot(replicas, prints.select(F.col("fp").alias("points")), "fp", False)
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // 60_000))
     dealt = replicas.repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compare(limit), "a bigint, b bigint").distinct()
@@ -292,7 +329,8 @@ def near_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     """(a, b): links between nodes of rows (node, id, digest, wide) whose texts' k-word shingles are that similar; they connect what all such links connect, but for pairs that fingerprints miss."""
     points = written(rows.groupBy("wide").agg(F.min("node").alias("node")), "simhash-points")
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // 6_000))
-    close = points.mapInArrow(_replicate_sketch, "anchor bigint, home boolean, node bigint, bits bigint").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketch, "a bigint, b bigint")
+    replicas = points.mapInArrow(_replicate_sketch, "anchor bigint, home boolean, node bigint, bits bigint")
+    close = split_hot(replicas, points.select(F.col("wide").alias("points")), "node", True).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketch, "a bigint, b bigint")
     same = rows.join(points.withColumnRenamed("node", "a"), "wide").where("a < node").select("a", F.col("node").alias("b"))
     pairs = written(close.distinct().union(same), "simhash-close")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

@@ -106,7 +106,9 @@ def test_simhash(spark, awkward):
     assert simhash.near_duplicates(none(df)).count() == 0 and simhash.deduplicate(none(df)).count() == 0
 
 
-def test_anchor_covering_finds_all_links(spark):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_anchor_covering_finds_all_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_HOMES", hot)
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(150)]
     prints = set(base)
@@ -366,7 +368,9 @@ def test_chat(spark):
     assert chat.format_chats(none(df)).count() == 0
 
 
-def test_similarity_dedup(spark):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_similarity_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_HOMES", hot)
     r = random.Random(9)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(800)]
     texts = [[r.choice(vocabulary) for _ in range(r.randint(100, 400))] for _ in range(60)]
