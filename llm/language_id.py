@@ -25,7 +25,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 200_000
 SMOOTHING = 0.1
 #: Characters of a block of texts, and matrix cells gathered at a time.
-BLOCK_CHARS, GATHERED = 1 << 20, 1 << 22
+BLOCK_CHARS, GATHERED = 1 << 19, 1 << 21
 UNKNOWN = "und"
 
 

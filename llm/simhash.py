@@ -41,7 +41,7 @@ WORDS, SKETCH_WORDS, CLOSE_BITS, SIMILARITY, SHINGLE_WORDS = 6, 2, 18, 0.8, 5
 #: Bytes of text cut into words at a time.
 RUN_BYTES = 4 << 20
 #: Rows of a comparison block, and homes of an anchor beyond which its comparison is split.
-BLOCK, HOT_HOMES = 1 << 20, 4096
+BLOCK, HOT_HOMES = 1 << 18, 4096
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
