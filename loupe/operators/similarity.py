@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.operators import graph
+from loupe.operators.tables import cut
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -23,7 +24,8 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     is left are intersected.  The score is exact; the threshold is compared unrounded.
     """
     rows = sets.select("id", "part", F.array_distinct("tokens").alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
-    tokens = rows.select("id", "part", "n", F.explode("tokens").alias("token"))
+    # candidates are found by 64-bit hashes of tokens, which are shorter to sort and shuffle; the sets themselves are compared below
+    tokens = rows.select("id", "part", "n", F.explode(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t)))).alias("token"))
     frequency = tokens.groupBy("part", "token").agg(F.count("*").alias("freq")).where("freq > 1")
     ranked = tokens.join(frequency, ["part", "token"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("part", "id").orderBy(F.coalesce("freq", F.lit(1)), "token")))
     prefix = ranked.where(F.col("freq").isNotNull() & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)).select("id", "part", "n", "token")
@@ -43,6 +45,7 @@ def focus(pairs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def groups(pairs: DataFrame) -> DataFrame:
     """Connected pairs as groups: root (smallest member), size, least and greatest score of their pairs."""
+    pairs = cut(pairs)
     roots = graph.components(pairs.select("a", "b"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     spread = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"))
