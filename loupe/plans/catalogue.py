@@ -125,11 +125,11 @@ def q_line_sources(spark, d):
 
 
 @query("""WITH e AS (SELECT 'u' || user_id AS file, event_id AS id, event_id AS line, event_id - 2000 AS statement, event_type FROM events)
-  SELECT s.file, s.id, coalesce(max(m.line), any_value(s.line)) AS measured_line FROM e s LEFT JOIN (SELECT * FROM e WHERE event_type IN ('click', 'view', 'purchase')) m ON s.file = m.file AND m.line BETWEEN s.statement AND s.line WHERE s.id % 3 = 0 GROUP BY s.file, s.id""")
+  SELECT s.file, s.id, coalesce(max(m.line), any_value(s.line)) AS measured_line FROM e s LEFT JOIN (SELECT * FROM e WHERE event_type IN ('click', 'view', 'purchase')) m ON s.file = m.file AND m.line BETWEEN s.statement AND s.line GROUP BY s.file, s.id""")
 def q_site_line_asof(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("file"), F.col("event_id").alias("id"), F.col("event_id").alias("line"), (F.col("event_id") - 2000).alias("statement"), "event_type")
     measured = e.where(F.col("event_type").isin("click", "view", "purchase"))
-    return coverage.site_line(e.where("id % 3 = 0"), measured).select("file", "id", "measured_line")
+    return coverage.site_line(e, measured).select("file", "id", "measured_line")
 
 
 @query("""WITH p AS (SELECT DISTINCT regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://[^/]*/', '') AS path FROM pages), src AS (SELECT DISTINCT 'src/' || path AS source FROM p WHERE length(path) % 2 = 0),
@@ -334,19 +334,19 @@ def q_import_edges(spark, d):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as modules that import the part a fixed step away; sparse, with cycles."""
-    p = table(spark, d, "part").where("p_partkey <= 400")
+    """Parts as modules in packages of 50; each imports a module of its own package, and some import each other in rounds."""
     k = F.col("p_partkey")
-    return p.select(k.alias("src"), F.when(k % 4 == 0, k - 3).when(k % 9 == 0, k + 30).otherwise(k + 1).alias("dst")).where("dst <= 400 AND dst > 0 AND src % 50 <> 0")
+    dst = F.when(k % 4 == 0, k - 3).when(k % 9 == 0, k + 30).otherwise(k + 1)
+    return table(spark, d, "part").select(k.alias("src"), dst.alias("dst")).where("src div 50 = dst div 50")
 
 
-EDGES = """edges AS (SELECT src, dst FROM (SELECT p_partkey AS src, CASE WHEN p_partkey % 4 = 0 THEN p_partkey - 3 WHEN p_partkey % 9 = 0 THEN p_partkey + 30 ELSE p_partkey + 1 END AS dst FROM part WHERE p_partkey <= 400) WHERE dst <= 400 AND dst > 0 AND src % 50 <> 0)"""
+EDGES = """edges AS (SELECT src, dst FROM (SELECT p_partkey AS src, CASE WHEN p_partkey % 4 = 0 THEN p_partkey - 3 WHEN p_partkey % 9 = 0 THEN p_partkey + 30 ELSE p_partkey + 1 END AS dst FROM part) WHERE src // 50 = dst // 50)"""
 
 
-@query(f'WITH RECURSIVE {EDGES}, r AS (SELECT src AS start, src AS node FROM edges WHERE src % 20 = 1 UNION SELECT start, dst FROM r JOIN edges ON node = src) SELECT start, node FROM r')
+@query(f'WITH RECURSIVE {EDGES}, r AS (SELECT src AS start, src AS node FROM edges UNION SELECT start, dst FROM r JOIN edges ON node = src) SELECT start, node FROM r')
 def q_reach(spark, d):
     edges = _edges(spark, d)
-    return graph.reach(edges.where("src % 20 = 1").select("src"), edges)
+    return graph.reach(edges.select("src"), edges)
 
 
 @query(f"WITH {EDGES} SELECT src AS start, src AS node FROM edges UNION SELECT src, dst FROM edges")
@@ -455,11 +455,11 @@ def q_sample_rank(spark, d):
     return history.draw(table(spark, d, "events").select("event_id", "event_type"), "seed-1", ["event_id", "event_type"], 20).select("event_id", "rank")
 
 
-TRIALS = """tr AS (SELECT user_id AS id, 'killed' AS recorded, event_id AS ord, CASE WHEN value > 20 THEN 'survived' WHEN value > 10 THEN 'timeout' ELSE 'killed' END AS outcome FROM events WHERE event_id % 3 = 0)"""
+TRIALS = """tr AS (SELECT user_id AS id, 'killed' AS recorded, event_id AS ord, CASE WHEN value > 20 THEN 'survived' WHEN value > 10 THEN 'timeout' ELSE 'killed' END AS outcome FROM events)"""
 
 
 def _trials(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("id"), F.lit("killed").alias("recorded"), F.col("event_id").alias("ord"), F.when(F.col("value") > 20, "survived").when(F.col("value") > 10, "timeout").otherwise("killed").alias("outcome"))
+    return table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("killed").alias("recorded"), F.col("event_id").alias("ord"), F.when(F.col("value") > 20, "survived").when(F.col("value") > 10, "timeout").otherwise("killed").alias("outcome"))
 
 
 @query(f"""WITH {TRIALS}, l AS (SELECT id, recorded, list(outcome ORDER BY ord) AS o FROM tr GROUP BY ALL) SELECT id, recorded, CAST(len(o) AS BIGINT) AS trials, CASE WHEN o[1] <> 'survived' THEN 'agreed' WHEN len(list_filter(o, lambda x: x <> 'survived')) > 0 THEN 'flaky' WHEN len(o) <= 2 THEN 'pending' ELSE 'mismatched' END AS verdict FROM l""")
