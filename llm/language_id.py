@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import bounded_batches
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 200_000
@@ -113,6 +115,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
 
     What comes to the driver is the counts, BUCKETS + 1 a language at most.
     """
+    bounded_batches(docs.sparkSession)
     usable = docs if learn is None else docs.where(learn)
     usable = usable.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = train_rows / max(train_rows, usable.count())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import tokens
-from llm.common import small_side, whole, written
+from llm.common import small_side, trim, whole, written
 
 TOKENIZER, END_ID, SIZE = "byte_bpe_50k.json", 0, 2048
 #: Share of a configuration's whole possible use that one step of the weights gives it, steps at most, and how fast weights fall.
@@ -190,6 +190,7 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, size:
                     rows = []
             if rows:
                 yield _batch(rows)
+        trim()
 
     def _batch(rows):
         import pyarrow as pa

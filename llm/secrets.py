@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import bounded_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -231,6 +233,7 @@ def find(texts: list[str | None], rules: tuple[Rule, ...] = BASE + MORE) -> list
 
 def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_<kind> and base_sha256 of the base kinds, and all spans, of every row."""
+    bounded_batches(docs.sparkSession)
     rules = BASE + tuple(more)
 
     def run(batches):

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import row_digest, small_side, without, written
+from llm.common import row_digest, small_side, trim, without, written
 from llm.components import components
 
 SEED = 42
@@ -164,6 +164,7 @@ def _compare(limit: int):
                 held, rows = [[key[cut:], home[cut:], fp[cut:]]], len(key) - cut
         if rows:
             yield links(*(np.concatenate(x) for x in zip(*held)))
+        trim()
 
     return run
 
@@ -258,6 +259,7 @@ def _replicate_sketch(batches):
                 for i in range(0, len(rows), 1 << 16):
                     r = rows[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)] | ((2 * w + side) << 32)), pa.array(homes[i : i + (1 << 16)]), pa.array(node[r]), pa.array(other[r])], names=["anchor", "home", "node", "bits"])
+    trim()
 
 
 def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -317,6 +319,7 @@ def _compare_sketch(batches):
             held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
     if rows:
         yield close(*(np.concatenate(x) for x in zip(*held)))
+    trim()
 
 
 def _forest_of(node, bits, a, b):
@@ -375,6 +378,7 @@ def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: in
             texts = [t.as_py() for t in batch["text"]]
             prints = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([sketch(t).tobytes() for t in texts], pa.binary())], names=["id", "digest", "fp", "wide"])
+        trim()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, wide binary").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import tokens
-from llm.common import BROADCAST_BYTES, shared_folder, small_side, whole, written
+from llm.common import BROADCAST_BYTES, shared_folder, small_side, trim, whole, written
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
@@ -40,6 +40,7 @@ def _counter(tokenizer: str, version: str):
         for batch in batches:
             counts = pa.array(tokens.encoder(tokenizer, True).encode(batch["text"].to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["digest"], pa.array([version] * batch.num_rows, pa.string()), counts], names=["digest", "tokenizer", "n_tokens"])
+        trim()
 
     return run
 
