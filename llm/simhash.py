@@ -229,19 +229,21 @@ def _shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.array([h64(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :] or ends[-1:])], "<u8")
 
 
+def distinct_shingles(text: str | None, k: int) -> np.ndarray:
+    """The sorted hashes of a text's k-word shingles, each once."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(run, k) for run in word_runs((text or "").encode().lower(), k))]))
+
+
 def sketch(text: str | None, words: int = WORDS, k: int = SKETCH_WORDS) -> np.ndarray:
-    """`words` fingerprints of 64 bits: majority bits of as many mixtures of each shingle's hash."""
-    total, counts = 0, np.zeros((words, 64), np.uint64)
-    for run in word_runs((text or "").encode().lower(), k):
-        hashes = _shingle_hashes(run, k)
-        total += len(hashes)
-        for w in range(words):
-            mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
-            for i in range(0, len(mixed), 1 << 16):
-                counts[w] += np.unpackbits(mixed[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel()
+    """`words` fingerprints of 64 bits: majority bits of as many mixtures of each distinct shingle's hash; how often it is repeated doesn't count."""
+    hashes, counts = distinct_shingles(text, k), np.zeros((words, 64), np.uint64)
+    for w in range(words):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        for i in range(0, len(mixed), 1 << 16):
+            counts[w] += np.unpackbits(mixed[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _replicate_sketch(batches):
@@ -343,7 +345,7 @@ def near_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(r, k) for r in word_runs((t.as_py() or "").encode().lower(), k))])).view(np.int64) for t in batch["text"]]
+            sets = [distinct_shingles(t.as_py(), k).view(np.int64) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), row_digest(F.col(text_col)).alias("d"), F.col(text_col).alias("text"))

@@ -400,3 +400,15 @@ def test_spanning_forest():
         links = simhash.spanning(points, limit)
         want = union_find(range(220), [(a, b) for a in range(220) for b in range(220) if int(points[a] ^ points[b]).bit_count() <= limit])
         assert union_find(range(220), links) == want and len(links) == 220 - len(set(want.values()))
+
+
+@pytest.mark.parametrize("times", [5, 20, 60])
+def test_similarity_dedup_of_repeated_lines(spark, times):
+    r = random.Random(times)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    data = []
+    for i in range(12):
+        text, line = [word() for _ in range(400)], [word() for _ in range(10)]
+        data += [(2 * i, " ".join(text[:200] + line + text[200:])), (2 * i + 1, " ".join(text[:200] + line * times + text[200:]))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(range(0, 24, 2))
