@@ -8,12 +8,11 @@ replicated to all anchors within 2 (16 or fewer a half), and members of an ancho
 those whose home it is, on all 64 bits.  An anchor gives a spanning forest of its links, not the
 links themselves, so groups of near copies don't grow quadratically on the way out.
 
-`near_copies` finds documents by their similarity instead: Jaccard >= 0.8 of five-word shingles.  Each
-document has WORDS fingerprints of 64 bits over word pairs; of texts that similar some half of these
-differs in at most 1 bit with high probability, so the same anchors bring them together.  An anchor
-compares the next fingerprint too and gives a minimum spanning forest of what is close, whose links are
-then checked exactly on whole texts.  Cutting a minimum spanning forest leaves the components that all
-close pairs would have, as far as fingerprints order pairs as similarity does.
+`near_copies` finds documents by their similarity instead: Jaccard >= 0.8 of five-word shingles.  It is an
+exact prefix-filtered join: in one order of all shingles, those rare in a sample first, two texts that
+similar share a shingle among the first fifth of each, and enough places are left after the first that
+they share.  Texts that share a shingle there are its members.  The sample and the 64-bit sketch of a text
+only decide in which order pairs are looked at, never whether.
 
 Equal fingerprints are one point, so exact copies cost nothing beyond the first.  An anchor that more
 than HOT_HOMES points have for their home is compared in several tasks.
@@ -31,13 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import row_digest, small_side, trim, without, written
+from llm.common import BROADCAST_BYTES, row_digest, small_side, trim, without, written
 from llm.components import components
 
 SEED = 42
 LIMIT = 3
-#: Similarity search: fingerprints of a document and words of their shingles, bits of 64 in which close documents may differ, and the measure.
-WORDS, SKETCH_WORDS, CLOSE_BITS, SIMILARITY, SHINGLE_WORDS = 6, 2, 18, 0.8, 5
+#: Similarity search: the measure and the words of its shingles.
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
+#: Rows of the sample that orders shingles by rarity, and shingles known from it: those found most often, REPEATED times at least.
+ORDER_ROWS, COMMON, REPEATED = 10_000, 1 << 16, 3
 #: Bytes of text cut into words at a time.
 RUN_BYTES = 4 << 20
 #: Rows of a comparison block, and homes of an anchor beyond which its comparison is split.
@@ -170,39 +171,30 @@ def _compare(limit: int):
 
 
 def _homes(batches):
-    """The home anchors of both halves of each 64-bit point in a row."""
+    """The home anchors of both halves of each 64-bit point."""
     import pyarrow as pa
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.types.is_integer(batch["points"].type)
-        wide = batch["points"].to_numpy().view(np.uint64).reshape(-1, 1) if whole else np.frombuffer(b"".join(batch["points"].to_pylist()), "<u8").reshape(batch.num_rows, -1)
-        for w in range(wide.shape[1]):
-            for side, half in enumerate((wide[:, w] & np.uint64(0xFFFFFFFF), wide[:, w] >> np.uint64(32))):
-                points = half.astype(np.int64) & 0x7FFFFFFF
-                syndrome = _syndromes(points)
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(syndrome > 0, points ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), points) | ((2 * w + side) << 32))], names=["anchor"])
+        bits = batch["points"].to_numpy().view(np.uint64)
+        for side, half in enumerate((bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32))):
+            points = half.astype(np.int64) & 0x7FFFFFFF
+            syndrome = _syndromes(points)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(syndrome > 0, points ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), points) | (side << 32))], names=["anchor"])
 
 
-def split_hot(replicas: DataFrame, points: DataFrame, by: str, pairs: bool) -> DataFrame:
+def split_hot(replicas: DataFrame, points: DataFrame) -> DataFrame:
     """replicas with the comparison of anchors that many points have for their home dealt to several tasks.
 
-    points: each point's fingerprint as a bigint, or the bytes of several.  Such an anchor's members are hashed by
-    `by` into parts.  Either each part's homes meet all members (pairs: no), or the members of each two
-    parts meet (pairs: yes); so every pair that would meet does, in one of the tasks.
+    points: each point's fingerprint as a bigint.  Such an anchor's members are hashed into parts, and each part's
+    homes meet all members; so every pair that would meet does, in one of the tasks.
     """
     counts = points.mapInArrow(_homes, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n"))
     hot = written(counts.where(F.col("n") > HOT_HOMES).select("anchor", F.ceil(F.col("n") / HOT_HOMES).cast("bigint").alias("parts")), "simhash-hot")
     if hot.limit(1).count() == 0:
         return replicas
     rows = replicas.join(small_side(hot, 64), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    if pairs:
-        task = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-    else:
-        task = F.col("other")
-        rows = rows.withColumn("home", F.col("home") & (F.col("own") == F.col("other")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows, task = rows.withColumn("home", F.col("home") & (F.col("own") == F.col("other"))), F.col("other")
     return rows.withColumn("anchor", F.col("anchor") + task * (1 << 40)).select(*replicas.columns)
 
 
@@ -211,7 +203,7 @@ def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     if limit > 3:
         raise ValueError("the halves' radius covers 3 differing bits at most")
     replicas = prints.select("fp").mapInArrow(_replicate, "anchor bigint, home boolean, fp bigint")
-    replicas = split_hot(replicas, prints.select(F.col("fp").alias("points")), "fp", False)
+    replicas = split_hot(replicas, prints.select(F.col("fp").alias("points")))
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // 60_000))
     dealt = replicas.repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compare(limit), "a bigint, b bigint").distinct()
@@ -234,34 +226,49 @@ def distinct_shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(run, k) for run in word_runs((text or "").encode().lower(), k))]))
 
 
-def sketch(text: str | None, words: int = WORDS, k: int = SKETCH_WORDS) -> np.ndarray:
-    """`words` fingerprints of 64 bits: majority bits of as many mixtures of each distinct shingle's hash; how often it is repeated doesn't count."""
-    hashes, counts = distinct_shingles(text, k), np.zeros((words, 64), np.uint64)
-    for w in range(words):
-        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        for i in range(0, len(mixed), 1 << 16):
-            counts[w] += np.unpackbits(mixed[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+def sketch(hashes: np.ndarray) -> int:
+    """64 majority bits of distinct hashes; how often a shingle is repeated doesn't count."""
+    counts = np.zeros(64, np.uint64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _replicate_sketch(batches):
-    """The anchors of both halves of each fingerprint, with the fingerprint after it."""
-    import pyarrow as pa
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, texts that hold them) of those found most often in a sample of about ORDER_ROWS texts; COMMON at most."""
 
-    for batch in batches:
-        node, n = batch["node"].to_numpy(), len(batch["node"])
-        wide = np.frombuffer(b"".join(batch["wide"].to_pylist()), "<u8").reshape(n, -1)
-        count = wide.shape[1]
-        for w in range(count):
-            other = wide[:, (w + 1) % count].view(np.int64)
-            for side, half in enumerate((wide[:, w] & np.uint64(0xFFFFFFFF), wide[:, w] >> np.uint64(32))):
-                rows, found, homes = anchors(half)
-                for i in range(0, len(rows), 1 << 16):
-                    r = rows[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)] | ((2 * w + side) << 32)), pa.array(homes[i : i + (1 << 16)]), pa.array(node[r]), pa.array(other[r])], names=["anchor", "home", "node", "bits"])
-    trim()
+    def run(batches):
+        import pyarrow as pa
+
+        held = [distinct_shingles(t, k) for batch in batches for t in batch["text"].to_pylist()]
+        found, times = np.unique(np.concatenate([np.zeros(0, "<u8"), *held]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["token", "n"])
+        trim()
+
+    share = ORDER_ROWS / max(ORDER_ROWS, docs.count())
+    rows = docs.where(F.pmod(F.xxhash64(F.lit("order"), F.col(id_col), F.length(text_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_col).alias("text"))
+    counts = written(rows.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= REPEATED), "simhash-order")
+    least, total = REPEATED, 0
+    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("tokens")).collect(), reverse=True):
+        total += row["tokens"]
+        if total > COMMON:
+            least = row["n"] + 1
+            break
+    table = counts.where(F.col("n") >= least).toPandas()
+    tokens, n = table["token"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Those shingles, rare ones first, of which a text that similar has one at least."""
+    known, times = common
+    n = len(shingles)
+    rank = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, times[at], 0)
+    return shingles[np.argsort(rank, kind="stable")][: max(0, n - int(np.ceil(similarity * n - 1e-6)) + 1) if n else 0]
 
 
 def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -281,63 +288,106 @@ def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-#: Pairs of an anchor's homes and members that are compared at once; larger anchors go one by one.
-SMALL_PAIRS = 4096
-
-
-def _compare_sketch(batches):
-    import pyarrow as pa
+#: Members of a shingle up to which all its pairs are handed on.
+SMALL_GROUP = 8
 
-    def close(key, home, node, bits):
-        edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
-        sizes, homes = np.diff(edges), np.add.reduceat(home.astype(np.int64), edges[:-1])
-        many = sizes * homes > SMALL_PAIRS
-        out = [np.zeros((0, 2), np.int64)]
-        # small anchors together: every home against every member of its anchor
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.flatnonzero(home & ~many[group] & (sizes[group] > 1))
-        for part in np.array_split(at, max(1, int(sizes[group[at]].sum()) >> 20)):
-            reach = sizes[group[part]]
-            a = np.repeat(part, reach)
-            b = np.repeat(edges[group[part]], reach) + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-            near = (np.bitwise_count(bits[a] ^ bits[b]) <= CLOSE_BITS) & (node[a] != node[b])
-            hit = np.unique(group[a[near]])
-            for g in hit:
-                out.append(_forest_of(node, bits, edges[g], edges[g + 1]))
-        for g in np.flatnonzero(many & (sizes > 1)):
-            out.append(_forest_of(node, bits, edges[g], edges[g + 1]))
-        pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs.min(axis=1))), pa.array(np.ascontiguousarray(pairs.max(axis=1)))], names=["a", "b"])
 
+def _whole_groups(batches, names: list[str]):
+    """The columns of sorted rows as arrays; rows equal in the first column come together."""
     held, rows = [], 0
     for batch in batches:
-        held.append([batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "home", "node", "bits")])
+        held.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
         rows += batch.num_rows
         if rows >= BLOCK:
             whole = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            cut = int(np.flatnonzero(np.diff(whole[0], prepend=whole[0][0]))[-1:].sum())  # where the last group begins
             if cut:
-                yield close(*(x[:cut] for x in whole))
+                yield [x[:cut] for x in whole]
             held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
     if rows:
-        yield close(*(np.concatenate(x) for x in zip(*held)))
+        yield [np.concatenate(x) for x in zip(*held)]
     trim()
 
 
-def _forest_of(node, bits, a, b):
-    own, first = np.unique(node[a:b], return_index=True)
-    pairs = spanning(bits[a:b][first].view(np.uint64), CLOSE_BITS)
-    return own[np.array(pairs, np.int64).reshape(-1, 2)]
+def _edges(key: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+def _shared(batches):
+    """Rows whose shingle has another member."""
+    import pyarrow as pa
+
+    names = ["token", "node", "size", "rest", "bits"]
+    for columns in _whole_groups(batches, names):
+        sizes = np.diff(_edges(columns[0]))
+        keep = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+
+def candidates(token, node, size, rest, bits, label, most: int, similarity: float) -> np.ndarray:
+    """Pairs of members of a shingle, in different components, that may be that similar.
+
+    Of groups beyond SMALL_GROUP only a spanning forest of sketches, or of each member its `most` closest by sketch if that isn't 0.
+    """
+    share, bits = similarity / (1 + similarity), bits.view(np.uint64)
+
+    def may(a, b):
+        need = share * (size[a] + size[b]) - 1e-6
+        return (rest[a] >= need) & (rest[b] >= need) & (label[a] != label[b])
+
+    edges = _edges(token)
+    sizes = np.diff(edges)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    apart = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
+    small, out = np.flatnonzero((apart & (sizes <= SMALL_GROUP))[group]), []
+    for d in range(1, SMALL_GROUP):
+        a = small[small + d < len(token)]
+        a = a[group[a] == group[a + d]]
+        a = a[may(a, a + d)]
+        out.append(np.stack([node[a], node[a + d]], 1))
+    for g in np.flatnonzero(apart & (sizes > SMALL_GROUP)):
+        at = np.arange(edges[g], edges[g + 1])
+        if not most:
+            a, b = at[np.array(spanning(bits[at], 64), np.int64).reshape(-1, 2)].T
+            a, b = (x[may(a, b)] for x in (a, b))
+            out.append(np.stack([node[a], node[b]], 1))
+            continue
+        step = max(1, (1 << 20) // len(at))
+        for i in range(0, len(at), step):
+            block = at[i : i + step, None]
+            far = np.where(may(block, at[None]), np.bitwise_count(bits[block] ^ bits[at]), 255).astype(np.uint8)
+            near = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(at) else np.broadcast_to(np.arange(len(at)), far.shape)
+            a, b = np.nonzero(np.take_along_axis(far, near, 1) < 255)
+            out.append(np.stack([node[at[i + a]], node[at[near[a, b]]]], 1))
+    pairs = np.concatenate(out).reshape(-1, 2)
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def _propose(most: int, similarity: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for columns in _whole_groups(batches, ["token", "node", "size", "rest", "bits", "label"]):
+            pairs = candidates(*columns, most, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
 
+def split_members(postings: DataFrame) -> DataFrame:
+    """postings with shingles of more than HOT_HOMES members dealt to several tasks: their members are hashed into parts, and those of each two parts meet."""
+    counts = postings.groupBy("token").agg(F.count("*").alias("n"))
+    hot = written(counts.where(F.col("n") > HOT_HOMES).select("token", F.ceil(F.col("n") / HOT_HOMES).cast("bigint").alias("parts")), "simhash-hot")
+    if hot.limit(1).count() == 0:
+        return postings
+    rows = postings.join(small_side(hot, 64), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    task = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.withColumn("token", F.when(F.col("parts") > 1, task).otherwise(F.col("token"))).select(*postings.columns)
 
-def near_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b): links between nodes of rows (node, id, digest, wide) whose texts' k-word shingles are that similar; they connect what all such links connect, but for pairs that fingerprints miss."""
-    points = written(rows.groupBy("wide").agg(F.min("node").alias("node")), "simhash-points")
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // 6_000))
-    replicas = points.mapInArrow(_replicate_sketch, "anchor bigint, home boolean, node bigint, bits bigint")
-    close = split_hot(replicas, points.select(F.col("wide").alias("points")), "node", True).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketch, "a bigint, b bigint")
-    same = rows.join(points.withColumnRenamed("node", "a"), "wide").where("a < node").select("a", F.col("node").alias("b"))
-    pairs = written(close.distinct().union(same), "simhash-close")
+
+def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose whole texts are that similar."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(rows.join(nodes, "node").select("node", "id", "digest"), "simhash-wanted")
 
@@ -353,13 +403,36 @@ def near_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     found = texts.join(side, texts["i"].eqNullSafe(side["id"]) & (texts["d"] == side["digest"])).select(F.col("first").alias("node"), "text").dropDuplicates(["node"])
     first = wanted.join(wanted.groupBy("id", "digest").agg(F.min("node").alias("first")).withColumnsRenamed({"id": "i", "digest": "d"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("node", "first")
     sets = written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "simhash-sets")
-    every = first.join(sets.withColumnRenamed("node", "first"), "first").select("node", "shingles")
+    every = written(first.join(sets.withColumnRenamed("node", "first"), "first").select("node", "shingles"), "simhash-every")
+    held = every.agg(F.sum(F.size("shingles") * 8 + 32)).first()[0] or 0
     left, right = (every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    if held <= BROADCAST_BYTES:
+        left, right = F.broadcast(left), F.broadcast(right)
     both = F.size(F.array_intersect("sa", "sb"))
     # |A and B| / |A or B| >= similarity, without dividing
     return pairs.join(left, "a").join(right, "b").where(both * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b")
 
 
+def near_copies(rows: DataFrame, known: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(node, root) of the components of `known` links (a, b) and of all links between nodes of rows whose texts' k-word shingles are that similar.
+
+    rows: node, id, digest, and of a text's shingles their digest (same), number (size), sketch (bits) and prefix.
+    """
+    firsts = rows.groupBy("same").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    same = written(rows.select("same", F.col("node").alias("b")).join(small_side(written(firsts, "simhash-firsts"), 64), "same").where("a < b").select("a", "b"), "simhash-same")
+    points = rows.join(small_side(same.select(F.col("b").alias("node")), 16), "node", "left_anti")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) // 1_000_000))
+    postings = points.select("node", "size", "bits", F.posexplode("prefix").alias("at", "token")).select("token", "node", "size", (F.col("size") - F.col("at")).alias("rest"), "bits")
+    postings = written(postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token bigint, node bigint, size int, rest int, bits bigint"), "simhash-shared")
+    postings = written(split_members(postings), "simhash-postings")
+    found = known.union(same)
+    roots = written(components(found), "simhash-roots")
+    labelled = postings.join(small_side(roots, 16), "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
+    pairs = labelled.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_propose(0, similarity), "a bigint, b bigint").distinct()
+    pairs = written(pairs, "simhash-pairs")
+    return components(found.union(similar(pairs, rows, docs, id_col, text_col, similarity, k)))
+
+
 def _components(rows: DataFrame, limit: int) -> DataFrame:
     """rows (id, digest, fp) with component_id."""
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-prints")
@@ -373,23 +446,29 @@ def _components(rows: DataFrame, limit: int) -> DataFrame:
 def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: int, limit: int, similarity: float) -> DataFrame:
     """(id, digest, fp, component_id) of every row, by fingerprint links and links by similarity together."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, SHINGLE_WORDS))
+
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
             texts = [t.as_py() for t in batch["text"]]
             prints = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([sketch(t).tobytes() for t in texts], pa.binary())], names=["id", "digest", "fp", "wide"])
+            sets = [distinct_shingles(t, SHINGLE_WORDS) for t in texts]
+            bits = np.array([sketch(x) for x in sets], np.uint64).view(np.int64)
+            prefixes = pa.array([prefix(x, shared.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bits), prefixes], names=["id", "digest", "fp", "same", "size", "bits", "prefix"])
         trim()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, wide binary").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, same binary, size int, bits bigint, prefix array<bigint>").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
     own = written(rows.groupBy("fp").agg(F.min("node").alias("first")), "simhash-firsts")
     by_print = links(own.select("fp"), limit)
     a, b = (own.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in ("a", "b"))
     joined = by_print.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = rows.join(own, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    roots = written(components(joined.union(equal).union(near_copies(rows, docs, id_col, text_col, similarity))), "simhash-roots")
+    roots = written(near_copies(rows, joined.union(equal), docs, id_col, text_col, similarity), "simhash-roots")
     placed = written(rows.select("node", "id", "digest", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed")
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(named, "root").select("id", "digest", "fp", "component_id")

@@ -412,3 +412,16 @@ def test_similarity_dedup_of_repeated_lines(spark, times):
         data += [(2 * i, " ".join(text[:200] + line + text[200:])), (2 * i + 1, " ".join(text[:200] + line * times + text[200:]))]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(range(0, 24, 2))
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_similarity_dedup_of_contiguous_insertions(spark, share):
+    r = random.Random(int(share * 100))
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    data = []
+    for i in range(24):
+        text = [word() for _ in range(500)]
+        at, extra = r.choice([0, 500, r.randrange(500)]), [word() for _ in range(int(492 / share) - 500)]
+        data += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:at] + extra + text[at:]))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(range(0, 48, 2))
