@@ -288,8 +288,8 @@ def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-#: Members of a shingle up to which all its pairs are handed on.
-SMALL_GROUP = 8
+#: Members of a shingle up to which all its pairs are handed on, and how many closest ones the round after the forest takes; each further round takes that many times more.
+SMALL_GROUP, CLOSEST = 8, 16
 
 
 def _whole_groups(batches, names: list[str]):
@@ -425,12 +425,20 @@ def near_copies(rows: DataFrame, known: DataFrame, docs: DataFrame, id_col: str,
     postings = points.select("node", "size", "bits", F.posexplode("prefix").alias("at", "token")).select("token", "node", "size", (F.col("size") - F.col("at")).alias("rest"), "bits")
     postings = written(postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token bigint, node bigint, size int, rest int, bits bigint"), "simhash-shared")
     postings = written(split_members(postings), "simhash-postings")
-    found = known.union(same)
+    largest = postings.groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    found, checked, most = known.union(same), None, 0
     roots = written(components(found), "simhash-roots")
-    labelled = postings.join(small_side(roots, 16), "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
-    pairs = labelled.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_propose(0, similarity), "a bigint, b bigint").distinct()
-    pairs = written(pairs, "simhash-pairs")
-    return components(found.union(similar(pairs, rows, docs, id_col, text_col, similarity, k)))
+    while True:
+        labelled = postings.join(small_side(roots, 16), "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
+        pairs = labelled.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_propose(most, similarity), "a bigint, b bigint").distinct()
+        pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "simhash-pairs")
+        if pairs.limit(1).count():
+            checked = pairs if checked is None else checked.union(pairs)
+            found = found.union(written(similar(pairs, rows, docs, id_col, text_col, similarity, k), "simhash-similar"))
+            roots = written(components(found), "simhash-roots")
+        if largest <= max(most, SMALL_GROUP):
+            return roots
+        most = most * CLOSEST or CLOSEST
 
 
 def _components(rows: DataFrame, limit: int) -> DataFrame:

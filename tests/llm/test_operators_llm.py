@@ -425,3 +425,24 @@ def test_similarity_dedup_of_contiguous_insertions(spark, share):
         data += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:at] + extra + text[at:]))]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(range(0, 48, 2))
+
+
+def test_similarity_dedup_of_families(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    data = []
+    for _ in range(3):
+        base = [word() for _ in range(300)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(r.randint(2, 9)):
+                at = r.randrange(len(copy))
+                copy[at : at + r.randint(0, 3)] = [word() for _ in range(r.randint(0, 3))]
+            data.append((len(data), " ".join(copy)))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    sets = [set(simhash.distinct_shingles(t, 5).tolist()) for _, t in data]
+    prints = [simhash.fingerprint(t) for _, t in data]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 3
+    root = union_find(range(len(data)), [(a, b) for a in range(len(data)) for b in range(a) if alike(a, b)])
+    assert len(set(root.values())) > 6
+    assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(root.values())
