@@ -3,9 +3,9 @@
 Every document's ids, with an end id, are cut into pieces of at most `size` ids.  A configuration is a
 multiset of piece lengths that fits a sequence; the program asks for the fewest configurations that
 cover the histogram.  It is solved by multiplicative weights: each length has a weight that falls as
-the length is covered, a knapsack dynamic program prices the best configuration for those weights,
-and that configuration gets a share of what its lengths lack.  The fractional solution is rounded down;
-what is left, and what STEPS steps leave open, is placed best fit, longest first.
+the length is covered, a knapsack dynamic program prices the best configurations for those weights,
+and each gets a share, in whole times, of what its lengths lack.  It runs until at most TOLERANCE of the
+ids are open; those are placed best fit, longest first.
 
 Only the histogram (at most `size` numbers) comes to the driver.  Pieces are numbered within their
 length by counts of tasks added up over tasks, and a table of places, bounded by the histogram, turns
@@ -27,66 +27,82 @@ from llm import tokens
 from llm.common import small_side, trim, whole, written
 
 TOKENIZER, END_ID, SIZE = "byte_bpe_50k.json", 0, 2048
-#: Share of a configuration's whole possible use that one step of the weights gives it, steps at most, and how fast weights fall.
-STEP, STEPS, RATE = 0.5, 300, 1.0
+#: Share of a configuration's whole possible use that one step of the weights gives it, how fast weights fall, and the share of ids that the program may leave open.
+STEP, RATE, TOLERANCE = 0.5, 1.0, 0.01
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, src bigint, nth bigint"
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, limits: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration of most value: length number -> times; a length counts no more often than its limit.
+def knapsack_choices(values: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """For each room up to size, the length number that the configuration of most value takes next; -1: none, try one id less.
 
-    An unbounded dynamic program over sizes; a length beyond its limit is cut back and the room filled by value per id.
+    An unbounded dynamic program over sizes; lengths go up.
     """
     best, choice = np.zeros(size + 1), np.full(size + 1, -1)
-    order = np.argsort(lengths)
-    lengths_up, values_up = lengths[order], values[order]
+    ends = np.searchsorted(lengths, np.arange(size + 1), "right")
     for room in range(1, size + 1):
-        n = np.searchsorted(lengths_up, room, "right")
-        if n:
-            gain = best[room - lengths_up[:n]] + values_up[:n]
+        if n := ends[room]:
+            gain = best[room - lengths[:n]] + values[:n]
             i = int(gain.argmax())
             if gain[i] > best[room - 1]:
-                best[room], choice[room] = gain[i], order[i]
+                best[room], choice[room] = gain[i], i
                 continue
         best[room] = best[room - 1]
-    used: dict[int, int] = {}
-    room = size
+    return choice
+
+
+def filled(used: dict[int, int], lengths: np.ndarray, limits: np.ndarray, size: int) -> dict[int, int]:
+    """The configuration with what room it leaves filled, longest first, within the limits."""
+    used, free = dict(used), limits.copy()
+    for i, n in used.items():
+        free[i] -= n
+    left = size - sum(int(lengths[i]) * n for i, n in used.items())
+    while len(fit := np.flatnonzero(free[: np.searchsorted(lengths, left, "right")])):
+        i = int(fit[-1])
+        n = min(left // int(lengths[i]), int(free[i]))
+        used[i] = used.get(i, 0) + n
+        free[i] -= n
+        left -= n * int(lengths[i])
+    return used
+
+
+def with_length(i: int, room_left: int, choice: np.ndarray, lengths: np.ndarray, limits: np.ndarray) -> dict[int, int]:
+    """Length i and the configuration of most value beside it, by a knapsack's choices; a length beyond its limit is cut back."""
+    used, room = {i: 1}, room_left
     while room > 0:
-        i = int(choice[room])
-        if i < 0:
+        c = int(choice[room])
+        if c < 0:
             room -= 1
             continue
-        used[i] = used.get(i, 0) + 1
-        room -= int(lengths[i])
-    for i in used:
-        used[i] = min(used[i], int(limits[i]))
-    left = size - sum(int(lengths[i]) * n for i, n in used.items())
-    for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i] <= left and (n := min(left // int(lengths[i]), int(limits[i]) - used.get(int(i), 0))) > 0:
-            used[int(i)] = used.get(int(i), 0) + n
-            left -= n * int(lengths[i])
-    return used
+        used[c] = used.get(c, 0) + 1
+        room -= int(lengths[c])
+    return {c: n for c, m in used.items() if (n := min(m, int(limits[c]))) > 0}
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], float]]:
-    """The fractional program: (configuration, times), by multiplicative weights.
+def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], int]]:
+    """The covering program: (configuration, whole times), by multiplicative weights, until TOLERANCE of the ids or less is open.
 
     A length's price is its share of a sequence times its weight; each use of a configuration lowers the
-    weights of its lengths by the share of them that it covers, so lengths that are hard to place gain.
+    weights of its lengths by the share of them that it covers, so lengths that are hard to place gain.  One
+    knapsack prices a phase: for each open length, longest first, the best configuration that holds it.  The
+    number of phases follows the logarithm of the counts: a phase takes a share of each open length.
     """
-    lack, weights, out = counts.astype(float), np.ones(len(lengths)), []
-    for _ in range(STEPS):
-        open_ = np.flatnonzero(lack >= 1)
-        if not len(open_):
-            break
-        prices = (weights[open_] / weights[open_].max()) ** RATE * lengths[open_] / size
-        config = {int(open_[i]): n for i, n in knapsack(prices, lengths[open_], np.floor(lack[open_]), size).items()}
-        most = min(lack[i] / n for i, n in config.items())
-        times = max(min(most, 1.0), most * STEP)
-        for i, n in config.items():
-            weights[i] *= 1 - n * times / lack[i] if n * times < lack[i] else 0.0
-            lack[i] -= n * times
-        out.append((config, times))
+    lack, weights, out = counts.astype(np.int64), np.ones(len(lengths)), []
+    least = TOLERANCE * float(lengths @ lack)
+    while float(lengths @ lack) > least:
+        open_ = np.flatnonzero(lack)
+        own = lengths[open_]
+        choice = knapsack_choices((weights[open_] / weights[open_].max()) ** RATE * own / size, own, size)
+        for k in range(len(open_) - 1, -1, -1):
+            if not lack[open_[k]]:
+                continue
+            config = {int(open_[c]): n for c, n in with_length(k, size - int(own[k]), choice, own, lack[open_]).items()}
+            config = filled(config, lengths, lack, size)
+            times = max(1, int(min(lack[i] // n for i, n in config.items()) * STEP))
+            for i, n in config.items():
+                weights[i] *= 1 - n * times / lack[i]
+                lack[i] -= n * times
+            out.append((config, times))
+        weights = np.maximum(weights, 1e-9)
     return out
 
 
@@ -134,12 +150,11 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[dict[int, in
     whole_times: dict[tuple[tuple[int, int], ...], int] = {}
     left = counts.copy()
     if len(lengths):
-        for config, times in solve(lengths, counts, size):
-            if (n := int(times)) > 0:
-                key = tuple(sorted(config.items()))
-                whole_times[key] = whole_times.get(key, 0) + n
-                for i, m in config.items():
-                    left[i] -= m * n
+        for config, n in solve(lengths, counts, size):
+            key = tuple(sorted(config.items()))
+            whole_times[key] = whole_times.get(key, 0) + n
+            for i, m in config.items():
+                left[i] -= m * n
         for key, n in best_fit(lengths, left, size).items():
             whole_times[key] = whole_times.get(key, 0) + n
     out = [({int(lengths[i]): m for i, m in key}, n) for key, n in whole_times.items()]

@@ -446,3 +446,14 @@ def test_similarity_dedup_of_families(spark):
     root = union_find(range(len(data)), [(a, b) for a in range(len(data)) for b in range(a) if alike(a, b)])
     assert len(set(root.values())) > 6
     assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(root.values())
+
+
+@pytest.mark.parametrize("pieces", [1000, 20_000, 1_000_000])
+def test_packing_program_covers_full_histograms(pieces):
+    drawn = np.clip(np.random.default_rng(0).lognormal(6, 1, pieces).astype(int) + 1, 1, 2047)
+    lengths, counts = np.unique(drawn, return_counts=True)
+    placed = sum(times * sum(int(lengths[i]) * m for i, m in config.items()) for config, times in packing.solve(lengths, counts))
+    assert placed >= 0.99 * drawn.sum()
+    configs = packing.plan(dict(zip(lengths.tolist(), counts.tolist())))
+    assert sum(times for _, times in configs) <= -(-drawn.sum() // 2048) * 1.01 + 1
+    assert sum(n * m * times for config, times in configs for n, m in config.items()) == drawn.sum()
