@@ -11,8 +11,13 @@ links themselves, so groups of near copies don't grow quadratically on the way o
 `near_copies` finds documents by their similarity instead: Jaccard >= 0.8 of five-word shingles.  It is an
 exact prefix-filtered join: in one order of all shingles, those rare in a sample first, two texts that
 similar share a shingle among the first fifth of each, and enough places are left after the first that
-they share.  Texts that share a shingle there are its members.  The sample and the 64-bit sketch of a text
-only decide in which order pairs are looked at, never whether.
+they share.  Texts that share a shingle there are its members.  The sample only orders shingles; it never
+decides whether a pair is looked at.  Postings travel to owners of shingle ranges in compressed blocks, and
+those of shingles that no other text has end there.  Pairs of a shingle with few members are all checked.
+Of a larger one, some members represent it in a round: they are checked with all others, what is linked is
+contracted, and the next round takes more representatives, for shingles with members in two
+components; so a group of near copies costs its size times a few, and no link is lost.  A profile of each
+set, which bounds what two can share, spares most pairs the check on whole texts.
 
 Equal fingerprints are one point, so exact copies cost nothing beyond the first.  An anchor that more
 than HOT_HOMES points have for their home is compared in several tasks.
@@ -39,6 +44,12 @@ LIMIT = 3
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
 #: Rows of the sample that orders shingles by rarity, and shingles known from it: those found most often, REPEATED times at least.
 ORDER_ROWS, COMMON, REPEATED = 10_000, 1 << 16, 3
+#: Members of a shingle up to which its pairs are handed on at once, and of a larger one how many represent it in the first round; each further round takes GROWTH times as many.
+SMALL_GROUP, FIRST, GROWTH = 8, 4, 16
+#: Postings that a task sends at a time, that a task of owners is meant to get, and members of a shingle beyond which an owner doesn't hold them.
+SENT_POSTINGS, OWNER_POSTINGS, HELD_MEMBERS = 1 << 19, 1 << 20, 4096
+#: Ranges of a set's profile.
+PROFILE = 256
 #: Bytes of text cut into words at a time.
 RUN_BYTES = 4 << 20
 #: Rows of a comparison block, and homes of an anchor beyond which its comparison is split.
@@ -226,12 +237,10 @@ def distinct_shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *(_shingle_hashes(run, k) for run in word_runs((text or "").encode().lower(), k))]))
 
 
-def sketch(hashes: np.ndarray) -> int:
-    """64 majority bits of distinct hashes; how often a shingle is repeated doesn't count."""
-    counts = np.zeros(64, np.uint64)
-    for i in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+def profile(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of PROFILE equal ranges; 255 stands for that many or more."""
+    ranges = (hashes >> np.uint64(64 - PROFILE.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(ranges, minlength=PROFILE), 255).astype(np.uint8).tobytes()
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,125 +280,177 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.argsort(rank, kind="stable")][: max(0, n - int(np.ceil(similarity * n - 1e-6)) + 1) if n else 0]
 
 
-def spanning(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the places of bits, links being at most `limit` bits long; memory follows the number of places."""
-    out, n = [], len(bits)
-    left = np.arange(n)
-    best, via = np.full(n, 255), np.full(n, -1)
-    while len(left):
-        j = int(best[left].argmin())
-        i = int(left[j])
-        if best[i] <= limit:
-            out.append((int(via[i]), i))
-        left = np.delete(left, j)
-        d = np.bitwise_count(bits[left] ^ bits[i])
-        closer = d < best[left]
-        best[left[closer]], via[left[closer]] = d[closer], i
-    return out
+#: Bytes of a posting on the way to its owner: shingle, node, number of shingles of the node's text, place.
+POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
-#: Members of a shingle up to which all its pairs are handed on, and how many closest ones the round after the forest takes; each further round takes that many times more.
-SMALL_GROUP, CLOSEST = 8, 16
+def _planes(postings: np.ndarray) -> bytes:
+    """The postings' first bytes, then all their second ones and so on: shuffles compress them better."""
+    return postings.view(np.uint8).reshape(-1, POSTING.itemsize).T.tobytes()
 
 
-def _whole_groups(batches, names: list[str]):
-    """The columns of sorted rows as arrays; rows equal in the first column come together."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append([batch[c].to_numpy(zero_copy_only=False) for c in names])
-        rows += batch.num_rows
-        if rows >= BLOCK:
-            whole = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.flatnonzero(np.diff(whole[0], prepend=whole[0][0]))[-1:].sum())  # where the last group begins
-            if cut:
-                yield [x[:cut] for x in whole]
-            held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
-    if rows:
-        yield [np.concatenate(x) for x in zip(*held)]
-    trim()
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(POSTING.itemsize, -1).T).view(POSTING).ravel()
+
+
+def _send(owners: int):
+    """Rows of postings for each owner of a range of shingles, from rows (node, size, prefix)."""
+    width = np.uint64(-(-(1 << 64) // owners))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(parts):
+            postings = np.concatenate(parts)
+            postings = postings[np.argsort(postings["token"], kind="stable")]
+            own = (postings["token"] // width).astype(np.int64)
+            edges = _edges(own)
+            sent = [_planes(postings[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]]), pa.array(sent, pa.binary())], names=["owner", "postings"])
+
+        held, rows = [], 0
+        for batch in batches:
+            lists = batch["prefix"]
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            part = np.zeros(int(lengths.sum()), POSTING)
+            part["token"] = lists.flatten().to_numpy().view(np.uint64)
+            part["node"] = np.repeat(batch["node"].to_numpy(), lengths)
+            part["size"] = np.repeat(batch["size"].to_numpy(), lengths)
+            part["at"] = np.arange(len(part)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            held.append(part)
+            rows += len(part)
+            if rows >= SENT_POSTINGS:
+                yield flush(held)
+                held, rows = [], 0
+        if rows:
+            yield flush(held)
+        trim()
+
+    return run
 
 
 def _edges(key: np.ndarray) -> np.ndarray:
+    """Where equal values of a sorted array begin, and its end."""
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def _shared(batches):
-    """Rows whose shingle has another member."""
-    import pyarrow as pa
-
-    names = ["token", "node", "size", "rest", "bits"]
-    for columns in _whole_groups(batches, names):
-        sizes = np.diff(_edges(columns[0]))
-        keep = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+def may_be_similar(size_a, rest_a, size_b, rest_b, similarity: float):
+    """Whether texts that share a shingle, with so many left from it on, may be that similar; for arrays and for columns."""
+    need = similarity / (1 + similarity) * (size_a + size_b) - 1e-6
+    return (rest_a >= need) & (rest_b >= need)
 
 
-def candidates(token, node, size, rest, bits, label, most: int, similarity: float) -> np.ndarray:
-    """Pairs of members of a shingle, in different components, that may be that similar.
+def _meet(similarity: float):
+    """Of an owner's postings: pairs (node, other) of shingles with few members, and postings (other is null) of those with more.
 
-    Of groups beyond SMALL_GROUP only a spanning forest of sketches, or of each member its `most` closest by sketch if that isn't 0.
+    Postings of a shingle with over HELD_MEMBERS members are handed on as they come, so none is held whole.
     """
-    share, bits = similarity / (1 + similarity), bits.view(np.uint64)
-
-    def may(a, b):
-        need = share * (size[a] + size[b]) - 1e-6
-        return (rest[a] >= need) & (rest[b] >= need) & (label[a] != label[b])
-
-    edges = _edges(token)
-    sizes = np.diff(edges)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    apart = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
-    small, out = np.flatnonzero((apart & (sizes <= SMALL_GROUP))[group]), []
-    for d in range(1, SMALL_GROUP):
-        a = small[small + d < len(token)]
-        a = a[group[a] == group[a + d]]
-        a = a[may(a, a + d)]
-        out.append(np.stack([node[a], node[a + d]], 1))
-    for g in np.flatnonzero(apart & (sizes > SMALL_GROUP)):
-        at = np.arange(edges[g], edges[g + 1])
-        if not most:
-            a, b = at[np.array(spanning(bits[at], 64), np.int64).reshape(-1, 2)].T
-            a, b = (x[may(a, b)] for x in (a, b))
-            out.append(np.stack([node[a], node[b]], 1))
-            continue
-        step = max(1, (1 << 20) // len(at))
-        for i in range(0, len(at), step):
-            block = at[i : i + step, None]
-            far = np.where(may(block, at[None]), np.bitwise_count(bits[block] ^ bits[at]), 255).astype(np.uint8)
-            near = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(at) else np.broadcast_to(np.arange(len(at)), far.shape)
-            a, b = np.nonzero(np.take_along_axis(far, near, 1) < 255)
-            out.append(np.stack([node[at[i + a]], node[at[near[a, b]]]], 1))
-    pairs = np.concatenate(out).reshape(-1, 2)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
-
-
-def _propose(most: int, similarity: float):
+
     def run(batches):
         import pyarrow as pa
 
-        for columns in _whole_groups(batches, ["token", "node", "size", "rest", "bits", "label"]):
-            pairs = candidates(*columns, most, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+        names, kinds = ["token", "node", "other", "size", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+        def postings(rows):
+            columns = [rows["token"].view(np.int64), rows["node"], None, rows["size"], rows["at"]]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), k) if c is None else pa.array(np.ascontiguousarray(c).astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], names=names)
+
+        def pairs(rows):
+            out, key = [np.zeros((0, 2), np.int64)], rows["token"]
+            for d in range(1, SMALL_GROUP):
+                a = np.flatnonzero(key[:-d] == key[d:])
+                x, y = rows[a], rows[a + d]
+                may = may_be_similar(x["size"].astype(np.int64), x["size"].astype(np.int64) - x["at"], y["size"].astype(np.int64), y["size"].astype(np.int64) - y["at"], similarity)
+                out.append(np.stack([x["node"][may], y["node"][may]], 1))
+            found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            columns = [None, found[:, 0], found[:, 1], None, None]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(found), k) if c is None else pa.array(np.ascontiguousarray(c)) for c, k in zip(columns, kinds)], names=names)
+
+        def grouped(held):
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows["token"], kind="stable")]
+            sizes = np.diff(_edges(rows["token"]))
+            return rows, np.repeat(sizes, sizes)
+
+        def done(held, open_):
+            if held:
+                rows, sizes = grouped(held)
+                large = (sizes > SMALL_GROUP) | np.isin(rows["token"], open_)
+                yield postings(rows[large])
+                yield pairs(rows[~large & (sizes > 1)])
+
+        owner, held, n, open_, most = None, [], 0, np.zeros(0, np.uint64), 4 * OWNER_POSTINGS
+        for batch in batches:
+            for own, data in zip(batch["owner"].to_pylist(), batch["postings"]):
+                if own != owner:
+                    yield from done(held, open_)
+                    owner, held, n, open_, most = own, [], 0, np.zeros(0, np.uint64), 4 * OWNER_POSTINGS
+                held.append(_from_planes(data.as_buffer()))
+                n += len(held[-1])
+                if n >= most:
+                    rows, sizes = grouped(held)
+                    open_ = np.union1d(open_, rows["token"][sizes > HELD_MEMBERS])
+                    ready = np.isin(rows["token"], open_)
+                    yield postings(rows[ready])
+                    held, n = [rows[~ready]], int((~ready).sum())
+                    most = max(4 * OWNER_POSTINGS, 2 * n)
+        yield from done(held, open_)
+        trim()
 
     return run
 
 
-def split_members(postings: DataFrame) -> DataFrame:
-    """postings with shingles of more than HOT_HOMES members dealt to several tasks: their members are hashed into parts, and those of each two parts meet."""
-    counts = postings.groupBy("token").agg(F.count("*").alias("n"))
-    hot = written(counts.where(F.col("n") > HOT_HOMES).select("token", F.ceil(F.col("n") / HOT_HOMES).cast("bigint").alias("parts")), "simhash-hot")
-    if hot.limit(1).count() == 0:
-        return postings
-    rows = postings.join(small_side(hot, 64), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    task = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.withColumn("token", F.when(F.col("parts") > 1, task).otherwise(F.col("token"))).select(*postings.columns)
+def by_representatives(large: DataFrame, roots: DataFrame, least: int, most: int, similarity: float) -> DataFrame | None:
+    """Pairs (a, b) of a shingle's representatives and its other members, in different components, that may be that similar; None if no shingle has members in two.
+
+    large: token, node, size, at and the shingle's number of members.  A shingle's representatives are those of its
+    members whose place in a hash's order, of as many places as members, lies from `least` up to `most`; once `most` is
+    the number of members, all have been one.  The members of a shingle are joined with its representatives, so
+    a shingle that many texts share is split like any skewed key.
+    """
+    place = F.pmod(F.xxhash64("token", "node"), F.lit(1 << 30)) * F.col("members") / (1 << 30)
+    rows = large.join(small_side(roots, 16), "node", "left").select("token", "node", "size", "at", place.alias("place"), F.coalesce("root", "node").alias("label"))
+    apart = written(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token"), "simhash-apart")
+    if apart.limit(1).count() == 0:
+        return None
+    rows = written(rows.join(small_side(apart, 8), "token", "left_semi"), "simhash-members")
+    chosen = rows.where((F.col("place") >= least) & (F.col("place") < most)).select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "label")))
+    may = may_be_similar(F.col("size_a"), F.col("size_a") - F.col("at_a"), F.col("size"), F.col("size") - F.col("at"), similarity)
+    met = chosen.join(rows, (chosen["token"] == rows["token"]) & (F.col("label_a") != F.col("label")) & may)
+    return met.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes in different components."""
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    for end in ends:
+        pairs = pairs.join(small_side(end, 16), end.columns[0], "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def close(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose profiles allow that similarity: shared shingles lie in the same range of both."""
 
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bound = np.zeros(batch.num_rows, np.int64)
+            p, q = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("profile_a", "profile_b"))
+            bound = np.where((p == 255) & (q == 255), 1 << 40, np.minimum(p, q).astype(np.int64)).sum(axis=1)
+            need = similarity / (1 + similarity) * (batch["size_a"].to_numpy().astype(np.int64) + batch["size_b"].to_numpy()) - 1e-6
+            kept = batch.filter(pa.array(bound >= need))
+            yield kept.select(["a", "b"])
+
+    for c in ("a", "b"):
+        side = rows.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("profile").alias(f"profile_{c}"))
+        pairs = side.join(F.broadcast(pairs), c) if pairs.count() * (16 + PROFILE) <= BROADCAST_BYTES else pairs.join(side, c)
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose whole texts are that similar."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(rows.join(nodes, "node").select("node", "id", "digest"), "simhash-wanted")
+
+def shingle_sets(nodes: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, shingles) of the nodes, written."""
+    wanted = written(rows.join(small_side(nodes, 8), "node", "left_semi").select("node", "id", F.col("digest").alias("sha")), "simhash-wanted")
 
     def run(batches):
         import pyarrow as pa
@@ -397,15 +458,18 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
         for batch in batches:
             sets = [distinct_shingles(t.as_py(), k).view(np.int64) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        trim()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), row_digest(F.col(text_col)).alias("d"), F.col(text_col).alias("text"))
-    side = small_side(wanted.groupBy("id", "digest").agg(F.min("node").alias("first")), 64)
-    found = texts.join(side, texts["i"].eqNullSafe(side["id"]) & (texts["d"] == side["digest"])).select(F.col("first").alias("node"), "text").dropDuplicates(["node"])
-    first = wanted.join(wanted.groupBy("id", "digest").agg(F.min("node").alias("first")).withColumnsRenamed({"id": "i", "digest": "d"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("node", "first")
-    sets = written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "simhash-sets")
-    every = written(first.join(sets.withColumnRenamed("node", "first"), "first").select("node", "shingles"), "simhash-every")
-    held = every.agg(F.sum(F.size("shingles") * 8 + 32)).first()[0] or 0
-    left, right = (every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    side = small_side(wanted, 64)
+    found = texts.join(side, texts["i"].eqNullSafe(side["id"]) & (texts["d"] == side["sha"])).select("node", "text")
+    return written(found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "simhash-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets of shingles are that similar."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    held = sets.agg(F.sum(F.size("shingles") * 8 + 32)).first()[0] or 0
     if held <= BROADCAST_BYTES:
         left, right = F.broadcast(left), F.broadcast(right)
     both = F.size(F.array_intersect("sa", "sb"))
@@ -416,29 +480,41 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
 def near_copies(rows: DataFrame, known: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
     """(node, root) of the components of `known` links (a, b) and of all links between nodes of rows whose texts' k-word shingles are that similar.
 
-    rows: node, id, digest, and of a text's shingles their digest (same), number (size), sketch (bits) and prefix.
+    rows: node, id, digest, and of a text's shingles their digest (same), number (size), profile and prefix.
     """
+    spark = rows.sparkSession
     firsts = rows.groupBy("same").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     same = written(rows.select("same", F.col("node").alias("b")).join(small_side(written(firsts, "simhash-firsts"), 64), "same").where("a < b").select("a", "b"), "simhash-same")
     points = rows.join(small_side(same.select(F.col("b").alias("node")), 16), "node", "left_anti")
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) // 1_000_000))
-    postings = points.select("node", "size", "bits", F.posexplode("prefix").alias("at", "token")).select("token", "node", "size", (F.col("size") - F.col("at")).alias("rest"), "bits")
-    postings = written(postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token bigint, node bigint, size int, rest int, bits bigint"), "simhash-shared")
-    postings = written(split_members(postings), "simhash-postings")
-    largest = postings.groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    found, checked, most = known.union(same), None, 0
-    roots = written(components(found), "simhash-roots")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) // OWNER_POSTINGS))
+    sent = points.select("node", "size", "prefix").mapInArrow(_send(4 * n), "owner bigint, postings binary")
+    met = written(sent.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_meet(similarity), "token bigint, node bigint, other bigint, size int, at int"), "simhash-met")
+    large = met.where("other IS NULL").select("token", "node", "size", "at")
+    members = written(large.groupBy("token").agg(F.count("*").alias("members")), "simhash-tokens")
+    largest = members.agg(F.max("members")).first()[0] or 0
+    if largest:
+        large = written(large.join(small_side(members, 16), "token"), "simhash-large")
+    roots = written(components(known.union(same)), "simhash-roots")
+    proposed, checked, sets, least, most = met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), None, None, 0, FIRST
     while True:
-        labelled = postings.join(small_side(roots, 16), "node", "left").select(*postings.columns, F.coalesce("root", "node").alias("label"))
-        pairs = labelled.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_propose(most, similarity), "a bigint, b bigint").distinct()
-        pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "simhash-pairs")
-        if pairs.limit(1).count():
+        chosen = by_representatives(large, roots, least, most, similarity) if largest else None
+        pairs = proposed if chosen is None else chosen if proposed is None else proposed.union(chosen)
+        if pairs is not None:
+            pairs = apart(pairs.distinct(), roots)
+            pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "simhash-pairs")
             checked = pairs if checked is None else checked.union(pairs)
-            found = found.union(written(similar(pairs, rows, docs, id_col, text_col, similarity, k), "simhash-similar"))
-            roots = written(components(found), "simhash-roots")
-        if largest <= max(most, SMALL_GROUP):
+            pairs = written(close(pairs, rows, similarity), "simhash-close")
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            nodes = written(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"), "simhash-nodes")
+            if nodes.limit(1).count():
+                more = shingle_sets(nodes, rows, docs, id_col, text_col, k)
+                sets = more if sets is None else sets.union(more)
+            if pairs.limit(1).count():
+                found = written(similar(pairs, sets, similarity), "simhash-similar")
+                roots = written(components(roots.toDF("a", "b").union(found)), "simhash-roots")
+        if chosen is None or most >= largest:
             return roots
-        most = most * CLOSEST or CLOSEST
+        proposed, least, most = None, most, most * GROWTH
 
 
 def _components(rows: DataFrame, limit: int) -> DataFrame:
@@ -464,13 +540,12 @@ def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: in
             texts = [t.as_py() for t in batch["text"]]
             prints = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
             sets = [distinct_shingles(t, SHINGLE_WORDS) for t in texts]
-            bits = np.array([sketch(x) for x in sets], np.uint64).view(np.int64)
             prefixes = pa.array([prefix(x, shared.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bits), prefixes], names=["id", "digest", "fp", "same", "size", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(prints), pa.array([xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(profile, sets), pa.binary()), prefixes], names=["id", "digest", "fp", "same", "size", "profile", "prefix"])
         trim()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, same binary, size int, bits bigint, prefix array<bigint>").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    rows = written(source.mapInArrow(run, "id bigint, digest binary, fp bigint, same binary, size int, profile binary, prefix array<bigint>").withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
     own = written(rows.groupBy("fp").agg(F.min("node").alias("first")), "simhash-firsts")
     by_print = links(own.select("fp"), limit)
     a, b = (own.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in ("a", "b"))

@@ -393,13 +393,33 @@ def test_similarity_dedup(spark, monkeypatch, hot):
     assert simhash.deduplicate(none(df), similarity=0.8).count() == 0
 
 
-def test_spanning_forest():
-    r = random.Random(0)
-    points = np.array([r.getrandbits(10) << 30 for _ in range(200)] + [r.getrandbits(64) for _ in range(20)], np.uint64)
-    for limit in (0, 1, 3):
-        links = simhash.spanning(points, limit)
-        want = union_find(range(220), [(a, b) for a in range(220) for b in range(220) if int(points[a] ^ points[b]).bit_count() <= limit])
-        assert union_find(range(220), links) == want and len(links) == 220 - len(set(want.values()))
+@pytest.mark.parametrize("n", [100, 800, 6000])
+def test_representatives_of_a_group_of_copies(spark, n):
+    """Pairs handed on for one group of near copies follow its size, and end once all are linked."""
+    large = spark.range(n).crossJoin(spark.range(20).withColumnRenamed("id", "token")).selectExpr("token", "id AS node", "100 AS size", "1 AS at", f"{n}L AS members")
+    pairs = simhash.by_representatives(large, spark.createDataFrame([], "node bigint, root bigint"), 0, simhash.FIRST, 0.8)
+    assert 0 < pairs.distinct().count() <= 3 * 20 * simhash.FIRST * n
+    linked = spark.range(n).selectExpr("id AS node", "0L AS root")
+    assert simhash.by_representatives(large, linked, 4, 64, 0.8) is None
+    two = spark.range(n).selectExpr("id AS node", "IF(id < 5, 0L, 5L) AS root")
+    assert simhash.by_representatives(large, two, 0, n, 0.8).distinct().count() == 5 * (n - 5)
+
+
+def test_profiles_bound_overlaps():
+    r = np.random.default_rng(3)
+    for n in (0, 3, 500, 200_000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * 2)
+        b = np.union1d(a[: len(a) // 2], r.integers(0, 1 << 63, n, dtype=np.uint64))
+        p, q = (np.frombuffer(simhash.profile(x), np.uint8).astype(int) for x in (a, b))
+        assert len(p) == simhash.PROFILE and np.where((p == 255) & (q == 255), 1 << 40, np.minimum(p, q)).sum() >= len(np.intersect1d(a, b))
+
+
+def test_postings_keep_their_planes():
+    r = np.random.default_rng(1)
+    rows = np.zeros(77, simhash.POSTING)
+    for name in rows.dtype.names:
+        rows[name] = r.integers(0, 1 << 31, 77)
+    assert (simhash._from_planes(simhash._planes(rows)) == rows).all()
 
 
 @pytest.mark.parametrize("times", [5, 20, 60])
@@ -427,7 +447,11 @@ def test_similarity_dedup_of_contiguous_insertions(spark, share):
     assert {x["doc_id"] for x in simhash.deduplicate(df, similarity=0.8).collect()} == set(range(0, 48, 2))
 
 
-def test_similarity_dedup_of_families(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_similarity_dedup_of_families(spark, monkeypatch, few):
+    if few:  # the paths for hot shingles
+        for name, n in {"SMALL_GROUP": 2, "GROWTH": 8, "SENT_POSTINGS": 500, "OWNER_POSTINGS": 1000, "HELD_MEMBERS": 5}.items():
+            monkeypatch.setattr(simhash, name, n)
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
     data = []
