@@ -6,7 +6,13 @@ sparse rows: their bucket numbers gather matrix rows, which are summed by docume
 whole texts.
 
 The model is fitted on a sample bounded by TRAIN_ROWS: rows are chosen by a hash of their id so that
-about that many are expected (all, if there are no more).  The matrix has BUCKETS x languages cells.
+about that many are expected (all, if there are no more).  The matrix has BUCKETS x languages cells; more
+than MOST_LANGUAGES labels are an error, which bounds what is gathered and broadcast.
+
+`accepted` uses the model in two ways.  A text's evidence is the mean over its n-grams of their
+log-probability in the best language less that of a draw from all buckets alike; a text without more
+evidence than EVIDENCE looks like none of the learned languages and is rejected.  With `languages`, so is a
+text whose language isn't among those.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without any labelled text
 all are; equal scores go to the language first in order; null ids are hashed as no id.
@@ -26,6 +32,10 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 200_000
 SMOOTHING = 0.1
+#: Nats an n-gram by which a text has to be likelier in its language than among all buckets alike.
+EVIDENCE = 0.0
+#: Labels of a model at most: its matrix is 32 MiB then.
+MOST_LANGUAGES = 256
 #: Characters of a block of texts, and matrix cells gathered at a time.
 BLOCK_CHARS, GATHERED = 1 << 19, 1 << 21
 UNKNOWN = "und"
@@ -78,17 +88,19 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndar
     return lettered, out
 
 
-def scores(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts with a letter, summed log-probabilities of texts x languages)."""
+def scores(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts with a letter, summed log-probabilities of texts x languages, n-grams of each text)."""
     lettered, orders = ngrams(texts)
+    grams = np.zeros(len(texts), np.int64)
     total, step = np.zeros((len(texts), matrix.shape[1])), max(1, GATHERED // max(1, matrix.shape[1]))
     for buckets, starts in orders:
         ends = np.append(starts[1:], len(buckets))
+        grams += ends - starts
         for a in range(0, len(buckets), step):
             b = min(a + step, len(buckets))
             rows = np.flatnonzero((starts < b) & (ends > a) & (ends > starts))
             total[rows] += np.add.reduceat(matrix[buckets[a:b]], np.maximum(starts[rows], a) - a, axis=0, dtype=np.float64)
-    return lettered, total
+    return lettered, total, grams
 
 
 def _count(batches):
@@ -118,6 +130,8 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     usable = docs if learn is None else docs.where(learn)
     usable = usable.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    if usable.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = train_rows / max(train_rows, usable.count())
     usable = usable.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -130,15 +144,17 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     return langs, np.vstack([matrix, prior]).astype(np.float32)
 
 
-def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(language, its posterior probability) of each text."""
+def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray, evidence: float | None = None) -> tuple[list[str], np.ndarray]:
+    """(language, its posterior probability) of each text; with `evidence`, texts that have no more are unknown."""
     names, out = [], []
     for block in _blocks(texts):
-        lettered, total = scores(block, matrix[:BUCKETS])
+        lettered, total, grams = scores(block, matrix[:BUCKETS])
         if not langs:
             names += [UNKNOWN] * len(block)
             out.append(np.zeros(len(block)))
             continue
+        if evidence is not None:
+            lettered &= total.max(axis=1) > (evidence - np.log(BUCKETS)) * grams
         total += matrix[BUCKETS]
         best = total.argmax(axis=1)
         posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -162,8 +178,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out: Col
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], languages: frozenset[str] | None = None, text_col: str = "text") -> DataFrame:
-    """docs, all columns, less the rows that are `und` (no letters) or, if `languages` is given, in none of those."""
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], languages: frozenset[str] | None = None, evidence: float = EVIDENCE, text_col: str = "text") -> DataFrame:
+    """docs, all columns, less the rows without letters, those that look like no learned language and, if `languages` is given, those in none of these.
+
+    A model without languages knows letters only.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
@@ -171,7 +190,7 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], languages: fr
 
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            names, _ = predict(texts, *shared.value)
+            names, _ = predict(texts, *shared.value, evidence)
             known = [n != UNKNOWN if shared.value[0] else any(map(str.isalpha, t or "")) for n, t in zip(names, texts)]
             yield batch.filter(pa.array([k and (languages is None or n in languages) for k, n in zip(known, names)], pa.bool_()))
 

@@ -283,9 +283,14 @@ def test_language_id(spark):
     got = {r["doc_id"]: r for r in language_id.identify(df, model, held).collect()}
     assert len(got) == len(data) + len(extra) and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in data)
     assert all(got[i]["lang_pred"] == lang for i, _, lang in data) and all(0 <= x["score"] <= 1 for x in got.values())
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(spark.range(300).selectExpr("id AS doc_id", "'a' AS text", "CAST(id AS STRING) AS lang"))
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1004]["lang_pred"] == "bb" and got[None]["lang_pred"] == "aa"
     left = language_id.accepted(df, model)
     assert left.columns == df.columns and left.count() == len(data) + 2
+    junk = spark.createDataFrame([(2000 + i, " ".join("".join(r.choice(kind) for _ in range(9)) for _ in range(n)), None, 1.0) for i, (kind, n) in enumerate([("bcdfghjklmnpqrstvwxz", 40), ("абвгдежзик", 30), ("qxzjkw", 400)])], df.schema)
+    assert language_id.accepted(junk, model).count() == 0 and language_id.accepted(junk, ([], model[1][:, :0])).count() == 3
+    assert {x["lang"] for x in language_id.accepted(df, model, frozenset({"aa"})).where("doc_id < 1000").collect()} == {"aa"}
     empty = language_id.fit(none(df))
     assert empty[0] == [] and {r["lang_pred"] for r in language_id.identify(df, empty, held).collect()} == {"und"}
     assert language_id.accepted(df, empty).count() == len(data) + 2 and language_id.accepted(none(df), model).count() == 0
