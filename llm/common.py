@@ -7,13 +7,14 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only when its measured rows, at its row width, stay under this.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 @functools.cache
@@ -36,6 +37,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: What empties the caches of a worker process, and the work that filled them last.
+CACHES: dict[str, Callable[[], None]] = {}
+_last = ""
+
+
+def enter(work: str) -> None:
+    """Tells that this worker process now does `work`: caches that another kind of work left in it are emptied."""
+    global _last
+    if work != _last:
+        for name, empty in CACHES.items():
+            if name != work:
+                empty()
+        _last = work
+        trim()
+
+
 def trim() -> None:
     """Hands a worker's free memory back to the system, where the C library can."""
     with contextlib.suppress(OSError, AttributeError):

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bounded_batches
+from llm.common import CACHES, bounded_batches, enter, trim
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -47,6 +47,9 @@ def _letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.uint32)
 
 
+CACHES["language"] = _letters.cache_clear
+
+
 def _blocks(texts: list[str | None]):
     block, size = [], 0
     for text in texts:
@@ -106,6 +109,7 @@ def scores(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _count(batches):
     import pyarrow as pa
 
+    enter("language")
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch["lang"].to_pylist())
@@ -170,6 +174,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out: Col
     def run(batches):
         import pyarrow as pa
 
+        enter("language")
         for batch in batches:
             names, score = predict(batch["text"].to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -188,11 +193,13 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], languages: fr
     def run(batches):
         import pyarrow as pa
 
+        enter("language")
         for batch in batches:
             texts = batch.column(at).to_pylist()
             names, _ = predict(texts, *shared.value, evidence)
             known = [n != UNKNOWN if shared.value[0] else any(map(str.isalpha, t or "")) for n, t in zip(names, texts)]
             yield batch.filter(pa.array([k and (languages is None or n in languages) for k, n in zip(known, names)], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BROADCAST_BYTES, row_digest, small_side, trim, without, written
+from llm.common import BROADCAST_BYTES, enter, row_digest, small_side, trim, without, written
 from llm.components import components
 
 SEED = 42
@@ -536,6 +536,7 @@ def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: in
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
+        enter("simhash")
         for batch in batches:
             texts = [t.as_py() for t in batch["text"]]
             prints = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)

@@ -17,6 +17,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from llm.common import CACHES, enter
+
 #: Letters and numbers of ASCII, Latin-1 and Latin Extended-A without U+0130 and U+0149 (fixed values).
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ſ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -116,6 +118,19 @@ class Encoder:
 
 
 @functools.lru_cache(4)
-def encoder(name: str, counts: bool = False) -> Encoder:
-    """One encoder, and so one cache, for each worker process."""
+def _encoder(name: str, counts: bool) -> Encoder:
     return Encoder(name, counts)
+
+
+def encoder(name: str, counts: bool = False) -> Encoder:
+    """One encoder, and so one cache, for each worker process, until it does other work."""
+    enter("tokens")
+    return _encoder(name, counts)
+
+
+def _empty() -> None:
+    _encoder.cache_clear()
+    load.cache_clear()
+
+
+CACHES["tokens"] = _empty

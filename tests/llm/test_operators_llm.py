@@ -134,7 +134,9 @@ def test_word_runs_of_long_texts(monkeypatch):
     assert simhash.fingerprint(data.decode()) == whole == brute_fingerprint(data.decode())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [components.ONE_TASK, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK", most)
     r = random.Random(0)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)]
     nodes = {n for e in edges if e[0] != e[1] for n in e}
