@@ -15,7 +15,7 @@ Archives are written under names of their own for each attempt; the runs name th
 
 Edge cases: a null html is an empty payload; an empty table gives no archives and no rows; of rows with
 equal page ids and payloads all are responses if that page is; null ids rank after all others as a
-response; null urls have an empty key.
+response; null urls have an empty key; ids may be any bigint, negative ones too.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ from llm.common import file_system, shared_folder, small_side, written
 ARCHIVE_BYTES, RANGE_ENTRIES = 256 << 20, 50_000
 #: Runs that one loser tree merges, and entries of a run held together before it is handed on.
 MOST_RUNS, RUN_ENTRIES = 64, 50_000
-#: Captures without a time of their own are taken to have been made one second a page from here.
-EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
+#: Captures without a time of their own are taken to have been made one second a page from here, starting again after so many seconds; so any bigint id gives a year of four digits.
+EPOCH, CYCLE = datetime(2020, 1, 1, tzinfo=UTC), 366 * 86_400
 ENTRY = "urlkey string, ts string, page_id bigint, digest string, record_type string, file string, at bigint, length bigint"
 KEY = ["urlkey", "ts", "page_id", "file", "at"]
 
@@ -179,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str, shortest: int = 0, archive_byt
     Of equal payloads of at least `shortest` bytes, the capture with the smallest page_id is the response.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    when = F.col(time_col) if time_col else F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)))
+    when = F.col(time_col) if time_col else F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)), F.lit(CYCLE)))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(html).alias("sha"), F.octet_length(html).alias("size"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
     # the smallest page of each payload, null ids last
     first = rows.where(F.col("size") >= shortest).groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id")).alias("first"), F.count("*").alias("n"))
