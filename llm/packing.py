@@ -29,7 +29,7 @@ from llm.common import small_side, trim, whole, written
 TOKENIZER, END_ID, SIZE = "byte_bpe_50k.json", 0, 2048
 #: Share of a configuration's whole possible use that one step of the weights gives it, how fast weights fall, and the share of ids that the program may leave open.
 STEP, RATE, TOLERANCE = 0.5, 1.0, 0.01
-PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, src bigint, nth bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, src bigint, nth bigint"
 
 
 def knapsack_choices(values: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
@@ -210,7 +210,7 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, size:
     def _batch(rows):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "src", "nth"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
@@ -240,4 +240,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, size
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     numbered = pieces.join(small_side(before, 80), ["src", "length"]).select(*names, (F.col("nth") + F.col("before")).alias("number"))
-    return numbered.mapInArrow(run, "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return numbered.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
