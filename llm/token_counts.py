@@ -7,7 +7,8 @@ only takes null for empty.
 
 Contents that occur once are encoded where they are read.  Those that occur more often are brought
 together by their digest after map-side aggregation, so a text that a third of all rows share is sent
-once a task.  One writer appends to a cache at a time.
+once a task.  A cache may hold a digest more than once (writers that append side by side, repeated
+appends): counts of a digest are aggregated when they are read.
 
 Edge cases: null and empty texts have no bytes and no tokens; repeated rows count alike; other
 columns aren't read.
@@ -25,6 +26,14 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 
 
+def _by_misses(texts: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """texts whose digest the cache lacks: by what is missing or by what is known, whichever is less."""
+    n, most = wanted.count(), known.count()
+    if n <= most:
+        return texts.join(small_side(wanted.select("digest"), 64), "digest", "left_semi")
+    return texts.join(small_side(known.select("digest"), 64), "digest", "left_anti")
+
+
 def cached(spark: SparkSession, cache: str) -> DataFrame:
     """The cache's entries; none if the folder isn't there yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
@@ -54,7 +63,7 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, text_col
     wanted = (texts if digests is None else digests).groupBy("digest").agg(F.count("*").alias("n"))
     wanted = written(wanted if cold else wanted.join(known, "digest", "left_anti"), "counts-wanted")
     if not cold:
-        texts = texts.join(small_side(wanted.select("digest"), 64), "digest", "left_semi")
+        texts = _by_misses(texts, wanted, known)
     repeated = wanted.where("n > 1").select("digest")
     if repeated.count() * 64 <= BROADCAST_BYTES:
         again = texts.join(F.broadcast(repeated), "digest", "left_semi").dropDuplicates(["digest"])
@@ -70,5 +79,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 2048,
     text = normalise(text_col)
     rows = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.octet_length(whole(text_col)).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "counts-rows")
     fill_cache(docs, cache, tokenizer, text_col, normalise, rows.select("digest"))
-    counts = cached(docs.sparkSession, cache).where(F.col("tokenizer") == tokens.version_digest(tokenizer)).select("digest", "n_tokens")
+    counts = cached(docs.sparkSession, cache).where(F.col("tokenizer") == tokens.version_digest(tokenizer)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

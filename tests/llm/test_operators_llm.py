@@ -238,6 +238,33 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_any_page_id(spark):
+    ids = [0, -1, 10**13, 3 * 10**11, -(2**63), 2**63 - 1, -(10**12)]
+    pages = spark.createDataFrame([(i, "http://a.com/", f"page {i}") for i in ids], "page_id bigint, url string, html string")
+    assert rows(warc.round_trip(pages), "page_id", "record_type") == sorted(((i, "response") for i in ids), key=repr)
+    runs = warc.write_archives(pages, f"{spark.conf.get('spark.checkpoint.dir')}/any")
+    assert all(re.fullmatch(r"202\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["ts"]) for r in runs.collect())
+
+
+def test_schemas_of_the_contract(spark):
+    from llm.queries import QUERIES
+
+    want = {
+        "op1_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+        "op3_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+        "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+        "op5_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+        "op6_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        "op7_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+        "op8_simhash_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+        "op9_token_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op10_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    }
+    for name, columns in want.items():
+        got = dict(QUERIES[name](spark, "/root/testdata/sf0.001").dtypes)
+        assert {c.split()[0]: got[c.split()[0]] for c in columns.split(", ")} == dict(c.split() for c in columns.split(", ")), name
+
+
 def test_loser_tree():
     r = random.Random(4)
     for k in (0, 1, 2, 3, 7, 8, 70):
@@ -350,6 +377,9 @@ def test_token_counts_and_cache(spark, awkward):
     assert after.count() == after.select("digest").distinct().count() == len({d[1] or "" for d in data}) > before
     assert rows(token_counts.count_tokens(df, cache=cache), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
     assert token_counts.cached(spark, cache).count() == after.count()
+    again = token_counts.cached(spark, cache).collect()
+    spark.createDataFrame(again, token_counts.CACHE).write.mode("append").parquet(cache)  # every digest twice
+    assert rows(token_counts.count_tokens(df, cache=cache), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
     assert token_counts.count_tokens(none(df)).count() == 0
 
 
