@@ -92,3 +92,17 @@ def shared_tail(a: Column, b: Column) -> Column:
     same = F.zip_with(F.slice(left, 1, F.least(F.size(left), F.size(right))), F.slice(right, 1, F.least(F.size(left), F.size(right))), lambda x, y: x == y)
     first = F.array_position(same, F.lit(False))
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+
+def clean_path(path: Column) -> Column:
+    """A path with / as its only separator, without file://, empty and . components, and with .. taken back where something stands before it."""
+    bare = F.regexp_replace(F.translate(path, "\\", "/"), "^file://", "")
+    rooted = bare.startswith("/")
+    parts = F.filter(F.split(bare, "/"), lambda x: (x != "") & (x != "."))
+
+    def step(held: Column, x: Column) -> Column:
+        back = (F.size(held) > 0) & (F.element_at(held, -1) != "..")
+        return F.when(x != "..", F.concat(held, F.array(x))).when(back, F.slice(held, 1, F.size(held) - 1)).when(rooted, held).otherwise(F.concat(held, F.array(x)))
+
+    plain = F.array_join(F.when(F.array_contains(parts, ".."), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts), "/")
+    return F.when(rooted, F.concat(F.lit("/"), plain)).when(plain == "", ".").otherwise(plain)

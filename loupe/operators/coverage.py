@@ -43,25 +43,39 @@ def line_sources(lines: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def site_line(sites: DataFrame, measured: DataFrame) -> DataFrame:
-    """sites (file, id, line, statement) with measured_line: the nearest measured line at or above, not above the statement; else the line itself."""
-    below = sites.join(measured.select("file", F.col("line").alias("at")), "file").where("at BETWEEN statement AND line").groupBy("file", "id").agg(F.max("at").alias("at"))
-    return sites.join(below, ["file", "id"], "left").withColumn("measured_line", F.coalesce("at", "line")).drop("at")
+    """sites (file, id, line, statement) with measured_line: the nearest measured line at or above, not above the statement; else the line itself.
+
+    An as-of join: both sides are sorted together by file and line, so a file costs its rows and not their product.
+    """
+    names = sites.columns
+    marks = measured.select("file", "line").distinct().select("file", "line", F.lit(0).alias("later"), F.col("line").alias("at"))
+    rows = sites.select("file", "line", F.lit(1).alias("later"), F.lit(None).cast(measured.schema["line"].dataType).alias("at"), F.struct(*names).alias("site"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    above = F.last("at", ignorenulls=True).over(Window.partitionBy("file").orderBy("line", "later").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("above", above).where("later = 1")
+    return found.select("site.*", F.when(F.col("above") >= F.col("site.statement"), F.col("above")).otherwise(F.col("site.line")).alias("measured_line"))
 
 
-def match_paths(reported: DataFrame, sources: DataFrame) -> DataFrame:
-    """reported (path) with the source that shares the longest tail of components with it, if just one does; NULL otherwise.
+def match_paths(reported: DataFrame, sources: DataFrame, base: str = "") -> DataFrame:
+    """reported (path) with the source it means; NULL if that is none or not clear.
 
-    Candidates have the same base name, which is the equi key.
+    It is the source at the path itself, taken from `base` unless it is absolute; else the one that the longest tail of
+    the path names below base; else the one with the same file name that shares the longest tail of
+    components, if just one does.  Both kinds of separators and file:// count alike.  Tails and file names are equi keys.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    left = reported.select("path").distinct().withColumn("base", base(F.col("path")))
-    right = sources.select(F.col("path").alias("source")).distinct().withColumn("base", base(F.col("source")))
-    from loupe.functions.paths import shared_tail
+    from loupe.functions.paths import clean_path, shared_tail
 
-    pairs = left.join(right, "base").withColumn("tail", shared_tail(F.col("path"), F.col("source")))
-    best = pairs.groupBy("path").agg(F.max("tail").alias("tail"))
-    top = pairs.join(best, ["path", "tail"]).groupBy("path").agg(F.count("*").alias("n"), F.min("source").alias("source")).where("n = 1").select("path", "source")
-    return left.select("path").join(top, "path", "left")
+    left = reported.select("path").distinct().withColumn("clean", clean_path(F.col("path")))
+    right = sources.select(F.col("path").alias("source")).distinct().withColumn("at", clean_path(F.col("source")))
+    parts = F.split("clean", "/")
+    under = lambda tail: clean_path(F.concat(F.lit(f"{base}/" if base else ""), tail))
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when((i == 1) & F.col("clean").startswith("/"), F.col("clean")).otherwise(under(F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
+    named = left.select("path", F.posexplode(tails).alias("rank", "at")).join(right, "at").groupBy("path").agg(F.min(F.struct("rank", "source"))["source"].alias("named"))
+    rest = left.join(named, "path", "left_anti").withColumn("name", F.element_at(parts, -1))
+    pairs = rest.join(right.withColumn("name", F.element_at(F.split("at", "/"), -1)), "name").select("path", "source", shared_tail(F.col("clean"), F.col("at")).alias("tail"))
+    best = pairs.groupBy("path", "tail").agg(F.count("*").alias("n"), F.min("source").alias("source")).groupBy("path").agg(F.max(F.struct("tail", "n", "source")).alias("top"))
+    alone = best.where("top.n = 1").select("path", F.col("top.source").alias("alone"))
+    return left.select("path").join(named, "path", "left").join(alone, "path", "left").select("path", F.coalesce("named", "alone").alias("source"))
 
 
 def span_union(blocks: DataFrame) -> DataFrame:
@@ -81,9 +95,3 @@ def restrict_integration(integration: DataFrame, in_process: DataFrame) -> DataF
     files = in_process.select("file").distinct()
     known = integration.join(files, "file", "left_semi").where("key <> ''").join(keys, ["file", "is_branch", "key"], "left_semi")
     return known.unionByName(integration.where("key = ''").join(files, "file", "left_semi")).unionByName(integration.join(files, "file", "left_anti"))
-
-
-def first_seen(segments: DataFrame, *keys: str) -> DataFrame:
-    """The segment of each key that came first by ord."""
-    order = Window.partitionBy(*keys).orderBy("ord")
-    return segments.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")

@@ -132,15 +132,26 @@ def q_site_line_asof(spark, d):
     return coverage.site_line(e, measured).select("file", "id", "measured_line")
 
 
-@query("""WITH p AS (SELECT DISTINCT regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://[^/]*/', '') AS path FROM pages), src AS (SELECT DISTINCT 'src/' || path AS source FROM p WHERE length(path) % 2 = 0),
-  c AS (SELECT path, source, list_reverse(string_split(path, '/')) AS a, list_reverse(string_split(source, '/')) AS b FROM p JOIN src ON split_part(path, '/', -1) = split_part(source, '/', -1)),
-  t AS (SELECT path, source, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda n: a[1:n] = b[1:n])) AS tail FROM c),
-  best AS (SELECT path, source, tail, max(tail) OVER (PARTITION BY path) AS top FROM t), one AS (SELECT path, min(source) AS source FROM best WHERE tail = top GROUP BY path HAVING count(*) = 1)
-  SELECT path, source FROM p LEFT JOIN one USING (path)""")
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://[^/]*/', '') AS u FROM pages),
+  r AS (SELECT DISTINCT CASE length(u) % 4 WHEN 0 THEN u WHEN 1 THEN 'C:\w\' || replace(u, '/', '\') WHEN 2 THEN 'file:///mnt/src/' || u ELSE './a/../b/' || u END AS path FROM p),
+  src AS (SELECT DISTINCT prefix || u AS source FROM p, (VALUES ('src/', 2), ('lib/', 3), ('', 5), ('/mnt/src/', 7), ('src/b/', 9)) v(prefix, k) WHERE length(u) % k = 0),
+  c AS (SELECT path, CASE WHEN path LIKE './a%' THEN substr(path, 8) ELSE replace(replace(path, 'file://', ''), '\', '/') END AS clean FROM r),
+  w AS (SELECT path, clean, string_split(rtrim(clean, '/'), '/') AS parts FROM c),
+  src2 AS (SELECT source, rtrim(source, '/') AS spot FROM src),
+  n AS (SELECT path, i, CASE WHEN i = 1 AND clean LIKE '/%' THEN rtrim(clean, '/') ELSE 'src/' || array_to_string(list_filter(parts[i:], lambda x: x <> ''), '/') END AS spot FROM (SELECT path, clean, parts, unnest(range(1, len(parts) + 1)) AS i FROM w)),
+  named AS (SELECT path, arg_min(source, (i, source)) AS source FROM n JOIN src2 USING (spot) GROUP BY path),
+  t AS (SELECT path, source, list_reverse(parts) AS a, list_reverse(string_split(spot, '/')) AS b FROM w JOIN src2 ON parts[-1] = split_part(spot, '/', -1) WHERE path NOT IN (SELECT path FROM named)),
+  s AS (SELECT path, source, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS tail FROM t),
+  best AS (SELECT path, source, tail, max(tail) OVER (PARTITION BY path) AS top FROM s), alone AS (SELECT path, min(source) AS source FROM best WHERE tail = top GROUP BY path HAVING count(*) = 1)
+  SELECT path, coalesce(named.source, alone.source) AS source FROM r LEFT JOIN named USING (path) LEFT JOIN alone USING (path)""")
 def q_path_tail_match(spark, d):
-    path = F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "^[a-z]+://[^/]*/", "")
-    p = table(spark, d, "pages").select(path.alias("path")).distinct()
-    return coverage.match_paths(p, p.where("length(path) % 2 = 0").select(F.concat(F.lit("src/"), F.col("path")).alias("path")))
+    u, size = F.col("u"), F.length("u")
+    p = table(spark, d, "pages").select(F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "^[a-z]+://[^/]*/", "").alias("u")).distinct()
+    windows = F.concat(F.lit("C:\\w\\"), F.translate(u, "/", "\\"))
+    reported = p.select(F.when(size % 4 == 0, u).when(size % 4 == 1, windows).when(size % 4 == 2, F.concat(F.lit("file:///mnt/src/"), u)).otherwise(F.concat(F.lit("./a/../b/"), u)).alias("path"))
+    prefixes = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(k).alias("k")) for a, k in (("src/", 2), ("lib/", 3), ("", 5), ("/mnt/src/", 7), ("src/b/", 9))))
+    sources = p.select("u", F.explode(prefixes).alias("v")).where(size % F.col("v.k") == 0).select(F.concat("v.a", "u").alias("path"))
+    return coverage.match_paths(reported, sources, "src")
 
 
 @query("""SELECT 'f' || l_orderkey AS file, l_linenumber AS start, l_quantity > 25 AS ran, 1.0::DOUBLE AS total FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem)""")

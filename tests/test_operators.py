@@ -39,6 +39,26 @@ def test_site_line_and_paths(spark):
     assert dict(rows(coverage.match_paths(reported, sources)))["c.go"] is None
 
 
+def test_report_paths(spark):
+    def match(path, sources, base=""):
+        return coverage.match_paths(spark.createDataFrame([(path,)], "path string"), spark.createDataFrame([(x,) for x in sources], "path string"), base).first()["source"]
+
+    assert match("a/b.py", ["a/b.py", "x/a/b.py"]) == "a/b.py"
+    assert match("util.py", ["/p/a/util.py", "/p/b/util.py"], "/elsewhere") is None
+    assert match("util.py", ["/p/a/util.py", "/p/b/util.py"], "/p/a") == "/p/a/util.py"
+    assert match("C:\\w\\a\\c.py", ["a/c.py", "b/c.py"]) == "a/c.py"
+    assert match("file:///p/x/../a/util.py", ["/p/a/util.py", "/p/b/util.py"], "/q") == "/p/a/util.py"
+    assert match("example.com/mod/src/a.go", ["/r/src/a.go", "/r/a.go"], "/r") == "/r/src/a.go"
+    assert match("../up.py", ["../up.py", "up.py"]) == "../up.py" and match("none.py", ["a.py"]) is None
+
+
+def test_site_line_of_ties_and_other_files(spark):
+    sites = spark.createDataFrame([("f", 1, 5, 1, "x"), ("f", 2, 5, 1, "y"), ("g", 3, 5, 1, "z")], "file string, id int, line int, statement int, at string")
+    measured = spark.createDataFrame([("f", 5), ("f", 5), ("h", 4)], "file string, line int")
+    got = coverage.site_line(sites, measured)
+    assert got.columns == [*sites.columns, "measured_line"] and rows(got, "id", "measured_line") == [(1, 5), (2, 5), (3, 5)]
+
+
 def test_similar_pairs_equal_brute_force(spark):
     r = random.Random(3)
     sets = [(i, r.choice("ab"), sorted({r.randint(0, 12) for _ in range(r.randint(1, 9))})) for i in range(60)]
