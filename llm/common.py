@@ -23,8 +23,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below `spark.checkpoint.dir`; only where that is unset (tests on one machine) below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder below `spark.checkpoint.dir`; only where that is unset and the master is local below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,7 @@
    every owner of a fingerprint range its own distinct ones, as Golomb-Rice coded gaps.
 2. An owner decodes the lists, finds fingerprints that several sources have, and answers each list
    with a bitmap.
-3. Sources expand the bitmaps: a row is a suspect if its bit is set or its source has it twice.
+3. Sources get the bitmaps (broadcast within BROADCAST_BYTES, else by a shuffle that their rows join) and expand them: a row is a suspect if its bit is set or its source has it twice.
 4. Only suspects' texts are shuffled.  They are grouped by all their bytes, after map-side
    aggregation, so a text that a third of all rows share crosses the network once a task.
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ascii_lower, row_digest, small_side, whole, without, written
+from llm.common import BROADCAST_BYTES, ascii_lower, row_digest, small_side, whole, without, written
 
 #: Rows of a source at most: its lists are built in one worker's memory.
 SOURCE_ROWS = 1 << 19
@@ -137,7 +137,10 @@ def fingerprint_exchange(docs: DataFrame, id_col: str = "doc_id", text: Column |
     prints = docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     lists = written(prints.mapInArrow(_send(owners), LISTS), "dedup-lists")
-    bitmaps = lists.select("src", "owner", "n", "k", "unary", "remainders").groupBy("owner").applyInArrow(_answer, "src bigint, owner int, bitmap binary")
+    bitmaps = written(lists.select("src", "owner", "n", "k", "unary", "remainders").groupBy("owner").applyInArrow(_answer, "src bigint, owner int, bitmap binary"), "dedup-bitmaps")
+    # a bit a fingerprint: while they may be broadcast, lists stay where they are and nothing but bitmaps travels back
+    if (bitmaps.agg(F.sum(F.length("bitmap") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        bitmaps = F.broadcast(bitmaps)
     members = lists.select("src", "owner", "n", "counts", "ids", "refs", "shas").join(bitmaps, ["src", "owner"])
     return written(members.mapInArrow(_receive, "id bigint, ref bigint, sha binary, suspect boolean"), "dedup-members")
 
