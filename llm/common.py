@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of an Arrow batch between the JVM and its workers; both hold a few at a time.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -37,14 +37,14 @@ EVIDENCE = 0.0
 #: Labels of a model at most: its matrix is 32 MiB then.
 MOST_LANGUAGES = 256
 #: Characters of a block of texts, and matrix cells gathered at a time.
-BLOCK_CHARS, GATHERED = 1 << 19, 1 << 21
+BLOCK_CHARS, GATHERED = 1 << 17, 1 << 19
 UNKNOWN = "und"
 
 
 @functools.cache
 def _letters() -> np.ndarray:
     """The code point itself for letters, a blank for the rest."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.uint32)
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
 
 
 CACHES["language"] = _letters.cache_clear

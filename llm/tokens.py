@@ -28,7 +28,7 @@ UNSAFE = re.compile("[^\\t\\n\\r -~¡-¬®-įı-ňŊ-ſ]|<\\|")
 BYTE_LEVEL = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORD_END = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 #: Cached pre-tokens of one worker process; the cache starts again when it is full.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 #: Longer pre-tokens are encoded each time.
 LONGEST_CACHED = 48
 #: The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow from U+0100 on.
