@@ -5,8 +5,10 @@ passages; passages, and their lines one by one, are normalised (lower case, whit
 blank) and hashed.  Level-0 passages, lines and the whole unquoted text of a message are what it says
 itself; the original of a hash is the earliest turn of the conversation that says it.  A message
 answers the earlier turn that its quotes point to: those of the lowest level first, then by weight (a
-passage found whole counts its lines and one more, a line one), then the latest such turn.  Chains of
-answers become paths by pointer doubling, and sorting by path puts a conversation in reply order.
+passage found whole counts its lines and one more, a line one), then the latest such turn.  A thread,
+which is a turn that answers nothing and all that answers it or its answers, is put in reply order (each
+turn before its answers, those by turn) by a tour that enters and leaves every turn; pointer doubling
+ranks the tour, so a chain of n answers takes some log n rounds of 2 n rows.
 
 Originals are aggregated before the join, so a line that all messages share is one row there; nothing
 is grouped by conversation alone, so one conversation may hold most rows.
@@ -69,28 +71,65 @@ def answers(messages: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "weight", "original"))["original"].alias("parent_turn"))
 
 
-def paths(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, path): path is the turns from the one that answers nothing down to the turn itself."""
-    state = written(parents.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("up"), F.array("turn").alias("path")), "chat-paths")
-    while True:
-        above = state.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("path").alias("front"))
-        joined = state.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left")
-        if joined.where("t IS NOT NULL").limit(1).count() == 0:
-            return state.select("conv_id", "turn", "parent_turn", F.concat(F.array("up"), "path").alias("path"))
-        state = written(joined.select("conv_id", "turn", "parent_turn", F.when(F.col("t").isNull(), F.col("up")).otherwise(F.col("next")).alias("up"), F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path")), "chat-paths")
+def followed(links: DataFrame) -> DataFrame:
+    """links (conv_id, parent_turn, turn) with `sibling`, the next turn that answers the same one, null for the last.
+
+    Rows are dealt by ranges of their order, so the answers of one turn may lie in many tasks; the last row of a
+    range takes the first one of the next range, of which there are no more than partitions.
+    """
+    order = ["conv_id", "parent_turn", "turn"]
+    dealt = written(links.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "chat-ranges")
+    firsts = dealt.groupBy("part").agg(F.min(F.struct(*order)).alias("first"))
+    firsts = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("beyond"))
+    here = dealt.withColumn("after", F.lead(F.struct(*order)).over(Window.partitionBy("part").orderBy(*order)))
+    after = F.coalesce("after", "beyond")
+    same = (after["conv_id"] == F.col("conv_id")) & (after["parent_turn"] == F.col("parent_turn"))
+    return here.join(F.broadcast(firsts), "part").select(*order, F.when(same, after["turn"]).alias("sibling"))
+
+
+def ranked(lists: DataFrame) -> DataFrame:
+    """lists (conv_id, at, next, n, rise) with n and rise summed from each element to its list's end, and that end as `last`."""
+    state = written(lists.withColumn("last", F.coalesce("next", "at")), "chat-tour")
+    while state.where("next IS NOT NULL").limit(1).count():
+        ahead = state.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), F.col("next").alias("then"), F.col("last").alias("end"), F.col("n").alias("n_more"), F.col("rise").alias("rise_more"))
+        joined = state.join(ahead, (F.col("conv_id") == F.col("c")) & (F.col("next") == F.col("a")), "left")
+        sums = [(F.col(x) + F.coalesce(f"{x}_more", F.lit(0).cast("bigint"))).alias(x) for x in ("n", "rise")]
+        state = written(joined.select("conv_id", "at", F.col("then").alias("next"), *sums, F.coalesce("end", "last").alias("last")), "chat-tour")
+    return state
+
+
+def threads(parents: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent_turn, root_turn, depth, position) of each turn that answers one (conv_id, turn, parent_turn) or is answered; position is its place in the thread."""
+    links = followed(parents)
+    roots = links.select("conv_id", F.col("parent_turn").alias("turn")).distinct().join(links, ["conv_id", "turn"], "left_anti")
+    nothing = F.lit(None).cast("bigint")
+    first = links.groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
+    turns = links.unionByName(roots.withColumns({"parent_turn": nothing, "sibling": nothing})).join(first, ["conv_id", "turn"], "left")
+    turns = written(turns, "chat-turns")
+
+    def event(turn, leaves):
+        return F.struct(turn.alias("turn"), F.lit(leaves).alias("leaves"))
+
+    one, here = F.lit(1).cast("bigint"), F.col("turn")
+    enter = turns.select("conv_id", event(here, False).alias("at"), F.coalesce(F.when(F.col("child").isNotNull(), event(F.col("child"), False)), event(here, True)).alias("next"), one.alias("n"), one.alias("rise"))
+    answered = F.when(F.col("parent_turn").isNotNull(), event(F.col("parent_turn"), True))
+    leave = turns.select("conv_id", event(here, True).alias("at"), F.coalesce(F.when(F.col("sibling").isNotNull(), event(F.col("sibling"), False)), answered).alias("next"), (one - 1).alias("n"), (-one).alias("rise"))
+    # from a turn's entry to the end one more turn is left for each level above it, and n turns are entered
+    tour = ranked(enter.union(leave)).where("NOT at.leaves").select("conv_id", F.col("at.turn").alias("turn"), F.col("last.turn").alias("root_turn"), (-F.col("rise")).cast("int").alias("depth"), "n")
+    whole_thread = tour.groupBy("conv_id", "root_turn").agg(F.max("n").alias("size"))
+    placed = tour.join(whole_thread, ["conv_id", "root_turn"]).withColumn("position", F.col("size") - F.col("n"))
+    return placed.join(turns.select("conv_id", "turn", "parent_turn"), ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", "root_turn", "depth", "position")
 
 
 def format_chats(conversations: DataFrame, opening: str = "<|", closing: str = "|>") -> DataFrame:
-    """Every message in reply order: conv_id, turn, role, parent_turn, root_turn, depth, reply_path, n_quoted_lines, text (unquoted) and chat (under its role)."""
+    """Every message in reply order: conv_id, turn, role, parent_turn, root_turn, depth, position (place in the thread), n_quoted_lines, text (unquoted) and chat (under its role)."""
     messages = conversations.select(F.monotonically_increasing_id().alias("row"), "conv_id", F.col("turn").cast("bigint").alias("turn"), "role", whole("text").alias("text"))
     messages = written(messages, "chat-messages")
-    linked = paths(answers(messages))
-    rows = messages.join(linked, ["conv_id", "turn"], "left")
-    path = F.coalesce("path", F.array("turn"))
+    rows = messages.join(threads(written(answers(messages), "chat-answers")), ["conv_id", "turn"], "left")
     quoted = F.size(F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(MARKS)))
+    chat = F.concat(F.lit(opening), F.coalesce("role", F.lit("")), F.lit(closing + "\n"), own_text(F.col("text")))
     out = rows.select(
-        "conv_id", "turn", "role", "parent_turn", path[0].alias("root_turn"), (F.size(path) - 1).alias("depth"), path.alias("path"), F.array_join(path.cast("array<string>"), "/").alias("reply_path"),
-        quoted.alias("n_quoted_lines"), own_text(F.col("text")).alias("own"), "row",
-    ).orderBy("conv_id", "path", "row")
-    chat = F.concat(F.lit(opening), F.coalesce("role", F.lit("")), F.lit(closing + "\n"), "own")
-    return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "reply_path", "n_quoted_lines", F.col("own").alias("text"), chat.alias("chat"))
+        "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("position", F.lit(0).cast("bigint")).alias("position"),
+        quoted.alias("n_quoted_lines"), own_text(F.col("text")).alias("text"), chat.alias("chat"), "row",
+    )
+    return out.orderBy("conv_id", "root_turn", "position", "row").drop("row")

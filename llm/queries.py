@@ -92,10 +92,12 @@ ORACLES: dict[str, str] = {
         votes AS (SELECT conv_id, turn, level, original, sum(weight) AS weight FROM keys JOIN originals USING (conv_id, norm) WHERE level > 0 AND original < turn GROUP BY ALL),
         parents AS (SELECT conv_id, turn, arg_max(original, (-level, weight, original)) AS parent FROM votes GROUP BY conv_id, turn),
         paths AS (SELECT conv_id, turn, parent AS up, [turn] AS path FROM parents UNION ALL SELECT p.conv_id, p.turn, q.parent, list_prepend(p.up, p.path) FROM paths p JOIN parents q ON p.conv_id = q.conv_id AND p.up = q.turn),
-        done AS (SELECT conv_id, turn, list_prepend(up, path) AS path FROM paths p WHERE NOT EXISTS (SELECT 1 FROM parents q WHERE q.conv_id = p.conv_id AND q.turn = p.up))
-        SELECT m.conv_id, m.turn, m.role, parent AS parent_turn, coalesce(path[1], m.turn) AS root_turn, CAST(coalesce(len(path), 1) - 1 AS INT) AS depth, coalesce(array_to_string(path, '/'), CAST(m.turn AS VARCHAR), '') AS reply_path,
+        done AS (SELECT conv_id, turn, list_prepend(up, path) AS path FROM paths p WHERE NOT EXISTS (SELECT 1 FROM parents q WHERE q.conv_id = p.conv_id AND q.turn = p.up)),
+        threads AS (SELECT conv_id, turn, path FROM done UNION SELECT conv_id, path[1], path[1:1] FROM done),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) - 1 AS position FROM threads)
+        SELECT m.conv_id, m.turn, m.role, parent AS parent_turn, coalesce(path[1], m.turn) AS root_turn, CAST(coalesce(len(path), 1) - 1 AS INT) AS depth, coalesce(position, 0) AS position,
             CAST(quoted AS INT) AS n_quoted_lines, own.text AS text, '<|' || coalesce(m.role, '') || '|>' || chr(10) || own.text AS chat
-        FROM m JOIN own USING (r) LEFT JOIN parents ON parents.conv_id = m.conv_id AND parents.turn = m.turn LEFT JOIN done ON done.conv_id = m.conv_id AND done.turn = m.turn""",
+        FROM m JOIN own USING (r) LEFT JOIN parents ON parents.conv_id = m.conv_id AND parents.turn = m.turn LEFT JOIN placed ON placed.conv_id = m.conv_id AND placed.turn = m.turn""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
         SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,

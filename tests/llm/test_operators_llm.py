@@ -397,14 +397,42 @@ def test_chat(spark):
     df = spark.createDataFrame([(*d, 1) for d in data], "conv_id bigint, turn bigint, role string, text string, path int")
     out = chat.format_chats(df).collect()
     assert len(out) == len(data)
-    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["depth"], r["reply_path"], r["text"]) for r in out}
-    assert got[1, 1] == (0, 1, "0/1", "Fine.") and got[1, 3] == (1, 2, "0/1/3", "Good!\n\nReally") and got[1, 4] == (3, 3, "0/1/3/4", "yes")
-    assert got[1, 5] == (None, 0, "5", "x") and got[2, 0] == (None, 0, "0", "Hi") and got[3, 2] == (1, 1, "1/2", "") and got[None, 1][0] is None and got[2, None][0] is None
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["depth"], r["position"], r["text"]) for r in out}
+    assert got[1, 1] == (0, 1, 1, "Fine.") and got[1, 3] == (1, 2, 2, "Good!\n\nReally") and got[1, 4] == (3, 3, 3, "yes")
+    assert got[1, 5] == (None, 0, 0, "x") and got[2, 0] == (None, 0, 0, "Hi") and got[3, 2] == (1, 1, 1, "") and got[None, 1][0] is None and got[2, None][0] is None
     assert [r["turn"] for r in out if r["conv_id"] == 1] == [0, 1, 3, 4, 2, 2, 5]
     assert next(r["chat"] for r in out if (r["conv_id"], r["turn"]) == (1, 1)) == "<|assistant|>\nFine."
     assert chat.format_chats(none(df)).count() == 0
 
 
+def test_chat_threads(spark):
+    r, parents = random.Random(8), {}
+    for c in range(4):
+        for t in range(1, 120):
+            if r.random() < 0.9:
+                parents[c, t * 3 - 200] = (r.choice([0, t - 1, r.randrange(t)])) * 3 - 200
+    parents |= {(9, t): 0 for t in range(1, 300)}  # one turn with many answers
+
+    def path(c, t):
+        return (path(c, parents[c, t]) if (c, t) in parents else []) + [t]
+
+    paths = {(c, t): path(c, t) for (c, x), up in parents.items() for t in (x, up)}
+    thread: dict = {}
+    for (c, t), p in sorted(paths.items(), key=lambda x: x[1]):
+        thread.setdefault((c, p[0]), []).append(t)
+    want = sorted((c, t, parents.get((c, t)), p[0], len(p) - 1, thread[c, p[0]].index(t)) for (c, t), p in paths.items())
+    links = spark.createDataFrame([(c, t, up) for (c, t), up in parents.items()], "conv_id bigint, turn bigint, parent_turn bigint").repartition(5)
+    assert sorted(map(tuple, chat.threads(links).collect()), key=lambda x: x[:2]) == want
+
+
+def test_chat_long_thread(spark):
+    n = 20_000
+    chain = spark.range(1, n).selectExpr("7L AS conv_id", "id AS turn", "id - 1 AS parent_turn")
+    got = chat.threads(chain)
+    assert got.count() == n and got.where("depth <> turn OR position <> turn OR root_turn <> 0").count() == 0
+    assert not [f for f in got.schema if f.dataType.typeName() == "array"]  # no cell grows with the chain
+
+
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_similarity_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_HOMES", hot)
