@@ -106,3 +106,9 @@ def clean_path(path: Column) -> Column:
 
     plain = F.array_join(F.when(F.array_contains(parts, ".."), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts), "/")
     return F.when(rooted, F.concat(F.lit("/"), plain)).when(plain == "", ".").otherwise(plain)
+
+
+def relative_key(root: str, path: Column) -> Column:
+    """An absolute path as snapshots name it: below root relative to it, elsewhere as it is; slashes only."""
+    base, plain = root.rstrip("/"), clean_path(path)
+    return F.when(plain == base, ".").when(plain.startswith(base + "/"), F.substr(plain, F.lit(len(base) + 2))).otherwise(plain)

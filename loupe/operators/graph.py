@@ -141,3 +141,39 @@ def collapse_single(children: DataFrame) -> DataFrame:
         single = joined.select("node", "shown")
         if joined.where("moved").limit(1).count() == 0:
             return single
+
+
+def attach(nodes: DataFrame, repository: str) -> DataFrame:
+    """nodes (id, kind, label) and the directories between them and their repository that aren't nodes yet, each with its parent.
+
+    Ids begin with the repository's name and a slash; the module of files at its top, `(root)`, hangs from the repository
+    like what has no directory above it.  The repository itself has no parent.
+    """
+    top = F.lit(repository)
+    below = F.regexp_extract("id", r"^(.*)/[^/]*$", 1)
+    parent = F.when(F.col("id") == top, F.lit(None).cast("string")).when(F.col("id").endswith("/(root)") | ~below.startswith(repository + "/"), top).otherwise(below)
+    known = nodes.select("id", "kind", "label").withColumn("parent", parent)
+    above = known.where(F.col("parent") != top).select("parent").distinct()
+    depth = F.size(F.split(top, "/"))
+    parts = F.split("parent", "/")
+    folders = above.select(F.explode(F.transform(F.sequence(depth + 1, F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("id")).distinct()
+    missing = folders.join(known.select("id"), "id", "left_anti").select("id", F.lit("dir").alias("kind"), F.substring_index("id", "/", -1).alias("label")).withColumn("parent", parent)
+    return known.unionByName(missing)
+
+
+def children(nodes: DataFrame, system: str = "") -> DataFrame:
+    """nodes (id, kind, label, parent) below their parents, by label; repositories and nodes without a parent stand below `system`."""
+    return nodes.withColumn("parent", F.when(F.col("kind") == "repo", F.lit(system)).otherwise(F.coalesce("parent", F.lit(system)))).orderBy("parent", "label", "id")
+
+
+def totals(nodes: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: repositories, modules, functions and edges."""
+    kinds = nodes.agg(F.count_if(F.col("kind") == "repo").alias("repositories"), F.count_if(F.col("kind") == "module").alias("modules"))
+    counts = [units.agg(F.count("*").alias("functions")), edges.agg(F.count("*").alias("edges"))]
+    return kinds.withColumn("one", F.lit(1)).join(counts[0].withColumn("one", F.lit(1)), "one").join(counts[1].withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def in_order(nodes: DataFrame, units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes by id with the names in their arrays sorted, units (node, file, line) by node and place, edges by src and dst."""
+    lists = {f.name: F.array_sort(f.name) for f in nodes.schema if f.dataType.typeName() == "array"}
+    return nodes.withColumns(lists).orderBy("id"), units.orderBy("node", "file", "line"), edges.orderBy("src", "dst")

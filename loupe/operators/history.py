@@ -99,6 +99,12 @@ def tallies(mutants: DataFrame) -> DataFrame:
     return mutants.groupBy("unit").agg(F.count_if(F.col("outcome").isin(*NOTICED)).alias("killed"), F.count_if(F.col("outcome") == "survived").alias("survived"), F.count_if(F.col("outcome") == "uncovered").alias("uncovered"), F.count_if(F.col("outcome") != "skipped").alias("sites"))
 
 
-def keep_unjudged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New entries, and the old ones of keys that this run didn't judge, as they were recorded."""
-    return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
+#: Fixed value: the version that fresh ranks begin with.
+FRESH_PLAN = "fresh-plan-v2"
+
+
+def fresh_plan(sites: DataFrame, seed: str, count: int) -> DataFrame:
+    """sites (path, identity) with `rank`, a hash of the seed and the site, and whether it is among the `count` first by rank and identity; each site is one row."""
+    ranked = sites.withColumn("rank", rank(FRESH_PLAN, F.lit(seed), F.translate("path", "\\", "/"), F.col("identity")))
+    first = ranked.orderBy("rank", "identity").limit(count).select("rank", "identity", F.lit(True).alias("selected"))
+    return ranked.join(first, ["rank", "identity"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.paths import matches_any
@@ -63,3 +65,26 @@ def renew_exceptions(stale: DataFrame, sites: DataFrame) -> DataFrame:
     sums = near.groupBy("id").agg(F.count_if(fits).alias("n"), F.count_if(placed).alias("here"), F.min(F.when(fits, spot)).alias("only"), F.min(F.when(placed, spot)).alias("place"))
     target = F.when(F.col("here") == 1, F.col("place")).when(F.col("n") == 1, F.col("only"))
     return sums.select("id", F.when(target.isNotNull(), "renewed").when(F.col("n") > 1, "ambiguous").otherwise("gone").alias("state"), target["line"].alias("line"), target["column"].alias("column"))
+
+
+def union_in_order(*lists: DataFrame) -> DataFrame:
+    """The paths (path) of sorted lists, each once: those of the first list, then what the next ones add."""
+    marked = [rows.select("path", F.lit(i).alias("list")) for i, rows in enumerate(lists)]
+    return functools.reduce(DataFrame.union, marked).groupBy("path").agg(F.min("list").alias("list")).orderBy("list", "path").select("path")
+
+
+def block_lines(span: Column, line: Column) -> Column:
+    """(first, last) line of a block "line.column,line.column", both included, without a last line that it ends before; without a span, its own line."""
+    first, last = (F.regexp_extract(span, pattern, 1).try_cast("int") for pattern in (r"^([0-9]+)(?:\.[^,]*)?,", r"^[^,]*,([0-9]+)(?:\.|$)"))
+    before = F.regexp_extract(span, r",[0-9]+\.(.*)$", 1) == "1"
+    spans = F.struct(first.alias("first"), F.when(before & (last > first), last - 1).otherwise(last).alias("last"))
+    return F.when(first.isNotNull() & last.isNotNull() & (last >= first), spans).otherwise(F.struct(line.alias("first"), line.alias("last")))
+
+
+def judged_lines(blocks: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """blocks (file, span, line) that strict coverage judges: all without ranges, else those with a line in a changed range (file, start, end)."""
+    if ranges is None:
+        return blocks
+    placed = blocks.withColumn("lines", block_lines(F.col("span"), F.col("line")))
+    changed = ranges.select(F.col("file").alias("f"), F.col("start").alias("low"), F.col("end").alias("high"))
+    return placed.join(changed, (F.col("file") == F.col("f")) & (F.col("low") <= F.col("lines.last")) & (F.col("high") >= F.col("lines.first")), "left_semi").drop("lines")

@@ -59,3 +59,43 @@ def cluster(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = (members.select("root", F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
     means = left.join(right, "root").where("a < b").groupBy("root").agg(F.avg(jaccard(F.col("ta"), F.col("tb"))).alias("similarity"))
     return roots.groupBy("root").agg(F.count("*").alias("size")).join(means, "root")
+
+
+def large_enough(units: DataFrame, lines: int = 4, nodes: int = 20) -> DataFrame:
+    """units (start_line, end_line, nodes) with as many lines and syntax nodes at least."""
+    return units.where((F.col("end_line") - F.col("start_line") + 1 >= lines) & (F.col("nodes") >= nodes))
+
+
+def candidates(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Pairs (a, b, score) with both places, the first one by file and line on the left; scores, rounded half up to three places, from high to low, then by place.
+
+    units: id, file, start_line.
+    """
+    sides = [units.select(F.col("id").alias(c), F.struct("file", "start_line").alias(f"at_{c}")) for c in ("a", "b")]
+    placed = pairs.join(sides[0], "a").join(sides[1], "b")
+    left, right = F.least("at_a", "at_b"), F.greatest("at_a", "at_b")
+    score = F.floor(F.col("score") * 1000 + 0.5) / 1000
+    rows = placed.select(score.alias("score"), left["file"].alias("left_file"), left["start_line"].alias("left_line"), right["file"].alias("right_file"), right["start_line"].alias("right_line"))
+    return rows.orderBy(F.desc("score"), "left_file", "left_line", "right_file", "right_line")
+
+
+def group_members(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """A row for each member of a group of connected pairs: its place, and the group's size, scores and first place; groups by greatest score, size, first place.
+
+    units: id, file, start_line.  Members stay rows, so a group may be of any size.
+    """
+    pairs = cut(pairs)
+    roots = cut(graph.components(pairs.select("a", "b")))
+    places = roots.join(units.select(F.col("id").alias("node"), "file", "start_line"), "node")
+    spread = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+    sizes = places.groupBy("root").agg(F.count("*").alias("size"), F.min(F.struct("file", "start_line")).alias("first"))
+    rows = places.join(sizes.join(spread, "root"), "root")
+    rows = rows.select("size", "min_score", "max_score", F.col("first.file").alias("first_file"), F.col("first.start_line").alias("first_line"), "file", "start_line")
+    return rows.orderBy(F.desc("max_score"), F.desc("size"), "first_file", "first_line", "file", "start_line")
+
+
+def duplicate_counts(units: DataFrame, found: DataFrame) -> DataFrame:
+    """units (file, start_line) with `duplicates`, how many candidates (left_file, left_line, right_file, right_line) name their place on either side."""
+    ends = [found.select(F.col(f"{s}_file").alias("file"), F.col(f"{s}_line").alias("start_line")) for s in ("left", "right")]
+    counts = ends[0].union(ends[1]).groupBy("file", "start_line").agg(F.count("*").alias("duplicates"))
+    return units.join(counts, ["file", "start_line"], "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0).cast("bigint")))

@@ -529,3 +529,59 @@ def q_line_inventory(spark, d):
 def q_restrict_integration(spark, d):
     x = _segments(spark, d)
     return coverage.restrict_integration(x.where("from_mask = 2"), x.where("from_mask = 1 AND ran")).select("file", "is_branch", "key", "start", "ran")
+
+
+# --- order of candidates, duplicates of functions, module nodes, draws -------------------------------------
+
+
+def _duplicates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and parts of line items as pairs of functions, scored by quantity; parts and orders as functions in files."""
+    pairs = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), (F.col("l_quantity").cast("double") / 64).alias("score")).groupBy("a", "b").agg(F.max("score").alias("score"))
+    ids = table(spark, d, "orders").select((F.col("o_orderkey") * 2).alias("id")).union(table(spark, d, "part").select(F.col("p_partkey") * 2 + 1))
+    return pairs, ids.select("id", F.concat(F.lit("f"), F.col("id") % 37).alias("file"), F.col("id").alias("start_line"))
+
+
+DUPLICATES = """u AS (SELECT id, 'f' || (id % 37) AS file FROM (SELECT o_orderkey * 2 AS id FROM orders UNION ALL SELECT p_partkey * 2 + 1 FROM part)),
+  p AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b, max(CAST(l_quantity AS DOUBLE) / 64) AS score FROM lineitem GROUP BY ALL),
+  c AS (SELECT floor(score * 1000 + 0.5) / 1000 AS score, x.file AS xf, a, y.file AS yf, b, (x.file, a) < (y.file, b) AS first FROM p JOIN u x ON a = x.id JOIN u y ON b = y.id),
+  found AS (SELECT score, CASE WHEN first THEN xf ELSE yf END AS left_file, CASE WHEN first THEN a ELSE b END AS left_line, CASE WHEN first THEN yf ELSE xf END AS right_file, CASE WHEN first THEN b ELSE a END AS right_line FROM c)"""
+
+
+@query(f"WITH {DUPLICATES} SELECT * FROM found ORDER BY score DESC, left_file, left_line, right_file, right_line")
+def q_dry_order(spark, d):
+    return similarity.candidates(*_duplicates(spark, d))
+
+
+@query(f"WITH {DUPLICATES}, n AS (SELECT file, line, count(*) AS n FROM (SELECT left_file AS file, left_line AS line FROM found UNION ALL SELECT right_file, right_line FROM found) GROUP BY ALL) SELECT u.file, id AS start_line, coalesce(n, 0) AS duplicates FROM u LEFT JOIN n ON u.file = n.file AND id = line")
+def q_duplicate_counts(spark, d):
+    pairs, units = _duplicates(spark, d)
+    return similarity.duplicate_counts(units.drop("id"), similarity.candidates(pairs, units))
+
+
+def _modules(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as modules of the repository shop, in folders of their types and brands, and shop itself."""
+    name = F.concat(F.lit("shop/"), F.concat_ws("/", "p_type", "p_brand"), F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("/"), F.col("p_partkey"))).otherwise(""))
+    modules = table(spark, d, "part").select(name.alias("id")).distinct().select("id", F.lit("module").alias("kind"), F.substring_index("id", "/", -1).alias("label"))
+    return modules.union(spark.range(1).select(F.lit("shop"), F.lit("repo"), F.lit("shop")))
+
+
+MODULES = """m AS (SELECT DISTINCT 'shop/' || p_type || '/' || p_brand || CASE WHEN p_partkey % 5 > 0 THEN '/' || p_partkey ELSE '' END AS id FROM part),
+  dirs AS (SELECT DISTINCT 'shop/' || p_type AS id FROM part UNION SELECT 'shop/' || p_type || '/' || p_brand FROM part WHERE p_partkey % 5 > 0),
+  nodes AS (SELECT id, 'module' AS kind FROM m UNION ALL SELECT id, 'dir' FROM dirs WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT 'shop', 'repo')"""
+
+
+@query(f"WITH {MODULES} SELECT id, kind, regexp_replace(id, '^.*/', '') AS label, CASE WHEN kind = 'repo' THEN '' ELSE regexp_replace(id, '/[^/]*$', '') END AS parent FROM nodes")
+def q_attach_children(spark, d):
+    return graph.children(graph.attach(_modules(spark, d), "shop"))
+
+
+@query(f"WITH {MODULES} SELECT 1 AS repositories, (SELECT count(*) FROM m) AS modules, (SELECT count(*) FROM part) AS functions, (SELECT count(*) FROM lineitem) AS edges".replace("SELECT 1 AS", "SELECT CAST(1 AS BIGINT) AS"))
+def q_graph_totals(spark, d):
+    return graph.totals(graph.attach(_modules(spark, d), "shop"), table(spark, d, "part"), table(spark, d, "lineitem"))
+
+
+@query("""WITH r AS (SELECT 'src/' || o_custkey AS path, CAST(o_orderkey AS VARCHAR) AS identity, sha256('fresh-plan-v2' || chr(0) || '7' || chr(0) || 'src/' || o_custkey || chr(0) || o_orderkey) AS rank FROM orders)
+  SELECT path, identity, rank, row_number() OVER (ORDER BY rank, identity) <= 50 AS selected FROM r""")
+def q_fresh_plan(spark, d):
+    sites = table(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_custkey")).alias("path"), F.col("o_orderkey").cast("string").alias("identity"))
+    return history.fresh_plan(sites, "7", 50).select("path", "identity", "rank", "selected")

@@ -59,3 +59,15 @@ def next_version(tags: DataFrame, messages: DataFrame) -> DataFrame:
     one = newest.withColumn("k", F.lit(1)).join(bump.withColumn("k", F.lit(1)), "k")
     text = F.when(F.col("bump") == 3, F.concat_ws(".", v("major") + 1, F.lit(0), F.lit(0))).when(F.col("bump") == 2, F.concat_ws(".", v("major"), v("minor") + 1, F.lit(0))).when(F.col("bump") == 1, F.concat_ws(".", v("major"), v("minor"), v("patch") + 1))
     return one.select(text.alias("version"))
+
+
+def one_line(text: Column) -> Column:
+    """A text on one line: runs of white space are one blank."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def comment_name(name: Column, namespace: Column, file_namespace: Column, separator: str = ".") -> Column:
+    """A function in its file's comment: Class#name with the class as the file's namespace leaves it; the bare name at the file's top."""
+    above = F.concat(file_namespace, F.lit(separator))
+    inner = F.when(F.startswith(namespace, above), F.substr(namespace, F.length(above) + 1)).otherwise(namespace)
+    return F.when(namespace == file_namespace, name).otherwise(F.concat(inner, F.lit("#"), name))
