@@ -105,13 +105,18 @@ def nearest_prefix(paths: DataFrame, markers: DataFrame) -> DataFrame:
 def http_edges(calls: DataFrame, serves: DataFrame) -> DataFrame:
     """Edges from modules that request a route to modules that serve it: as many segments, each equal or a parameter on either side, methods equal where both say.
 
-    calls, serves: module, method (may be empty), path (normalised).  Calls are grouped before the join;
-    the number of segments is its equi key.
+    calls, serves: module, method (may be empty), path (normalised).  Calls are grouped before the join.
+    A route is met at its first segment that is no parameter, by that segment and by *; a request has one row for each of its
+    segments, so the two meet once at most.  Routes of parameters alone meet all requests as long, which fit them.
     """
     requests = calls.groupBy("module", "method", "path").agg(F.count("*").alias("n")).select(F.col("module").alias("src"), F.col("method").alias("cm"), F.split("path", "/").alias("c"), "n").withColumn("k", F.size("c"))
     routes = serves.groupBy("module", "method", "path").agg(F.count("*").alias("m")).select(F.col("module").alias("dst"), F.col("method").alias("sm"), F.col("path").alias("route"), F.split("path", "/").alias("s"), "m").withColumn("k", F.size("s"))
     fits = F.forall(F.zip_with("c", "s", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda x: x)
-    pairs = requests.join(routes, "k").where(F.col("src") != F.col("dst")).where((F.col("cm") == "") | (F.col("sm") == "") | (F.col("cm") == F.col("sm"))).where(fits)
+    at = F.array_position(F.transform("s", lambda x: x != "*"), F.lit(True)).cast("int")
+    keys = F.when(at > 0, F.array(*(F.struct(at.alias("at"), x.alias("segment")) for x in (F.get("s", at - 1), F.lit("*"))))).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("segment"))))
+    asked = F.concat(F.transform("c", lambda x, i: F.struct((i + 1).alias("at"), x.alias("segment"))), F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("segment"))))
+    requests, routes = requests.select("*", F.inline(asked)), routes.select("*", F.inline(keys))
+    pairs = requests.join(routes, ["k", "at", "segment"]).where(F.col("src") != F.col("dst")).where((F.col("cm") == "") | (F.col("sm") == "") | (F.col("cm") == F.col("sm"))).where(fits)
     return pairs.groupBy("src", "dst").agg(F.sum(F.col("n") * F.col("m")).alias("count"), F.array_join(F.array_sort(F.collect_set(F.trim(F.concat_ws(" ", "sm", "route")))), ", ").alias("via"))
 
 

@@ -16,12 +16,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / F.when(union > 0, union))
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(sets: DataFrame, threshold: float, ids: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, part, score) with a < b and score >= threshold of sets (id, part, tokens), within one part.
 
     Tokens are ordered from rare to frequent in their part; sets that are similar enough share one of
     the first n - ceil(t·n) + 1, so only those are joined.  Sizes bound the pairs, and the sets of what
-    is left are intersected.  The score is exact; the threshold is compared unrounded.
+    is left are intersected.  The score is exact; the threshold is compared unrounded.  With ids (id), only pairs
+    with a side in them are looked for.  Sets without a part are in no pair.
     """
     rows = sets.select("id", "part", F.array_distinct("tokens").alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
     # candidates are found by 64-bit hashes of tokens, which are shorter to sort and shuffle; the sets themselves are compared below
@@ -30,7 +31,10 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     ranked = tokens.join(frequency, ["part", "token"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("part", "id").orderBy(F.coalesce("freq", F.lit(1)), "token")))
     prefix = ranked.where(F.col("freq").isNotNull() & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)).select("id", "part", "n", "token")
     left, right = (prefix.select(F.col("id").alias(x), "part", "token", F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    candidates = left.join(right, ["part", "token"]).where("a < b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9).select("part", "a", "b").distinct()
+    if ids is not None:
+        left = left.join(ids.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    met = left.join(right, ["part", "token"]).where("a < b" if ids is None else "a <> b")
+    candidates = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     arrays = rows.select("part", "id", "tokens")
     full = candidates.join(arrays.select("part", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["part", "a"]).join(arrays.select("part", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["part", "b"])
     return full.withColumn("score", jaccard(F.col("ta"), F.col("tb"))).where(F.col("score") >= threshold).select("a", "b", "part", "score")

@@ -205,7 +205,7 @@ def q_dry_pairs(spark, d):
 @query(f"WITH {WORDS} SELECT a, b, round(score, 6) AS score FROM pairs WHERE a % 10 = 0 OR b % 10 = 0")
 def q_dry_focus(spark, d):
     docs = _word_sets(spark, d)
-    return similarity.focus(similarity.similar_pairs(docs, 0.82), docs.where("id % 10 = 0")).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.similar_pairs(docs, 0.82, docs.where("id % 10 = 0")).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {WORDS}, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS other FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),

@@ -1,10 +1,13 @@
 """Sizes, orders, places and names against rows worked out by hand."""
 
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from loupe import sinks
 from loupe.functions import paths
-from loupe.operators import graph, selection, similarity
+from loupe.operators import graph, history, selection, similarity
 
 
 def column(spark, expression, *values, schema="x string"):
@@ -63,3 +66,39 @@ def test_names(spark):
     assert column(spark, sinks.one_line(F.col("x")), " a\n\tb  c ", "", None) == ["a b c", "", None]
     names = sinks.comment_name(F.col("n"), F.col("s"), F.col("f"))
     assert column(spark, names, ("go", "m", "m"), ("count", "m.Board", "m"), ("name", "m.Outer.Inner", "m"), ("x", "Other", "m"), schema="n string, s string, f string") == ["go", "Board#count", "Outer.Inner#name", "Other#x"]
+
+
+def test_http_edges_against_all_pairs(spark):
+    r, schema = random.Random(1), "module string, method string, path string"
+
+    def some(n):
+        return [(f"m{r.randrange(5)}", r.choice(["", "GET", "POST"]), "/" + "/".join(r.choice("*abc") for _ in range(r.randint(1, 4)))) for _ in range(n)]
+
+    def fits(p, q):
+        return len(p) == len(q) and all(x == y or "*" in (x, y) for x, y in zip(p, q))
+
+    calls, serves, want = some(300), some(100), {}
+    for a, how, p in calls:
+        for b, served, q in serves:
+            if a != b and (not how or not served or how == served) and fits(p.split("/"), q.split("/")):
+                want[a, b] = want.get((a, b), 0) + 1
+    got = graph.http_edges(spark.createDataFrame(calls, schema), spark.createDataFrame(serves, schema)).collect()
+    assert {(x["src"], x["dst"]): x["count"] for x in got} == want
+
+
+def test_pairs_of_some_sets(spark):
+    r = random.Random(2)
+    sets = [(i, i % 2, [str(r.randrange(9)) for _ in range(12)]) for i in range(60)] + [(99, None, ["1"]), (98, None, ["1"])]
+    df = spark.createDataFrame(sets, "id int, part int, tokens array<string>")
+    every = {(x["a"], x["b"]) for x in similarity.similar_pairs(df, 0.7).collect()}
+    some = similarity.similar_pairs(df, 0.7, df.where("id % 7 = 0")).collect()
+    assert sorted((x["a"], x["b"]) for x in some) == sorted(p for p in every if p[0] % 7 == 0 or p[1] % 7 == 0) and some
+    assert not [p for p in every if p[0] > 90]
+
+
+def test_fresh_plan(spark):
+    sites = spark.createDataFrame([("a\\b", str(i)) for i in range(20)], "path string, identity string")
+    plan = history.fresh_plan(sites, "s", 5).orderBy("rank").collect()
+    assert [x["selected"] for x in plan] == [True] * 5 + [False] * 15
+    assert all(x["rank"] == hashlib.sha256(f"fresh-plan-v2\0s\0a/b\0{x['identity']}".encode()).hexdigest() for x in plan)
+    assert {x["identity"] for x in history.fresh_plan(sites.repartition(7), "s", 5).where("selected").collect()} == {x["identity"] for x in plan[:5]}
