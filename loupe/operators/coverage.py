@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,27 @@ def merge_segments(segments: DataFrame) -> DataFrame:
     return keyed.unionByName(segments.where("key = ''").select(*columns))
 
 
+#: Lines of a block.  Ranges and places meet by file and block, so a long file's product stays within its blocks.
+BLOCK = 256
+
+
+def _block(line: str) -> Column:
+    return F.floor(F.col(line) / BLOCK)
+
+
+def _blocks(first: str, last: str) -> Column:
+    """A row for each block that a range of lines touches; none for a range without a first or last line, or that ends before it starts."""
+    return F.explode(F.when(F.col(first) <= F.col(last), F.sequence(_block(first), _block(last))))
+
+
 def range_share(ranges: DataFrame, segments: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """ranges (file, id, low, high) with the covered share of segments that start in them; NULL where none does.
 
     Branch segments decide where a range has any, lines elsewhere.  skip (file, id, skip_low, skip_high):
-    inner ranges whose segments belong to another.  The file is the equi key; places are a residual.
+    inner ranges whose segments belong to another.  File and block of lines are the equi key; places are a residual.
     """
-    own = segments.select("file", "is_branch", "start", "total", "covered")
-    inside = ranges.join(own, "file").where("start BETWEEN low AND high")
+    own = segments.select("file", "is_branch", "start", "total", "covered", _block("start").alias("block"))
+    inside = ranges.withColumn("block", _blocks("low", "high")).join(own, ["file", "block"]).where("start BETWEEN low AND high")
     if skip is not None:
         out = skip.select(F.col("file").alias("f"), F.col("id").alias("i"), "skip_low", "skip_high")
         inside = inside.join(out, (F.col("file") == F.col("f")) & (F.col("id") == F.col("i")) & F.col("start").between(F.col("skip_low"), F.col("skip_high")), "left_anti")
@@ -37,7 +50,8 @@ def range_share(ranges: DataFrame, segments: DataFrame, skip: DataFrame | None =
 
 def line_sources(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """lines (file, line) with `executed` and the sources (1 in process, 2 integration) of executed segments over them."""
-    over = lines.join(segments.select("file", "start", "end", "ran", "from_mask"), "file").where("line BETWEEN start AND end")
+    spans = segments.select("file", "start", "end", "ran", "from_mask", _blocks("start", "end").alias("block"))
+    over = lines.withColumn("block", _block("line")).join(spans, ["file", "block"]).where("line BETWEEN start AND end")
     masks = over.groupBy("file", "line").agg(F.bool_or("ran").alias("executed"), F.bit_or(F.when(F.col("ran"), F.col("from_mask")).otherwise(0)).alias("mask"))
     return masks.select("file", "line", "executed", (F.col("mask").bitwiseAND(1) > 0).alias("in_process"), (F.col("mask").bitwiseAND(2) > 0).alias("integration"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loupe import sinks
 from loupe.functions import paths
-from loupe.operators import graph, history, selection, similarity
+from loupe.operators import coverage, graph, history, selection, similarity
 
 
 def column(spark, expression, *values, schema="x string"):
@@ -102,3 +102,21 @@ def test_fresh_plan(spark):
     assert [x["selected"] for x in plan] == [True] * 5 + [False] * 15
     assert all(x["rank"] == hashlib.sha256(f"fresh-plan-v2\0s\0a/b\0{x['identity']}".encode()).hexdigest() for x in plan)
     assert {x["identity"] for x in history.fresh_plan(sites.repartition(7), "s", 5).where("selected").collect()} == {x["identity"] for x in plan[:5]}
+
+
+def test_ranges_of_several_blocks(spark):
+    r = random.Random(4)
+    ranges = [(f"f{i % 3}", i, a, a + r.choice([0, 5, 255, 256, 900, -3])) for i in range(40) for a in [r.randrange(1500)]] + [("f0", 99, None, 4)]
+    segments = [(f"f{r.randrange(3)}", False, s, s + r.choice([0, 1, 700]), 1.0, float(r.random() < 0.5), r.random() < 0.5, r.choice([1, 2])) for s in (r.randrange(1600) for _ in range(150))]
+    df = spark.createDataFrame(segments, "file string, is_branch boolean, start int, end int, total double, covered double, ran boolean, from_mask int")
+    got = {x["id"]: x["share"] for x in coverage.range_share(spark.createDataFrame(ranges, "file string, id int, low int, high int"), df).collect()}
+    for f, i, low, high in ranges:
+        own = [x for x in segments if x[0] == f and low is not None and low <= x[2] <= high]
+        assert got[i] == (sum(x[5] for x in own) / len(own) if own else None)
+    lines = [("f1", n) for n in range(0, 2400, 7)]
+    over = {x["line"]: (x["executed"], x["in_process"], x["integration"]) for x in coverage.line_sources(spark.createDataFrame(lines, "file string, line int"), df).collect()}
+    want = {}
+    for f, n in lines:
+        if own := [x for x in segments if x[0] == f and x[2] <= n <= x[3]]:
+            want[n] = (any(x[6] for x in own), any(x[6] and x[7] == 1 for x in own), any(x[6] and x[7] == 2 for x in own))
+    assert over == want
