@@ -1,8 +1,9 @@
 """Python source files as a `nodes` relation: the one place where code is parsed.
 
 Each file is parsed by the standard library in the task that reads it; everything after is DataFrame
-operations over nodes (file, pre, post, parent, field, kind, text, start_line, end_line, body_line),
-in which a subtree is the interval of pre-order numbers from pre to post.  Kinds are named as in the
+operations over nodes (file, pre, post, parent, kind, text, start_line, end_line, body_line, role, value),
+in which a subtree is the interval of pre-order numbers from pre to post.  role is the field by which the
+parent holds a node; value is the text that a string expression gives, with {} for what isn't literal.  Kinds are named as in the
 usual grammars, so tables of rules hold for other parsers too.  A file that doesn't parse gives one
 node of kind `error`.
 """
@@ -10,11 +11,12 @@ node of kind `error`.
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = "file string, pre int, post int, parent int, kind string, text string, start_line int, end_line int, body_line int"
+NODES = "file string, pre int, post int, parent int, kind string, text string, start_line int, end_line int, body_line int, role string, value string"
 #: Grammar kinds of syntax classes whose name isn't simply their own in snake case (fixed values).
 KINDS = {
     "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition", "If": "if_statement", "For": "for_statement", "AsyncFor": "for_statement",
@@ -39,36 +41,60 @@ def is_test(path) -> object:
     return (base == "conftest.py") | base.startswith("test_") | base.endswith("_test.py") | path.rlike(r"(^|/)tests?/")
 
 
+_TEMPLATE = re.compile(r"\$\{[^}]*\}|\$[A-Za-z_]\w*")
+
+
+def _string(node: ast.AST) -> str | None:
+    """What a string literal, f-string or sum that begins with one says; None for other expressions."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return _TEMPLATE.sub("{}", node.value)
+    if isinstance(node, ast.JoinedStr):
+        return "".join("{}" if (part := _string(x)) is None else part for x in node.values)
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and (left := _string(node.left)) is not None:
+        right = _string(node.right)
+        return left + ("{}" if right is None else right)
+    return None
+
+
+def _children(node: ast.AST):
+    """(field, child) of the nodes that a node holds, in its order."""
+    for field, held in ast.iter_fields(node):
+        for child in held if isinstance(held, list) else [held]:
+            if isinstance(child, ast.AST):
+                yield field, child
+
+
 def _rows(file: str, source: bytes) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
-        return [(file, 0, 0, None, "error", None, 1, 1, None)]
+        return [(file, 0, 0, None, "error", None, 1, 1, None, None, None)]
     out: list[list] = []
+    columns: dict[int, int | None] = {}
 
-    def add(parent, kind, text, node) -> int:
+    def add(parent, kind, text, node, role) -> int:
         line = getattr(node, "lineno", None) or (out[parent][6] if parent is not None else 1)
-        out.append([file, len(out), None, parent, kind, text, line, getattr(node, "end_lineno", None) or line, None])
+        out.append([file, len(out), None, parent, kind, text, line, getattr(node, "end_lineno", None) or line, None, role, _string(node)])
         return len(out) - 1
 
-    def visit(node, parent) -> None:
+    def visit(node, parent, role=None) -> None:
         name = type(node).__name__
         if isinstance(node, ast.expr_context):
             return
         if isinstance(node, ast.BoolOp):  # a and b and c: one operator each, nested to the left
-            def chain(values) -> None:
+            def chain(values, role) -> None:
                 nonlocal parent
                 if len(values) == 1:
-                    visit(values[0], parent)
+                    visit(values[0], parent, role)
                     return
-                here, outer = add(parent, "boolean_operator", type(node.op).__name__.lower(), node), parent
+                here, outer = add(parent, "boolean_operator", type(node.op).__name__.lower(), node, role), parent
                 parent = here
-                chain(values[:-1])
+                chain(values[:-1], "left")
                 parent = here
-                visit(values[-1], here)
+                visit(values[-1], here, "right")
                 out[here][2] = len(out) - 1
                 parent = outer
-            chain(node.values)
+            chain(node.values, role)
             return
         text = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
         if isinstance(node, ast.Constant):
@@ -80,14 +106,18 @@ def _rows(file: str, source: bytes) -> list[tuple]:
             text = ",".join(a.name if isinstance(node, ast.Import) else f"{module}:{a.name}" for a in node.names)
         elif isinstance(node, ast.Call):
             text = ast.unparse(node.func) if len(ast.dump(node.func)) < 400 else None
-        here = add(parent, KINDS.get(name, name.lower()), text if isinstance(text, str) else None, node)
+        kind = KINDS.get(name, name.lower())
+        if isinstance(node, ast.If) and role == "orelse" and parent is not None and out[parent][4] in ("if_statement", "elif_clause") and node.col_offset == columns[parent]:
+            kind = "elif_clause"
+        here = add(parent, kind, text if isinstance(text, str) else None, node, role)
+        columns[here] = getattr(node, "col_offset", None)
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out[here][8] = node.body[0].lineno
-        for child in ast.iter_child_nodes(node):
-            visit(child, here)
+        for field, child in _children(node):
+            visit(child, here, field)
         if isinstance(node, ast.comprehension):
             for _ in node.ifs:
-                out[add(here, "if_clause", None, node.target)][2] = len(out) - 1
+                out[add(here, "if_clause", None, node.target, "ifs")][2] = len(out) - 1
         out[here][2] = len(out) - 1
 
     visit(tree, None)
