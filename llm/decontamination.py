@@ -12,8 +12,9 @@ prefix is one shingle, and the rarest in the documents is taken.
    the words there have to be the window's.
 4. Occurrences of a document are merged as intervals, so overlaps count words once.
 
-Benchmark shingles reach the scan as literals, SHINGLES_A_PASS at a time, with a pass over the
-documents for each such block, so plans stay small whatever the benchmark's size.
+Up to LITERALS benchmark shingles reach the scan as literals of one pass.  More of them are a broadcast table
+that places are joined with inside the scan's stage, so no place moves before it is known to match: a pass over the
+documents for each SHINGLES_A_PASS, as many as stay under the bound of a broadcast.
 
 Edge cases: null and empty texts have no words; repeated rows are documents of their own; items without
 words have no window, items with equal ids count as one, a null item id is written as nothing; empty
@@ -25,11 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import ascii_lower, row_digest, whole, without, written
+from llm.common import BROADCAST_BYTES, ascii_lower, row_digest, small_side, whole, without, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 4
-SHINGLES_A_PASS = 50_000
+#: Shingles up to which they are literals; bytes of one in a broadcast table, and those of a pass (a fifth less than fit, as they are dealt by hash).
+LITERALS = 50_000
+TOKEN_BYTES = 40
+SHINGLES_A_PASS = BROADCAST_BYTES // TOKEN_BYTES * 4 // 5
 
 
 def words(text: Column | str) -> Column:
@@ -51,45 +55,64 @@ def shingles(windows_: DataFrame, q: int = SHINGLE) -> DataFrame:
     return rows.select("w", "size", "q", "offset", F.xxhash64(F.slice("words", F.col("offset") + 1, F.col("q"))).alias("h"))
 
 
+def _around(pos: str, reach: str, q: str, words_: str = "words") -> str:
+    """Fields of a place: the first word that a window over it could hold, and the words from there on."""
+    return f"greatest(0, {pos} - {reach}) AS first, slice({words_}, greatest(0, {pos} - {reach}) + 1, {pos} - greatest(0, {pos} - {reach}) + {q} + {reach}) AS around"
+
+
 def _matches(q: int, hashes: list[int], window: int) -> Column:
     """Places of a document whose q-word shingle is in hashes, with the words that windows over them can hold."""
     known = ", ".join(f"{h}L" for h in hashes)
-    reach = window - q
     return F.expr(
         f"CASE WHEN n_words >= {q} THEN transform(filter(sequence(0, n_words - {q}), i -> xxhash64(slice(words, i + 1, {q})) IN ({known})), "
-        f"i -> struct(i AS pos, {q} AS q, xxhash64(slice(words, i + 1, {q})) AS h, greatest(0, i - {reach}) AS first, "
-        f"slice(words, greatest(0, i - {reach}) + 1, i - greatest(0, i - {reach}) + {q + reach}) AS around)) ELSE array() END"
+        f"i -> struct(i AS pos, {q} AS q, xxhash64(slice(words, i + 1, {q})) AS h, {_around('i', str(window - q), str(q))})) ELSE array() END"
     )
 
 
+def _by_literals(rows: DataFrame, tokens: DataFrame, window: int) -> tuple[DataFrame, DataFrame | None]:
+    """(documents, places) by one pass with all shingles (q, h) as literals."""
+    block: dict[int, list[int]] = {}
+    for r in tokens.orderBy("q", "h").toLocalIterator():
+        block.setdefault(r["q"], []).append(r["h"])
+    matches = [F.concat(*(_matches(k, hashes, max(window, k)) for k, hashes in block.items())).alias("matches")] if block else []
+    part = written(rows.select("row", "doc_id", "digest", F.col("n_words").cast("bigint").alias("n_words"), *matches), "leaks-places")
+    return part.select("row", "doc_id", "digest", "n_words"), part.select("row", "n_words", F.explode("matches").alias("m")).select("row", "n_words", "m.*") if block else None
+
+
+def _by_joins(rows: DataFrame, tokens: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, places) by a pass for each block of shingles (q, h), dealt by hash; a document's own row has place -1."""
+    sizes = [r["q"] for r in tokens.select("q").distinct().orderBy("q").collect()]  # window at most
+    own = F.expr("array(struct(-1 AS pos, 0 AS q, CAST(NULL AS bigint) AS h))")
+    at = [F.expr(f"CASE WHEN n_words >= {q} THEN transform(sequence(0, n_words - {q}), i -> struct(i AS pos, {q} AS q, xxhash64(slice(words, i + 1, {q})) AS h)) ELSE array() END") for q in sizes]
+    every = rows.select("row", "doc_id", "digest", "n_words", "words", F.explode(F.concat(own, *at)).alias("p")).select("row", "doc_id", "digest", "n_words", "words", "p.*")
+    blocks, documents, found = -(-n // SHINGLES_A_PASS), None, None
+    for i in range(blocks):
+        block = tokens.where(F.pmod(F.xxhash64("h", "q"), F.lit(blocks)) == i).select(F.col("h").alias("known"), F.col("q").alias("known_q"))
+        met = every.join(small_side(block, TOKEN_BYTES), (F.col("h") == F.col("known")) & (F.col("q") == F.col("known_q")), "left").where("pos < 0 OR known IS NOT NULL")
+        around = F.expr(f"CASE WHEN pos >= 0 THEN struct({_around('pos', f'(greatest({window}, q) - q)', 'q')}) END")
+        part = written(met.select("row", "doc_id", "digest", F.col("n_words").cast("bigint").alias("n_words"), "pos", "q", "h", around.alias("m")), "leaks-places")
+        if documents is None:
+            documents = part.where("pos < 0").select("row", "doc_id", "digest", "n_words")
+        part = part.where("pos >= 0").select("row", "doc_id", "digest", "n_words", "pos", "q", "h", "m.*")
+        if i:  # row numbers are those of the first pass; rows with equal ids and texts have equal places
+            again = part.drop("row").dropDuplicates(["doc_id", "digest", "pos", "q"])
+            first = documents.select("row", F.col("doc_id").alias("d"), F.col("digest").alias("t"))
+            part = again.join(first, again["doc_id"].eqNullSafe(first["d"]) & (again["digest"] == first["t"]))
+        places = part.select("row", "n_words", "pos", "q", "h", "first", "around")
+        found = places if found is None else found.unionByName(places)
+    return documents, found
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: row, doc_id, digest, n_words; occurrences: row, start, size, w; windows: item, w, size), all written."""
     spans = written(windows(benchmark, window, item_col), "leaks-windows")
     tokens = written(shingles(spans, q), "leaks-shingles")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = base.select("doc_id", row_digest(F.col("text")).alias("digest"), words("text").alias("words")).withColumn("n_words", F.size("words"))
-    distinct, parts, found = tokens.select("q", "h").distinct().orderBy("q", "h"), [], None
-    block: dict[int, list[int]] = {}
-    for r in [*distinct.toLocalIterator(), None]:
-        if r is not None:
-            block.setdefault(r["q"], []).append(r["h"])
-        if r is None or sum(map(len, block.values())) >= SHINGLES_A_PASS:
-            matches = F.concat(*(_matches(k, hashes, max(window, k)) for k, hashes in block.items())) if block else None
-            if block or not parts:
-                part = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", F.col("n_words").cast("bigint").alias("n_words"), *([matches.alias("matches")] if block else []))
-                parts.append(written(part, "leaks-places"))
-            block = {}
-    documents = parts[0].select("row", "doc_id", "digest", "n_words")
-    for i, part in enumerate(parts):
-        if "matches" not in part.columns:
-            continue
-        part = part.where("size(matches) > 0")
-        if i:  # row numbers are those of the first pass; rows with equal ids and texts have equal places
-            again = part.dropDuplicates(["doc_id", "digest"])
-            own = documents.select("row", F.col("doc_id").alias("d"), F.col("digest").alias("t"))
-            part = again.drop("row").join(own, again["doc_id"].eqNullSafe(own["d"]) & (again["digest"] == own["t"]))
-        places = part.select("row", "n_words", F.explode("matches").alias("m")).select("row", "n_words", "m.*")
-        found = places if found is None else found.unionByName(places)
+    rows = base.select("doc_id", row_digest(F.col("text")).alias("digest"), words("text").alias("words"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "words", F.size("words").alias("n_words"))
+    distinct = written(tokens.select("q", "h").distinct(), "leaks-known")
+    n = distinct.count()
+    documents, found = _by_literals(rows, distinct, window) if n <= LITERALS else _by_joins(rows, distinct, n, window)
     if found is None:
         return documents, docs.sparkSession.createDataFrame([], "row bigint, start int, size int, w string"), spans
     counts = found.groupBy("q", "h").agg(F.count("*").alias("n"))

@@ -162,8 +162,9 @@ def brute_contamination(texts, items, window=10):
         yield len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [50_000, 7])
-def test_decontamination(spark, awkward, monkeypatch, block):
+@pytest.mark.parametrize("literals, block", [(50_000, 50_000), (0, 50_000), (0, 40)])
+def test_decontamination(spark, awkward, monkeypatch, literals, block):
+    monkeypatch.setattr(decontamination, "LITERALS", literals)
     monkeypatch.setattr(decontamination, "SHINGLES_A_PASS", block)
     data, df = awkward
     r = random.Random(1)
@@ -177,7 +178,7 @@ def test_decontamination(spark, awkward, monkeypatch, block):
     assert rows(got, "doc_id", *columns) == sorted(want, key=repr)
     left = decontamination.decontaminate(df, bench)
     assert left.columns == df.columns and left.count() == sum(not w[5] for w in want)
-    if block > 7:
+    if block > 40:
         assert decontamination.contamination(none(df), bench).count() == 0
         assert decontamination.contamination(df, none(bench)).where("contaminated or n_items > 0").count() == 0
         assert decontamination.decontaminate(df, none(bench)).count() == len(data)
