@@ -11,6 +11,11 @@ UNITS = {"python": ("function_definition",)}
 CONTAINERS = {"python": ("class_definition",)}
 FLIPS = {"python": {"True": "False", "False": "True", "0": "1", "1": "0", "and": "or", "or": "and"}}
 
+STATEMENTS = {"python": (
+    "assert_statement", "assign", "annassign", "augassign", "break", "class_definition", "continue", "delete", "expr", "for_statement", "function_definition", "global", "if_statement", "import",
+    "importfrom", "match", "nonlocal", "pass", "raise", "return", "try", "trystar", "typealias", "while_statement", "with", "asyncwith",
+)}
+
 
 def rules(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
     """(language, kind) rows of a rule table; a handful, fixed in code."""
@@ -80,6 +85,14 @@ def imports(nodes: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.when(F.col("kind") == "import", F.col("item")).otherwise(F.regexp_extract("item", "^(.*):", 1)).alias("module"), F.when(F.col("kind") == "importfrom", F.regexp_extract("item", ":([^:]*)$", 1)).alias("name"))
 
 
+def statement_lines(nodes: DataFrame, language: str = "python") -> DataFrame:
+    """nodes with statement_line, where the innermost statement that holds a node starts, the node itself included; its own line where none does."""
+    held = nodes.where(_of(STATEMENTS, language)).select(F.col("file").alias("f"), F.col("pre").alias("a"), F.col("post").alias("b"), F.col("start_line").alias("first"))
+    inside = nodes.select("file", "pre").join(held, (F.col("file") == F.col("f")) & F.col("pre").between(F.col("a"), F.col("b")))
+    lines = inside.groupBy("file", "pre").agg(F.max_by("first", "a").alias("first"))
+    return nodes.join(lines, ["file", "pre"], "left").withColumn("statement_line", F.coalesce("first", "start_line")).drop("first")
+
+
 def mutation_sites(units_: DataFrame, nodes: DataFrame, language: str = "python") -> DataFrame:
     """(file, unit, line, original, replacement): literals and connectives of units that a mutant would flip."""
     flips = F.create_map(*(F.lit(x) for pair in FLIPS[language].items() for x in pair))

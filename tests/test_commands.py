@@ -2,7 +2,7 @@
 
 from loupe import commands
 from loupe.operators import crap as crap_
-from loupe.operators import endpoints, examples
+from loupe.operators import endpoints, examples, syntax
 from loupe.sources import python_code
 
 API = '''
@@ -172,3 +172,11 @@ def test_empty(spark):
     none = files(spark, src__a="").where("false")
     for made in (commands.units(none), commands.crap(none), commands.dry(none), *commands.scrap(none), commands.routes(none), commands.modules(none)):
         assert made.count() == 0
+
+
+def test_statement_lines(spark):
+    body = "x = [\n    1,\n    f(\n        2),\n]\nif a and (\n        b):\n    return_(\n        3)\n"
+    got = syntax.statement_lines(python_code.parse(files(spark, src__s=body)))
+    assert {r["text"]: (r["start_line"], r["statement_line"]) for r in got.where("kind IN ('literal', 'identifier')").collect()} == {
+        "x": (1, 1), "1": (2, 1), "f": (3, 1), "2": (4, 1), "a": (6, 6), "b": (7, 6), "return_": (8, 8), "3": (9, 8),
+    }
