@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = c.sql(ORACLES[name])
