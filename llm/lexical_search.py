@@ -3,10 +3,12 @@
 1. One scan of the documents counts the terms of the items in each text (and N, L over all texts), in bytes, in a worker.
    The postings get their integer scores and are written as lists: ordered by term and falling score, dealt out by ranges
    of (term, score, row), so a list as long as the table lies in many parts.
-2. Heads: the k best entries of each list.  Their sums give each item a lower bound, t1, of its k-th best score.
-3. Uniform threshold: with m lists an item needs from each only the entries of at least T = ceil(t1 / m), since a
-   document below T in all of them stays below t1.  The sums of what is fetched give a better bound, t2; a document
-   stays a candidate while its sum and T - 1 for each list that hasn't shown it reach t2.
+2. Heads: the k best entries of each list.  The whole scores of their documents give each item a lower bound, t1, of its
+   k-th best score.
+3. Uniform threshold: a document that shows up in none of an item's lists with more than x scores at most the sum of
+   min(x, the list's top) over the lists.  x is SHARE of the largest number for which that sum stays below t1, and every
+   list is fetched above x.  What is fetched gives a better bound, t2; a document stays a candidate while its sum and
+   min(x, top) for each list that hasn't shown it reach t2.
 4. Look-up: the candidates' scores are taken whole from the lists, and the best k are ranked.
 
 Items are a stated query set.  They are taken in blocks whose different terms fit in `VOCABULARY` bytes, which is what a
@@ -31,7 +33,9 @@ TOP = 10
 #: Bytes of different terms that one block of items may have, each counted with 64 bytes of its own.
 VOCABULARY = 32 << 20
 #: Postings that one part of the lists is meant to hold.
-PART_ROWS = 1 << 21
+PART_ROWS = 1 << 20
+#: Lists are fetched above this share of the largest threshold that is right: less of it fetches more, and leaves fewer candidates.
+SHARE = 0.5
 #: What a term may hold: digits, letters and all that isn't ASCII; A-Z are lowered and the rest separates.
 TERMS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
 POSTINGS = "term int, row bigint, doc_id bigint, tf int, n bigint"
@@ -128,30 +132,39 @@ def bounds(sums: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("q").agg(F.when(F.count("*") == k, F.min("s")).otherwise(0).alias("bound"))
 
 
+def looked_up(lists: DataFrame, wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(q, row, doc_id, s): the whole scores of pairs (q, row), from all lists."""
+    found = lists.join(small_side(pairs.select("q", "row"), 32), "row").join(small_side(wanted.select("q", "term", "repeats"), 40), ["q", "term"])
+    return found.groupBy("q", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("score") * F.col("repeats")).alias("s"))
+
+
 def tput(lists: DataFrame, wanted: DataFrame, k: int = TOP) -> DataFrame:
     """(q, rank, doc_id, score) of each q's k best rows.  wanted: q, term, repeats."""
-    known = lists.select("term").distinct()
-    wanted = written(wanted.join(small_side(known, 16), "term", "left_semi"), "search-wanted")
-    each = lambda row_bytes=40: small_side(wanted, row_bytes)
-    # heads
+    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // PART_ROWS))
+    # heads: the k best of each list, and the whole scores of the rows in them
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.col("score").desc(), "row"))
     heads = written(lists.withColumn("rank", rank).where(F.col("rank") <= k).select("term", "row", "score"), "search-heads")
-    heads = heads.join(each(), "term").groupBy("q", "row").agg(F.sum(F.col("score") * F.col("repeats")).alias("s"))
-    of = wanted.groupBy("q").agg(F.count("*").alias("m")).join(bounds(heads, k), "q")
-    of = written(of.select("q", "m", F.greatest(F.lit(1), F.expr("(bound + m - 1) div m")).alias("least")), "search-bounds")
-    # uniform threshold
-    asked = written(wanted.join(small_side(of, 40), "q").withColumn("floor", F.expr("(least + repeats - 1) div repeats")).select("q", "term", "repeats", "floor"), "search-asked")
+    tops = heads.groupBy("term").agg(F.max("score").alias("top"))
+    wanted = written(wanted.join(small_side(tops, 24), "term").select("q", "term", "repeats", (F.col("top") * F.col("repeats")).alias("top")), "search-wanted")
+    seen = written(heads.join(small_side(wanted, 40), "term").select("q", "row").distinct(), "search-seen")
+    first = written(bounds(looked_up(lists, wanted, seen), k), "search-first")
+    # the uniform threshold T = x + 1, from the largest x for which the lists, at x or their top each, stay below the bound
+    own = Window.partitionBy("q").orderBy("top", "term")
+    x = F.expr("(bound - 1 - below) div (lists - place + 1)")
+    rising = wanted.join(small_side(first, 24), "q").withColumns({"below": F.sum("top").over(own) - F.col("top"), "place": F.row_number().over(own), "lists": F.count("*").over(Window.partitionBy("q"))})
+    most = rising.groupBy("q").agg(F.floor(SHARE * F.greatest(F.lit(0), F.max(F.when(x < F.col("top"), x)))).cast("bigint").alias("x"))
+    asked = written(wanted.join(small_side(most, 24), "q").select("q", "term", "repeats", F.least("top", "x").alias("cap"), F.expr("x div repeats + 1").alias("floor")), "search-asked")
+    caps = asked.groupBy("q").agg(F.sum("cap").alias("caps"), F.count("*").alias("lists"))
     lowest = asked.groupBy("term").agg(F.min("floor").alias("lowest"))
-    fetched = lists.join(small_side(lowest, 24), "term").where("score >= lowest").join(small_side(asked, 48), "term").where("score >= floor")
-    fetched = written(fetched.groupBy("q", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("score") * F.col("repeats")).alias("s"), F.count("*").alias("shown")), "search-fetched")
-    better = bounds(fetched, k)
-    left = fetched.join(small_side(of, 40), "q").join(small_side(better, 24), "q").where("s + (m - shown) * (least - 1) >= bound")
-    left = written(left.select("q", "row", "doc_id", "s", (F.col("shown") == F.col("m")).alias("whole")), "search-left")
+    # an entry is sent to its row once, for all items that ask for it; sums of (q, row) need no further exchange
+    entries = lists.join(small_side(lowest, 24), "term").where("score >= lowest").select("term", "row", "doc_id", "score").repartition(parts, "row")
+    fetched = entries.join(small_side(asked, 48), "term").where("score >= floor").groupBy("q", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("score") * F.col("repeats")).alias("s"), F.sum("cap").alias("cap"), F.count("*").alias("shown"))
+    able = small_side(written(caps.join(small_side(first, 24), "q"), "search-caps"), 40)
+    fetched = written(fetched.join(able, "q").where("s + caps - cap >= bound"), "search-fetched")
+    left = fetched.drop("bound").join(small_side(bounds(fetched.drop("bound"), k).unionByName(first).groupBy("q").agg(F.max("bound").alias("bound")), 24), "q").where("s + caps - cap >= bound")
+    left = written(left.select("q", "row", "doc_id", "s", (F.col("shown") == F.col("lists")).alias("whole")), "search-left")
     # look-up
-    open_ = left.where("NOT whole").select("q", "row", "doc_id")
-    looked = lists.select("term", "row", "score").join(small_side(open_, 48), "row").join(each(), ["q", "term"])
-    looked = looked.groupBy("q", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("score") * F.col("repeats")).alias("s"))
-    exact = left.where("whole").select("q", "row", "doc_id", "s").unionByName(looked)
+    exact = left.where("whole").select("q", "row", "doc_id", "s").unionByName(looked_up(lists, wanted, left.where("NOT whole")))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("doc_id").asc_nulls_last(), "row"))
     return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "doc_id", F.col("s").alias("score"))
 
