@@ -3,7 +3,8 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id.  The order of
 suffixes beyond LENGTH bytes bears on nothing, so suffixes are compared to that depth.
 
-1. Blocks: the texts are written once, as compressed files of some BLOCK bytes, named in a written manifest.
+1. Copies: of equal texts (by SHA-256) those with the smallest id stand for all; each byte of the others goes, if they have
+   LENGTH.  Blocks: the texts that are left are written once, as compressed files of some BLOCK bytes, named in a manifest.
 2. Cover sample: the places of a block whose number modulo MODULUS is in COVER.  Any two places reach sampled ones by one
    common step of less than MODULUS bytes, so two equal strings of LENGTH bytes share a sampled string of DEPTH =
    LENGTH - MODULUS + 1 bytes.  Sampled suffixes are ranked to DEPTH bytes first: blocks send each owner of a range of
@@ -27,15 +28,14 @@ bigint; texts under LENGTH bytes stay whole; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import file_system, shared_folder, whole, written
+from llm.common import file_system, shared_folder, small_side, whole, written
 from llm.exact_dedup import rice_decode, rice_encode
 
 LENGTH = 50
@@ -79,7 +79,7 @@ class Block:
         with fs.open_input_file(path) as source:
             table = feather.read_table(source).combine_chunks()
         self.file, self.length, self.depth = file, length, length - MODULUS + 1
-        self.doc_ids = table["doc_id"]
+        self.digests = table["digest"]
         texts = table["text"].combine_chunks()
         self.lengths = np.diff(np.frombuffer(texts.buffers()[1], "<i8" if "large" in str(texts.type) else "<i4", len(texts) + 1, texts.offset * 4)) if len(texts) else np.zeros(0, np.int64)
         self.n = int(self.lengths.sum())
@@ -89,7 +89,7 @@ class Block:
         self.words = np.ndarray((self.n + length,), "<u8", self.bytes, strides=(1,))
         self.ends = np.cumsum(self.lengths, dtype=np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
-        self.rank = np.array([NO_ID if x is None else x for x in self.doc_ids.to_pylist()], np.int64)
+        self.rank = np.array([NO_ID if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
 
     def sample(self, bits: int) -> None:
         """places, their ranks' numbers among the block's distinct `ranks`, and which of those two of its documents have."""
@@ -137,7 +137,7 @@ class Block:
         digests = []
         for a, b, r in zip(starts, self.ends, removed):
             digests.append(hashlib.sha256(self.bytes[a:b][~covered[a:b]] if r else self.bytes[a:b]).hexdigest())
-        return pa.table({"doc_id": self.doc_ids, "n_bytes": pa.array(self.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
+        return pa.table({"digest": self.digests, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
 def _sorted(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -147,8 +147,8 @@ def _sorted(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
     return np.lexsort((more, keys)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
 
 
-def write_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, block: int) -> DataFrame:
-    """Writes the texts as block files; the manifest."""
+def write_blocks(docs: DataFrame, folder: str, block: int) -> DataFrame:
+    """Writes the texts of (doc_id, digest, text) as block files; the manifest."""
 
     def run(batches):
         import pyarrow as pa
@@ -175,8 +175,7 @@ def write_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, block
         if sum(p.num_rows for p in parts):
             yield flush(parts, held)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, MANIFEST), "suffix-blocks")
+    return _exchanged(docs.select("doc_id", "digest", F.col("text").cast("binary").alias("text")).mapInArrow(run, MANIFEST), "suffix-blocks")
 
 
 def _lists(file: str, keys: np.ndarray, buckets: int, bits: int, more: np.ndarray | None = None, extra: int = 0, ids: np.ndarray | None = None):
@@ -234,11 +233,19 @@ def _bits(table, step: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for _, n, b in rows)])
 
 
-def _forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of exchanges that are over: it does so once the driver has collected their plans."""
-    gc.collect()
-    if (jvm := getattr(spark, "_jvm", None)) is not None:
-        jvm.System.gc()
+#: Lets Spark delete a query's shuffle files when it ends: what is read again here are written tables.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _exchanged(df: DataFrame, name: str) -> DataFrame:
+    """The table written, and the shuffle files of its query deleted."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET, folder: str | None = None) -> DataFrame:
@@ -246,7 +253,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < MODULUS + 7:
         raise ValueError(f"length has to be {MODULUS + 7} at least, so that sampled strings have 8 bytes")
     spark = docs.sparkSession
-    blocks = write_blocks(docs, folder or shared_folder(spark, "suffix-texts"), id_col, text_col, block)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rank = F.coalesce("doc_id", F.lit(NO_ID))
+    rows = written(texts.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "suffix-rows")
+    copied = rows.groupBy("digest").agg(F.min(rank).alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copied = small_side(written(copied, "suffix-copied"), 80)
+    later = F.col("least").isNotNull() & (rank > F.col("least"))
+    firsts = texts.join(copied, "digest", "left").where(~later)
+    blocks = write_blocks(firsts, folder or shared_folder(spark, "suffix-texts"), block)
     total = blocks.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n")).first()
     files, n = max(1, total["files"]), total["n"] or 0
     least = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -262,11 +276,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield _lists(file, b.ranks, ranks, bits)
 
     lists = blocks.select("file").repartition(files, "file").mapInArrow(first, LISTS)
-    shared = written(lists.repartition(ranks, "bucket").groupBy("bucket").applyInArrow(_answer(1, 0), ANSWERS), "suffix-shared")
-    del lists
-    _forget(spark)
+    shared = _exchanged(lists.repartition(ranks, "bucket").groupBy("bucket").applyInArrow(_answer(1, 0), ANSWERS), "suffix-shared")
 
-    # an upper bound of the keys to come: each shared rank reaches MODULUS places of each of its occurrences, and all places are n
     keys = max(least, -(-n // (4 * bucket)))
     extra = min(8, max(0, -(-(2 * n.bit_length() + 10 - 64) // 8)))
     none = F.lit(None).cast("binary")
@@ -281,9 +292,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.Table.from_batches([_lists(b.file, b.keys, keys, 64, b.more, extra, b.least)])
 
     lists = known.unionByName(shared).repartition(files, "file").groupBy("file").applyInArrow(second, LISTS)
-    earlier = written(lists.repartition(keys, "bucket").groupBy("bucket").applyInArrow(_answer(2, extra), ANSWERS), "suffix-earlier")
-    del lists
-    _forget(spark)
+    earlier = _exchanged(lists.repartition(keys, "bucket").groupBy("bucket").applyInArrow(_answer(2, extra), ANSWERS), "suffix-earlier")
 
     def third(table):
         b = Block(table["file"][0].as_py(), length)
@@ -291,4 +300,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         b.suffixes(_bits(table, 1))
         return b.result(_bits(table, 2))
 
-    return known.unionByName(shared).unionByName(earlier).repartition(files, "file").groupBy("file").applyInArrow(third, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = known.unionByName(shared).unionByName(earlier).repartition(files, "file").groupBy("file").applyInArrow(third, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = written(found.dropDuplicates(["digest"]), "suffix-found")
+    marked = rows.join(copied, "digest", "left").withColumn("later", later)
+    first = marked.where("NOT later").join(found, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # a later copy: if it has a string of that length at all, each of its bytes is in one that the first copy has too
+    gone = F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(0).cast("bigint")
+    spans, kept = (gone > 0).cast("bigint"), F.when(gone > 0, hashlib.sha256().hexdigest()).otherwise(F.lower(F.hex("digest")))
+    return first.unionByName(marked.where("later").select("doc_id", "n_bytes", gone.alias("n_removed"), spans.alias("n_spans"), kept.alias("kept_sha256")))
