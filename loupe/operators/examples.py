@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loupe.operators import syntax
 from loupe.operators.endpoints import callee
+from loupe.operators.intervals import innermost, outside
 from loupe.operators.tables import cut
 
 #: Methods that set up or tear down, names of mocks, objects that mock, kinds whose bodies hold no examples, and names that assert.
@@ -20,10 +21,10 @@ BLOCKS = ("function_definition", "if_statement", "elif_clause", "for_statement",
 ASSERTIVE = r"^([aA]ssert|[eE]xpect|[cC]heck|[vV]erify|[mM]ust)($|_|\p{Lu})"
 
 
-def _under(rows: DataFrame, spans: DataFrame, how: str, low: str = "low", high: str = "high") -> DataFrame:
-    """rows (file, pre) joined with the spans (file, low, high) that they lie in."""
+def _under(rows: DataFrame, spans: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """rows (file, pre) joined with each of the spans (file, low, high) that they lie in: for few spans, which may be many deep."""
     spans = spans.withColumnRenamed("file", "span_file")
-    return rows.join(spans, (F.col("file") == F.col("span_file")) & F.col("pre").between(F.col(low), F.col(high)), how).drop("span_file")
+    return rows.join(spans, (F.col("file") == F.col("span_file")) & F.col("pre").between(F.col(low), F.col(high))).drop("span_file")
 
 
 def _spans(rows: DataFrame, own: bool = True) -> DataFrame:
@@ -32,10 +33,10 @@ def _spans(rows: DataFrame, own: bool = True) -> DataFrame:
 
 def _functions(nodes: DataFrame) -> DataFrame:
     """Functions at the top of a module or of classes in it, with their groups and what their decorators say."""
-    top = _under(nodes.where("kind = 'function_definition'"), _spans(nodes.where(F.col("kind").isin(*BLOCKS)), own=False), "left_anti")
+    top = outside(nodes.where("kind = 'function_definition'"), _spans(nodes.where(F.col("kind").isin(*BLOCKS)), own=False))
     boxes = _spans(nodes.where("kind = 'class_definition'"), own=False)
     named = nodes.where("kind = 'class_definition'").select(F.col("file"), (F.col("pre") + 1).alias("low"), F.col("text").alias("box"))
-    inside = _under(top.select("file", "pre"), boxes, "inner").join(named, ["file", "low"])
+    inside = _under(top.select("file", "pre"), boxes).join(named, ["file", "low"])
     groups = inside.groupBy("file", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "box"))), lambda x: x["box"]), " › ").alias("group"))
     marks = nodes.where("role = 'decorator_list'").groupBy("file", F.col("parent").alias("pre")).agg(F.min("start_line").alias("marked"), F.bool_or(F.col("text").contains("parametrize")).alias("is_table"), F.bool_or(F.col("text").contains("fixture")).alias("fixture"))
     rows = top.join(groups, ["file", "pre"], "left").join(marks, ["file", "pre"], "left")
@@ -78,7 +79,7 @@ def helpers(nodes: DataFrame) -> DataFrame:
     rows = _named_calls(nodes)
     units = syntax.units(nodes).select("file", "ord", F.regexp_replace("name", r"#\d+$", "").alias("unit"), "pre", "post")
     spans = units.select("file", "ord", "unit", (F.col("pre") + 1).alias("low"), F.col("post").alias("high"))
-    inside = _under(rows.where("asserts OR (kind = 'call' AND object = '')").select("file", "pre", "called", "asserts"), spans, "inner")
+    inside = innermost(rows.where("asserts OR (kind = 'call' AND object = '')").select("file", "pre", "called", "asserts"), spans)
     facts = cut(inside.groupBy("file", "ord", "unit", "called").agg(F.bool_or("asserts").alias("asserts")))
     calls = facts.where("NOT asserts").select("file", "ord", "unit", F.col("called").alias("helper"))
     first = facts.where("asserts").groupBy("file", F.col("unit").alias("called")).agg(F.lit(0).alias("round"), F.min("ord").alias("at"))
@@ -100,7 +101,7 @@ def measured(examples_: DataFrame, nodes: DataFrame) -> DataFrame:
     known = helpers(nodes).withColumn("helps", F.lit(True))
     rows = _named_calls(nodes).join(known, ["file", "called"], "left").withColumn("asserts", F.col("asserts") | (F.coalesce("helps", F.lit(False)) & (F.col("object") == ""))).drop("helps")
     spans = examples_.select("file", F.col("pre").alias("low"), F.col("post").alias("high"), F.col("ord").alias("example"))
-    inside = cut(_under(rows, spans, "inner").drop("low", "high"))
+    inside = cut(innermost(rows, spans).drop("low", "high"))
     asserts = inside.where("asserts")
 
     stated = inside.where("kind = 'expr'").join(asserts.select("file", F.col("parent").alias("pre")).distinct().withColumn("good", F.lit(True)), ["file", "pre"], "left_outer")
@@ -111,12 +112,12 @@ def measured(examples_: DataFrame, nodes: DataFrame) -> DataFrame:
     guards = inside.where("kind = 'if_statement'").join(kids, ["file", "pre"]).where("guard")
 
     hidden = _spans(asserts, own=False).unionByName(guards.select("file", F.col("test.pre").alias("low"), F.col("test.post").alias("high")))
-    seen = _under(asserts, hidden, "left_anti").groupBy("file", F.col("example").alias("ord")).agg(F.count("*").alias("assertions"))
-    rest = _under(inside.where(~F.col("asserts")), _spans(asserts).unionByName(_spans(guards)), "left_anti")
+    seen = outside(asserts, hidden).groupBy("file", F.col("example").alias("ord")).agg(F.count("*").alias("assertions"))
+    rest = outside(inside.where(~F.col("asserts")), _spans(asserts).unionByName(_spans(guards)))
 
     running = inside.where("asserts OR called = 'Run'").select("file", "pre")
     loops = inside.where("kind = 'for_statement'").select("file", F.col("pre").alias("loop"), (F.col("pre") + 1).alias("low"), F.col("post").alias("high"))
-    tables = _under(running, loops, "inner").select("file", F.col("loop").alias("pre")).distinct().withColumn("over_cases", F.lit(True))
+    tables = _under(running, loops).select("file", F.col("loop").alias("pre")).distinct().withColumn("over_cases", F.lit(True))
     marked = rest.join(tables, ["file", "pre"], "left").withColumn("over_cases", F.coalesce("over_cases", F.lit(False)))
     mocks = (F.col("kind") == "call") & (F.col("called").isin(*MOCKS) | F.col("object").isin(*MOCKING))
     decides = F.col("kind").isin(*syntax.DECISIONS["python"]) & ~F.col("over_cases")
@@ -130,7 +131,7 @@ def measured(examples_: DataFrame, nodes: DataFrame) -> DataFrame:
     cases = iterated.where("kind <> 'identifier'").select("file", "pre").unionByName(iterated.where("kind = 'identifier'").drop("pre").join(bound, ["file", "example", "text"]).select("file", "pre"))
     marks = inside.where("role = 'decorator_list' AND contains(text, 'parametrize')").select("file", "pre")
     data = inside.join(cases.unionByName(marks).distinct().withColumn("is_data", F.lit(True)), ["file", "pre"], "left").where("(is_data OR kind IN ('literal', 'joinedstr')) AND end_line > start_line")
-    outer = _under(data, _spans(data, own=False), "left_anti").groupBy("file", F.col("example").alias("ord")).agg(F.sum(F.col("end_line") - F.col("start_line")).alias("data_lines"))
+    outer = outside(data, _spans(data, own=False)).groupBy("file", F.col("example").alias("ord")).agg(F.sum(F.col("end_line") - F.col("start_line")).alias("data_lines"))
 
     both = examples_.join(seen, ["file", "ord"], "left").join(counts, ["file", "ord"], "left").join(outer, ["file", "ord"], "left")
     raw = F.col("end_line") - F.col("start_line") + 1

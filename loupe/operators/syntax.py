@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.operators.intervals import innermost, outside
+
 #: Rules by language, as data (fixed values): kinds that decide, kinds of units and containers, token replacements by parent kind.
 DECISIONS = {"python": ("if_statement", "elif_clause", "for_statement", "while_statement", "except_clause", "case_clause", "conditional_expression", "boolean_operator", "for_in_clause", "if_clause")}
 UNITS = {"python": ("function_definition",)}
@@ -17,19 +19,19 @@ STATEMENTS = {"python": (
 )}
 
 
-def rules(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(language, kind) rows of a rule table; a handful, fixed in code."""
-    return spark.createDataFrame([(language, kind) for language, kinds in table.items() for kind in kinds], "language string, kind string")
-
-
 def _of(kinds: dict[str, tuple[str, ...]], language: str):
     return F.col("kind").isin(*kinds[language])
 
 
+def _spans(rows: DataFrame, *columns) -> DataFrame:
+    """(file, low, high, ...) of subtrees."""
+    return rows.select("file", F.col("pre").alias("low"), F.col("post").alias("high"), *columns)
+
+
 def units(nodes: DataFrame, language: str = "python") -> DataFrame:
     """(file, ord, namespace, name, kind, private, start_line, end_line, body_line, pre, post): unit nodes with no unit above them, named by the containers around them; repeats are name#2, name#3."""
-    outer = nodes.where(_of(UNITS, language)).select(F.col("file").alias("f"), F.col("pre").alias("a"), F.col("post").alias("b"))
-    top = nodes.where(_of(UNITS, language)).join(outer, (F.col("file") == F.col("f")) & (F.col("a") < F.col("pre")) & (F.col("post") <= F.col("b")), "left_anti")
+    every = nodes.where(_of(UNITS, language))
+    top = outside(every, _spans(every), own=False)
     box = nodes.where(_of(CONTAINERS, language)).select(F.col("file").alias("f"), F.col("pre").alias("a"), F.col("post").alias("b"), F.col("text").alias("box"))
     inside = top.join(box, (F.col("file") == F.col("f")) & (F.col("a") < F.col("pre")) & (F.col("post") <= F.col("b")))
     spaces = inside.groupBy("file", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "box"))), lambda x: x["box"]), ".").alias("namespace"))
@@ -44,8 +46,8 @@ def units(nodes: DataFrame, language: str = "python") -> DataFrame:
 
 def complexity(units_: DataFrame, nodes: DataFrame, language: str = "python") -> DataFrame:
     """units with complexity: 1 and one for each deciding node below them."""
-    deciding = nodes.where(_of(DECISIONS, language)).select(F.col("file").alias("f"), F.col("pre").alias("at"))
-    counts = units_.join(deciding, (F.col("file") == F.col("f")) & (F.col("at") > F.col("pre")) & (F.col("at") <= F.col("post"))).groupBy("file", "pre").agg(F.count("*").alias("n"))
+    deciding = nodes.where(_of(DECISIONS, language)).select("file", "pre")
+    counts = innermost(deciding, _spans(units_), own=False).groupBy("file", F.col("low").alias("pre")).agg(F.count("*").alias("n"))
     return units_.join(counts, ["file", "pre"], "left").withColumn("complexity", (1 + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
 
 
@@ -66,15 +68,15 @@ def fingerprints(units_: DataFrame, nodes: DataFrame) -> DataFrame:
         kids = rows.where("parent IS NOT NULL").groupBy("file", "parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", h))), lambda x: x[h]).alias("kids")).withColumnRenamed("parent", "at")
         return rows.join(kids, ["file", "at"], "left").withColumn(name, F.xxhash64("label", F.coalesce("kids", F.array().cast("array<bigint>")), F.lit(name))).drop("kids")
 
-    both = above(above(level, "h0", "h1"), "h1", "h2").select(F.col("file").alias("f"), "at", "h1", "h2")
-    inside = units_.join(both, (F.col("file") == F.col("f")) & F.col("at").between(F.col("pre"), F.col("post")))
+    both = above(above(level, "h0", "h1"), "h1", "h2").select("file", "at", "h1", "h2")
+    inside = innermost(both, _spans(units_), at="at").withColumnRenamed("low", "pre")
     return inside.groupBy("file", "pre").agg(F.array_sort(F.collect_set("h1")).alias("one"), F.array_sort(F.collect_set("h2")).alias("two"), F.count("*").alias("n_nodes")).select("file", "pre", F.array_sort(F.array_union("one", "two")).alias("prints"), "n_nodes")
 
 
 def unit_hash(units_: DataFrame, nodes: DataFrame) -> DataFrame:
     """(file, pre, hash): 16 hex digits of the SHA-256 of a unit's nodes; comments and layout don't count."""
-    text = nodes.select(F.col("file").alias("f"), F.col("pre").alias("at"), F.concat_ws("\0", "kind", F.coalesce("text", F.lit("")), (F.col("post") - F.col("pre")).cast("string")).alias("part"))
-    inside = units_.join(text, (F.col("file") == F.col("f")) & F.col("at").between(F.col("pre"), F.col("post")))
+    text = nodes.select("file", F.col("pre").alias("at"), F.concat_ws("\0", "kind", F.coalesce("text", F.lit("")), (F.col("post") - F.col("pre")).cast("string")).alias("part"))
+    inside = innermost(text, _spans(units_), at="at").withColumnRenamed("low", "pre")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\1")
     return inside.groupBy("file", "pre").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("hash"))
 
@@ -87,15 +89,28 @@ def imports(nodes: DataFrame) -> DataFrame:
 
 def statement_lines(nodes: DataFrame, language: str = "python") -> DataFrame:
     """nodes with statement_line, where the innermost statement that holds a node starts, the node itself included; its own line where none does."""
-    held = nodes.where(_of(STATEMENTS, language)).select(F.col("file").alias("f"), F.col("pre").alias("a"), F.col("post").alias("b"), F.col("start_line").alias("first"))
-    inside = nodes.select("file", "pre").join(held, (F.col("file") == F.col("f")) & F.col("pre").between(F.col("a"), F.col("b")))
-    lines = inside.groupBy("file", "pre").agg(F.max_by("first", "a").alias("first"))
-    return nodes.join(lines, ["file", "pre"], "left").withColumn("statement_line", F.coalesce("first", "start_line")).drop("first")
+    held = _spans(nodes.where(_of(STATEMENTS, language)), F.col("start_line").alias("first"))
+    return innermost(nodes, held, outer=True).withColumn("statement_line", F.coalesce("first", "start_line")).drop("first", "low", "high")
+
+
+def own_nodes(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """nodes with the unit whose own code they are: of all units (file, unit, pre, post), inline ones included, the innermost that holds the node.
+
+    So a unit's own nodes are its span less the spans of inline units in it; nodes in no unit are left out.
+    """
+    return innermost(nodes, _spans(spans, "unit")).drop("low", "high")
+
+
+def own_complexity(nodes: DataFrame, spans: DataFrame, language: str = "python") -> DataFrame:
+    """spans (file, unit, pre, post) with complexity: 1 and one for each deciding node of a unit's own code, itself not counted."""
+    deciding = innermost(nodes.where(_of(DECISIONS, language)).select("file", "pre"), _spans(spans, "unit"), own=False)
+    counts = deciding.groupBy("file", "unit").agg(F.count("*").alias("n"))
+    return spans.join(counts, ["file", "unit"], "left").withColumn("complexity", (1 + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
 
 
 def mutation_sites(units_: DataFrame, nodes: DataFrame, language: str = "python") -> DataFrame:
     """(file, unit, line, original, replacement): literals and connectives of units that a mutant would flip."""
     flips = F.create_map(*(F.lit(x) for pair in FLIPS[language].items() for x in pair))
-    rows = nodes.where(F.col("kind").isin("literal", "boolean_operator")).select(F.col("file").alias("f"), F.col("pre").alias("at"), F.col("start_line").alias("line"), F.col("text").alias("original"), flips[F.col("text")].alias("replacement")).where("replacement IS NOT NULL")
-    inside = units_.join(rows, (F.col("file") == F.col("f")) & F.col("at").between(F.col("pre"), F.col("post")))
+    rows = nodes.where(F.col("kind").isin("literal", "boolean_operator")).select("file", F.col("pre").alias("at"), F.col("start_line").alias("line"), F.col("text").alias("original"), flips[F.col("text")].alias("replacement")).where("replacement IS NOT NULL")
+    inside = innermost(rows, _spans(units_, "namespace", "name"), at="at")
     return inside.select("file", F.concat_ws(".", F.expr("nullif(namespace, '')"), "name").alias("unit"), "line", "at", "original", "replacement").orderBy("file", "line", "at")

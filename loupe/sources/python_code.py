@@ -46,14 +46,32 @@ _TEMPLATE = re.compile(r"\$\{[^}]*\}|\$[A-Za-z_]\w*")
 
 def _string(node: ast.AST) -> str | None:
     """What a string literal, f-string or sum that begins with one says; None for other expressions."""
+    rest = []
+    while isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        rest.append(node.right)
+        node = node.left
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
-        return _TEMPLATE.sub("{}", node.value)
-    if isinstance(node, ast.JoinedStr):
-        return "".join("{}" if (part := _string(x)) is None else part for x in node.values)
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and (left := _string(node.left)) is not None:
-        right = _string(node.right)
-        return left + ("{}" if right is None else right)
-    return None
+        first = _TEMPLATE.sub("{}", node.value)
+    elif isinstance(node, ast.JoinedStr):
+        first = "".join("{}" if (part := _string(x)) is None else part for x in node.values)
+    else:
+        return None
+    return first + "".join("{}" if (part := _string(x)) is None else part for x in reversed(rest))
+
+
+#: Nodes of a called expression that is written out; of a longer one only its last name is, after `()`.
+WRITTEN = 40
+
+
+def _called(func: ast.AST) -> str | None:
+    """The text of what is called: whole while short, so that a chain of calls takes time in proportion to its length."""
+    open_, n = [func], 0
+    while open_ and n <= WRITTEN:
+        n += 1
+        open_.extend(ast.iter_child_nodes(open_.pop()))
+    if not open_:
+        return ast.unparse(func)
+    return f"().{func.attr}" if isinstance(func, ast.Attribute) else None
 
 
 def _children(node: ast.AST):
@@ -65,37 +83,45 @@ def _children(node: ast.AST):
 
 
 def _rows(file: str, source: bytes) -> list[tuple]:
+    """The nodes of a file.  What is open is a list and not the interpreter's stack, so depth doesn't matter here; what the parser itself finds too deep is an error."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [(file, 0, 0, None, "error", None, 1, 1, None, None, None)]
     out: list[list] = []
     columns: dict[int, int | None] = {}
 
     def add(parent, kind, text, node, role) -> int:
         line = getattr(node, "lineno", None) or (out[parent][6] if parent is not None else 1)
-        out.append([file, len(out), None, parent, kind, text, line, getattr(node, "end_lineno", None) or line, None, role, _string(node)])
+        inner = role == "left" and isinstance(node, ast.BinOp) and out[parent][4] == "binary_operator"  # of nested sums the outermost has the value
+        out.append([file, len(out), None, parent, kind, text, line, getattr(node, "end_lineno", None) or line, None, role, None if inner else _string(node)])
         return len(out) - 1
 
-    def visit(node, parent, role=None) -> None:
-        name = type(node).__name__
+    def close(here) -> None:
+        out[here][2] = len(out) - 1
+
+    def ends(node, here) -> None:
+        for _ in node.ifs if isinstance(node, ast.comprehension) else ():
+            close(add(here, "if_clause", None, node.target, "ifs"))
+        close(here)
+
+    def operators(node, parent, role) -> list:
+        """a and b and c: one operator each, nested to the left; what comes after them."""
+        above = []
+        for _ in node.values[1:]:
+            above.append(add(parent, "boolean_operator", type(node.op).__name__.lower(), node, role))
+            parent, role = above[-1], "left"
+        after = [(visit, node.values[0], above[-1], "left")]
+        for value, here in zip(node.values[1:], reversed(above)):
+            after += [(visit, value, here, "right"), (close, here)]
+        return after
+
+    def visit(node, parent, role) -> list | None:
         if isinstance(node, ast.expr_context):
-            return
-        if isinstance(node, ast.BoolOp):  # a and b and c: one operator each, nested to the left
-            def chain(values, role) -> None:
-                nonlocal parent
-                if len(values) == 1:
-                    visit(values[0], parent, role)
-                    return
-                here, outer = add(parent, "boolean_operator", type(node.op).__name__.lower(), node, role), parent
-                parent = here
-                chain(values[:-1], "left")
-                parent = here
-                visit(values[-1], here, "right")
-                out[here][2] = len(out) - 1
-                parent = outer
-            chain(node.values, role)
-            return
+            return None
+        if isinstance(node, ast.BoolOp):
+            return operators(node, parent, role)
+        name = type(node).__name__
         text = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
         if isinstance(node, ast.Constant):
             text = repr(node.value)
@@ -105,7 +131,7 @@ def _rows(file: str, source: bytes) -> list[tuple]:
             module = "." * (getattr(node, "level", 0) or 0) + (getattr(node, "module", None) or "")
             text = ",".join(a.name if isinstance(node, ast.Import) else f"{module}:{a.name}" for a in node.names)
         elif isinstance(node, ast.Call):
-            text = ast.unparse(node.func) if len(ast.dump(node.func)) < 400 else None
+            text = _called(node.func)
         kind = KINDS.get(name, name.lower())
         if isinstance(node, ast.If) and role == "orelse" and parent is not None and out[parent][4] in ("if_statement", "elif_clause") and node.col_offset == columns[parent]:
             kind = "elif_clause"
@@ -113,14 +139,12 @@ def _rows(file: str, source: bytes) -> list[tuple]:
         columns[here] = getattr(node, "col_offset", None)
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out[here][8] = node.body[0].lineno
-        for field, child in _children(node):
-            visit(child, here, field)
-        if isinstance(node, ast.comprehension):
-            for _ in node.ifs:
-                out[add(here, "if_clause", None, node.target, "ifs")][2] = len(out) - 1
-        out[here][2] = len(out) - 1
+        return [*((visit, child, here, field) for field, child in _children(node)), (ends, node, here)]
 
-    visit(tree, None)
+    open_ = [(visit, tree, None, None)]
+    while open_:
+        do, *with_ = open_.pop()
+        open_.extend(reversed(do(*with_) or ()))
     return [tuple(r) for r in out]
 
 
