@@ -104,8 +104,8 @@ def own_nodes(nodes: DataFrame, spans: DataFrame) -> DataFrame:
 def own_complexity(nodes: DataFrame, spans: DataFrame, language: str = "python") -> DataFrame:
     """spans (file, unit, pre, post) with complexity: 1 and one for each deciding node of a unit's own code, itself not counted."""
     deciding = innermost(nodes.where(_of(DECISIONS, language)).select("file", "pre"), _spans(spans, "unit"), own=False)
-    counts = deciding.groupBy("file", "unit").agg(F.count("*").alias("n"))
-    return spans.join(counts, ["file", "unit"], "left").withColumn("complexity", (1 + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
+    counts = deciding.groupBy("file", "unit").agg((1 + F.count("*")).cast("int").alias("complexity"))
+    return spans.join(counts, ["file", "unit"], "left").withColumn("complexity", F.coalesce("complexity", F.lit(1)))
 
 
 def mutation_sites(units_: DataFrame, nodes: DataFrame, language: str = "python") -> DataFrame:
