@@ -107,6 +107,16 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def expected(df: DataFrame, rows: int, total: int, salt: str, *columns: str) -> DataFrame:
+    """All of df's `total` rows if there are no more than `rows`; else those whose 64-bit hash of the columns is below rows / total of all hashes.
+
+    About `rows` are expected, whatever the total.  Rows that are equal in all columns are in or out together.
+    """
+    if total <= rows:
+        return df
+    return df.where(F.xxhash64(F.lit(salt), *columns) < F.lit((rows << 64) // total - (1 << 63)))
+
+
 def without(docs: DataFrame, dropped: DataFrame, repeats: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less the rows whose (id, digest of the text as it stands) are in `dropped`; of the rows in `repeats` (same columns) one stays.
 

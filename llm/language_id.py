@@ -5,9 +5,9 @@ the log-probability matrix (buckets x languages) is broadcast, and batches of te
 sparse rows: their bucket numbers gather matrix rows, which are summed by document.  Scores cover
 whole texts.
 
-The model is fitted on a sample bounded by TRAIN_ROWS: rows are chosen by a hash of their id so that
-about that many are expected (all, if there are no more).  The matrix has BUCKETS x languages cells; more
-than MOST_LANGUAGES labels are an error, which bounds what is gathered and broadcast.
+The model is fitted on a sample bounded by TRAIN_ROWS: rows are chosen by a 64-bit hash of id and
+text so that about that many are expected (all, if there are no more).  The matrix has BUCKETS x languages cells; more labels
+than `most_languages` (MOST_LANGUAGES by default) are an error, which bounds what is gathered and broadcast: raise it for more.
 
 `accepted` uses the model in two ways.  A text's evidence is the mean over its n-grams of their
 log-probability in the best language less that of a draw from all buckets alike; a text without more
@@ -15,7 +15,7 @@ evidence than EVIDENCE looks like none of the learned languages and is rejected.
 text whose language isn't among those.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without any labelled text
-all are; equal scores go to the language first in order; null ids are hashed as no id.
+all are; equal scores go to the language first in order; null ids are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import CACHES, bounded_batches, enter, trim
+from llm.common import CACHES, bounded_batches, enter, expected, trim
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -126,7 +126,7 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(held[at])], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, matrix) from rows where `learn` holds, text and language not null.
 
     What comes to the driver is the counts, BUCKETS + 1 a language at most.
@@ -134,10 +134,9 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     usable = docs if learn is None else docs.where(learn)
     usable = usable.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    if usable.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = train_rows / max(train_rows, usable.count())
-    usable = usable.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if usable.select(lang_col).distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages; most_languages allows more, at {BUCKETS * 4 >> 10} KiB of matrix each")
+    usable = expected(usable, train_rows, usable.count(), "fit", id_col, text_col)
     rows = usable.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(langs)))

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BROADCAST_BYTES, enter, row_digest, small_side, trim, without, written
+from llm.common import BROADCAST_BYTES, enter, expected, row_digest, small_side, trim, without, written
 from llm.components import components
 
 SEED = 42
@@ -254,8 +254,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["token", "n"])
         trim()
 
-    share = ORDER_ROWS / max(ORDER_ROWS, docs.count())
-    rows = docs.where(F.pmod(F.xxhash64(F.lit("order"), F.col(id_col), F.length(text_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_col).alias("text"))
+    rows = expected(docs, ORDER_ROWS, docs.count(), "order", id_col, text_col).select(F.col(text_col).alias("text"))
     counts = written(rows.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= REPEATED), "simhash-order")
     least, total = REPEATED, 0
     for row in sorted(counts.groupBy("n").agg(F.count("*").alias("tokens")).collect(), reverse=True):
