@@ -1,10 +1,12 @@
-"""Cutting lineage in iterative operators."""
+"""Shared folders, and cutting lineage in iterative operators."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+@functools.cache
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tables-")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below `spark.checkpoint.dir`; only where that is unset and the master is local below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = _own()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

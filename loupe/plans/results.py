@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.operators import evidence, exceptions, listed, syntax
+from loupe.operators import coverage_cache, evidence, exceptions, listed, syntax
+from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
 
 # --- a region as a file: nations hold customers, customers hold orders --------------------------------
@@ -211,3 +212,30 @@ def q_listed_change(spark, d):
     support = table(spark, d, "nation").selectExpr("n_nationkey AS snapshot", "explode(sequence(0, 2)) AS i").where("(snapshot + i) % 9 = 0").selectExpr("snapshot", "concat('s', i) AS file")
     found = listed.listed_change(mutants, listed.changed_tests(tests, files, now, listing), support)
     return found.select("snapshot", "unit", F.array_join("files", ",").alias("files"), F.array_join("tests", ",").alias("tests"), "changed")
+
+
+# --- kept coverage: nations' customers as plans, orders as inputs ---------------------------------------
+
+KEPT = """rows_ AS (SELECT 'plan' || (c_custkey % 300) AS name, 'f' || (o_orderkey % 50) AS item, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+  was AS (SELECT name, item, 'h' || (min(k) % 7) AS value FROM rows_ WHERE name NOT LIKE '%5' GROUP BY name, item),
+  now AS (SELECT name, item, CASE WHEN name LIKE '%7' AND min(k) % 3 = 0 THEN 'new' ELSE 'h' || (min(k) % 7) END AS value FROM rows_ GROUP BY name, item HAVING NOT (name LIKE '%8' AND min(k) % 4 = 0)),
+  had AS (SELECT DISTINCT name, 's' || (k % 6) AS item FROM rows_ WHERE name NOT LIKE '%5' AND NOT (name LIKE '%1' AND k % 6 = 2)), asked AS (SELECT DISTINCT name, 's' || (k % 6) AS item FROM rows_ WHERE NOT (name LIKE '%3' AND k % 6 = 4))"""
+
+
+@query(f"""WITH {KEPT}, names AS (SELECT DISTINCT name FROM rows_), changed AS (SELECT name, list(item ORDER BY item) AS x FROM (SELECT coalesce(a.name, b.name) AS name, coalesce(a.item, b.item) AS item, a.value AS v, b.value AS w FROM now a FULL JOIN was b ON a.name = b.name AND a.item = b.item) WHERE v IS DISTINCT FROM w GROUP BY name),
+  lacking AS (SELECT name, list(item ORDER BY item) AS x FROM (SELECT * FROM asked EXCEPT SELECT * FROM had) GROUP BY name), also_ AS (SELECT name, list(item ORDER BY item) AS x FROM (SELECT * FROM had EXCEPT SELECT * FROM asked) GROUP BY name),
+  judged AS (SELECT n.name, c.x AS c, l.x AS l, a.x AS a, CASE WHEN n.name LIKE '%5' THEN 'missing' WHEN c.x IS NOT NULL THEN 'changed' WHEN l.x IS NOT NULL THEN 'unmeasured' WHEN a.x IS NOT NULL THEN 'also' ELSE 'served' END AS state FROM names n LEFT JOIN changed c USING (name) LEFT JOIN lacking l USING (name) LEFT JOIN also_ a USING (name)),
+  used AS (SELECT right(name, 2) AS grp, bool_and(state = 'served') AS used FROM judged GROUP BY ALL)
+  SELECT name, state, used, CASE state WHEN 'changed' THEN array_to_string(list_transform(c[1:3], lambda x: x || ' changed'), ', ') || CASE WHEN len(c) > 3 THEN ' and ' || (len(c) - 3) || ' more' ELSE '' END
+    WHEN 'unmeasured' THEN 'it measured no ' || array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' and ' || (len(l) - 3) || ' more' ELSE '' END WHEN 'also' THEN 'it also measured ' || array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ' and ' || (len(a) - 3) || ' more' ELSE '' END END AS why FROM judged JOIN used ON grp = right(name, 2)""")
+def q_coverage_cache(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("concat('plan', c_custkey % 300) AS name", "concat('f', o_orderkey % 50) AS item", "o_orderkey AS k", "concat('s', o_orderkey % 6) AS source")
+    first = rows.groupBy("name", "item").agg(F.min("k").alias("k"))
+    was = first.where("name NOT LIKE '%5'").selectExpr("name", "item", "concat('h', k % 7) AS value")
+    now = first.where("NOT (name LIKE '%8' AND k % 4 = 0)").selectExpr("name", "item", "CASE WHEN name LIKE '%7' AND k % 3 = 0 THEN 'new' ELSE concat('h', k % 7) END AS value")
+    had = rows.where("name NOT LIKE '%5' AND NOT (name LIKE '%1' AND k % 6 = 2)").selectExpr("name", "source AS item").distinct()
+    asked = rows.where("NOT (name LIKE '%3' AND k % 6 = 4)").selectExpr("name", "source AS item").distinct()
+    path = folder(spark, "coverage-cache")
+    coverage_cache.keep(spark, path, was, had, had.withColumn("value", F.lit("1-9")))
+    served = coverage_cache.serve(coverage_cache.read(spark, path, asked), now, asked)
+    return coverage_cache.serve_groups(served, served.select("name", F.substring("name", -2, 2).alias("group"))).select("name", "state", "used", "why")
