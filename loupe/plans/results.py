@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.operators import coverage_cache, evidence, exceptions, listed, syntax
+from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, syntax
 from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
 
@@ -239,3 +239,22 @@ def q_coverage_cache(spark, d):
     coverage_cache.keep(spark, path, was, had, had.withColumn("value", F.lit("1-9")))
     served = coverage_cache.serve(coverage_cache.read(spark, path, asked), now, asked)
     return coverage_cache.serve_groups(served, served.select("name", F.substring("name", -2, 2).alias("group"))).select("name", "state", "used", "why")
+
+
+# --- orders as Go files, each in the folder of a nation with a platform of its own ----------------------
+
+GO_FILES = """SELECT o_orderkey AS id, 'n' || c_nationkey || '/f' || o_orderkey || CASE o_orderkey % 7 WHEN 0 THEN '_linux' WHEN 1 THEN '_windows_amd64_test' WHEN 2 THEN '_arm64' ELSE '' END || '.go' AS file,
+    CASE o_orderkey % 9 WHEN 0 THEN '//go:build linux && !cgo' WHEN 1 THEN '//go:build (darwin || windows) && amd64' WHEN 2 THEN '//go:build integration' WHEN 3 THEN '//go:build !unix || t' || (o_custkey % 5) WHEN 4 THEN '// +build darwin,arm64 !amd64' WHEN 5 THEN '//go:build linux && ' ELSE '// none' END || chr(10) || chr(10) || 'package p' AS text,
+    CASE c_nationkey % 4 WHEN 0 THEN 'linux' WHEN 1 THEN 'darwin' WHEN 2 THEN 'windows' ELSE 'android' END AS system, CASE c_nationkey % 3 WHEN 0 THEN 'amd64' ELSE 'arm64' END AS architecture, o_orderkey % 7 AS suffix, o_orderkey % 9 AS form
+    FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(f"""WITH f AS ({GO_FILES}),
+  j AS (SELECT *, CASE suffix WHEN 0 THEN system IN ('linux', 'android') WHEN 1 THEN system = 'windows' AND architecture = 'amd64' WHEN 2 THEN architecture = 'arm64' ELSE TRUE END AS by_name,
+    CASE form WHEN 0 THEN system IN ('linux', 'android') WHEN 1 THEN system IN ('darwin', 'windows') AND architecture = 'amd64' WHEN 4 THEN architecture <> 'amd64' ELSE TRUE END AS by_text FROM f)
+  SELECT id, file, by_name AND by_text AS built FROM j""")
+def q_built_on(spark, d):
+    for name in ("orders", "customer"):
+        table(spark, d, name).createOrReplaceTempView(f"go_{name}")
+    files = spark.sql(GO_FILES.replace("FROM orders JOIN customer", "FROM go_orders JOIN go_customer"))
+    return platforms.built_on(files.select("id", "file", "text", "system", "architecture")).select("id", "file", "built")
