@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, syntax
+from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, sites, syntax
 from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
 
@@ -258,3 +258,43 @@ def q_built_on(spark, d):
         table(spark, d, name).createOrReplaceTempView(f"go_{name}")
     files = spark.sql(GO_FILES.replace("FROM orders JOIN customer", "FROM go_orders JOIN go_customer"))
     return platforms.built_on(files.select("id", "file", "text", "system", "architecture")).select("id", "file", "built")
+
+
+# --- customers as units of code: orders as tokens, sites and comments; documents as source files ---------
+
+TOKENS = """tokens AS (SELECT c_nationkey AS file, c_custkey AS unit, o_orderkey * 4 AS start, o_orderkey * 4 + 2 AS stop, (['number', 'name', '+', '!'])[o_orderkey % 4 + 1] AS kind, (['0', '+', '<', '!', '?', '*'])[o_orderkey % 6 + 1] AS text, o_orderkey % 7 = 0 AS named,
+    (['binary', 'unary', 'ternary', 'compare', NULL])[o_custkey % 5 + 1] AS parent_kind, o_orderkey * 4 - 3 AS parent_start FROM orders JOIN customer ON o_custkey = c_custkey)"""
+RULES = [("literal", "number", "0", "1"), ("literal", "number", "1", "0"), ("swap", "compare", "<", "<="), ("swap", "compare", "+", "-"), ("delete", "unary", "!", None), ("delete", "binary", "*", None), ("left", "ternary", "?", None), ("left", "binary", "+", None)]
+
+
+@query(f"""WITH {TOKENS}, c AS (SELECT *, CASE WHEN kind = 'number' THEN CASE text WHEN '0' THEN '1' WHEN '1' THEN '0' END WHEN parent_kind IS NULL OR named THEN NULL WHEN parent_kind = 'compare' THEN CASE text WHEN '<' THEN '<=' WHEN '+' THEN '-' END
+    WHEN parent_kind = 'unary' AND text = '!' OR parent_kind = 'binary' AND text = '*' OR parent_kind = 'ternary' AND text = '?' OR parent_kind = 'binary' AND text = '+' THEN '' END AS replacement,
+    kind <> 'number' AND (parent_kind = 'ternary' AND text = '?' OR parent_kind = 'binary' AND text = '+') AS is_left FROM tokens)
+  SELECT file, unit, CASE WHEN is_left THEN parent_start ELSE start END AS start, stop AS "end", replacement FROM c WHERE replacement IS NOT NULL""")
+def q_mutation_sites(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pick = lambda names, by: F.element_at(F.array(*(F.lit(n) for n in names)), (F.expr(by) + 1).cast("int"))
+    tokens = rows.select(
+        F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("unit"), F.expr("o_orderkey * 4 AS start"), F.expr("o_orderkey * 4 + 2 AS end"), pick(["number", "name", "+", "!"], "o_orderkey % 4").alias("kind"), pick(["0", "+", "<", "!", "?", "*"], "o_orderkey % 6").alias("text"),
+        F.expr("o_orderkey % 7 = 0 AS named"), pick(["binary", "unary", "ternary", "compare", None], "o_custkey % 5").alias("parent_kind"), F.expr("o_orderkey * 4 - 3 AS parent_start"),
+    )
+    return sites.find(tokens, spark.createDataFrame(RULES, "rule string, kind string, text string, replacement string"))
+
+
+@query("""WITH r AS (SELECT c_nationkey AS file, c_custkey AS unit, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey), units AS (SELECT file, unit, min(k) * 4 - 5 AS low FROM r GROUP BY ALL),
+  cuts AS (SELECT file, unit, k * 4 AS a, k * 4 + k % 4 AS b FROM r WHERE k % 3 = 0), marks AS (SELECT file, unit, k * 4 + k % 5 AS start, k FROM r WHERE k % 3 > 0)
+  SELECT m.file, m.unit, m.k, CAST(any_value(m.start - u.low) - coalesce(sum(c.b - c.a), 0) AS BIGINT) AS "offset" FROM marks m JOIN units u USING (file, unit) LEFT JOIN cuts c ON c.file = m.file AND c.unit = m.unit AND c.b <= m.start GROUP BY m.file, m.unit, m.k""")
+def q_site_offsets(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("c_nationkey AS file", "c_custkey AS unit", "o_orderkey AS k")
+    units = rows.groupBy("file", "unit").agg(F.min("k").alias("k")).selectExpr("file", "unit", "k * 4 - 5 AS start")
+    cuts = rows.where("k % 3 = 0").selectExpr("file", "unit", "k * 4 AS start", "k * 4 + k % 4 AS end")
+    return sites.offsets(rows.where("k % 3 > 0").selectExpr("file", "unit", "k * 4 + k % 5 AS start", "k"), units, cuts).select("file", "unit", "k", "offset")
+
+
+@query("""WITH f AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents)
+  SELECT doc_id AS file, substr(sha256(unhex(substr(h, 1, 2 * (n // 5)) || CASE WHEN n // 2 > n // 5 THEN substr(h, 2 * (n // 3) + 1, 2 * greatest(n // 2 - n // 3, 0)) ELSE '' END || substr(h, 2 * (n // 2 + n // 9) + 1))), 1, 16) AS hash FROM f""")
+def q_code_hash(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")).withColumn("n", F.octet_length("content").cast("bigint"))
+    span = lambda low, high: files.selectExpr("file", "0 AS unit", f"{low} AS start", f"{high} AS end")
+    cuts = span("n div 2", "n div 2 + n div 9")
+    return sites.code_hash(span("cast(0 AS bigint)", "n"), files.select("file", "content"), span("n div 5", "n div 3"), cuts).select("file", "hash")
