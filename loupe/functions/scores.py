@@ -50,8 +50,8 @@ def overall_grade(crap_: Column, mutation: Column) -> Column:
 
 
 def grade_hue(grade: Column) -> Column:
-    """Degrees from red (grade 1) to green (grade 10)."""
-    return F.round((F.least(F.lit(10.0), F.greatest(F.lit(1.0), grade)) - 1) / 9 * 130)
+    """Degrees from red (grade 1) to green (grade 10); null without a grade."""
+    return F.when(grade.isNotNull(), F.round((F.least(F.lit(10.0), F.greatest(F.lit(1.0), grade)) - 1) / 9 * 130))
 
 
 def example_score(lines: Column, decisions: Column, mocks: Column, assertions: Column) -> Column:

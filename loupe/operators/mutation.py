@@ -99,8 +99,9 @@ def prune(exceptions: DataFrame) -> DataFrame:
 
 
 def carry_over(exceptions: DataFrame, units: DataFrame) -> DataFrame:
-    """Exceptions (id, hash) of an older hash (units: prev_hash, hash) under the new one."""
-    return exceptions.join(units.select(F.col("prev_hash").alias("hash"), F.col("hash").alias("new_hash")).distinct(), "hash", "left").withColumn("hash", F.coalesce("new_hash", "hash")).drop("new_hash")
+    """Exceptions (id, hash) of an older hash (units: prev_hash, hash) under the new one; where an old hash became several, as they are, since it doesn't say which."""
+    new = units.where("prev_hash IS NOT NULL").groupBy(F.col("prev_hash").alias("hash")).agg(F.min("hash").alias("new_hash"), F.count_distinct("hash").alias("n")).where("n = 1").drop("n")
+    return exceptions.join(new, "hash", "left").withColumn("hash", F.coalesce("new_hash", "hash")).drop("new_hash").select(*exceptions.columns)
 
 
 def moved_elsewhere(exceptions: DataFrame, units: DataFrame) -> DataFrame:
@@ -118,10 +119,12 @@ def parse_identity(identity: Column) -> dict[str, Column]:
 
 
 def admit_named(named: DataFrame, sites: DataFrame) -> DataFrame:
-    """named (file, line, column) with the state of their site: a fresh survivor is admitted, others say why not."""
-    rows = named.join(sites, ["file", "line", "column"], "left")
-    why = F.when(F.col("outcome").isNull(), "no such site").when(F.col("stale"), "stale").when(F.col("outcome") != "survived", F.concat(F.lit("not a survivor: "), "outcome")).otherwise("admitted")
-    return rows.withColumn("admission", why)
+    """named (file, line, column) with the state of their site (site, outcome, stale): a fresh survivor is admitted, others say why not.  Of a place's sites the first decides."""
+    first = sites.groupBy("file", "line", "column").agg(F.min(F.struct("site", "outcome", "stale")).alias("s")).select("file", "line", "column", F.lit(True).alias("there"), "s.outcome", "s.stale")
+    rows = named.join(first, ["file", "line", "column"], "left")
+    settled = F.concat(F.lit("not a survivor: "), F.coalesce("outcome", F.lit("not judged")))
+    why = F.when(F.col("there").isNull(), "no such site").when(F.col("stale"), "stale").when(F.coalesce("outcome", F.lit("")) != "survived", settled).otherwise("admitted")
+    return rows.withColumn("admission", why).drop("there")
 
 
 def first_stop(findings: DataFrame) -> DataFrame:
