@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, sites, syntax
+from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, reports, sites, syntax
 from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
 
@@ -298,3 +298,30 @@ def q_code_hash(spark, d):
     span = lambda low, high: files.selectExpr("file", "0 AS unit", f"{low} AS start", f"{high} AS end")
     cuts = span("n div 2", "n div 2 + n div 9")
     return sites.code_hash(span("cast(0 AS bigint)", "n"), files.select("file", "content"), span("n div 5", "n div 3"), cuts).select("file", "hash")
+
+
+# --- suppliers' remainders as reports, parts as files -----------------------------------------------------
+
+
+@query("""WITH s AS (SELECT l_suppkey % 7 AS report, l_orderkey * 10 + l_linenumber AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'files' WHEN 1 THEN 'branches' ELSE 'inventory' END AS part, 'f' || (l_partkey % 200) AS file FROM lineitem),
+  placed AS (SELECT part AS kind, file AS name, row_number() OVER (PARTITION BY part, file ORDER BY report, ord) - 1 AS place, CAST(ord AS VARCHAR) AS value FROM s),
+  notes AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'failed' ELSE 'integration_missing' END AS kind, 'list' AS name, o_orderkey, o_custkey % 5 AS report FROM orders WHERE o_orderkey % 20 < 3)
+  SELECT * FROM placed UNION ALL SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY report, o_orderkey) - 1, 'o' || o_orderkey FROM notes
+  UNION ALL SELECT DISTINCT 'languages', c_mktsegment, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM customer UNION ALL SELECT 'tests', 't' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 2
+  UNION ALL SELECT DISTINCT 'proven', 'f' || (p_partkey % 150), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM part UNION ALL SELECT 'unloaded', 'f' || (p_partkey % 90), NULL, arg_max(p_brand, p_partkey) FROM part GROUP BY p_partkey % 90""")
+def q_report_merge(spark, d):
+    none = F.lit(None).cast("string")
+    line = table(spark, d, "lineitem").selectExpr("l_suppkey % 7 AS report", "l_orderkey * 10 + l_linenumber AS ord", "CASE l_linenumber % 3 WHEN 0 THEN 'files' WHEN 1 THEN 'branches' ELSE 'inventory' END AS part", "concat('f', l_partkey % 200) AS file", "cast(l_orderkey * 10 + l_linenumber AS string) AS value")
+    notes = table(spark, d, "orders").where("o_orderkey % 20 < 3").selectExpr("o_custkey % 5 AS report", "o_orderkey AS ord", "CASE o_orderkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'failed' ELSE 'integration_missing' END AS list", "concat('o', o_orderkey) AS value")
+    tests = table(spark, d, "supplier").selectExpr("s_suppkey % 5 AS report", "concat('t', s_suppkey) AS test")
+    part = table(spark, d, "part")
+    all_ = reports.Reports(
+        line, notes, table(spark, d, "customer").selectExpr("c_custkey % 3 AS report", "c_mktsegment AS language"), tests, tests.where("report >= 2").select("report").distinct(),
+        part.selectExpr("p_partkey % 4 AS report", "concat('f', p_partkey % 150) AS file"), part.selectExpr("p_partkey AS report", "concat('f', p_partkey % 90) AS file", "p_brand AS why"),
+    )
+    one = reports.merge(all_)
+    rows = one.segments.select(F.col("part").alias("kind"), F.col("file").alias("name"), F.col("ord").cast("bigint").alias("place"), "value")
+    rows = rows.union(one.notes.select("list", F.lit("list"), F.col("ord").cast("bigint"), "value"))
+    for kind, df, name, value in (("languages", one.languages, "language", none), ("tests", one.tests, "test", none), ("proven", one.proven, "file", none), ("unloaded", one.unloaded, "file", F.col("why"))):
+        rows = rows.union(df.select(F.lit(kind), name, F.lit(None).cast("bigint"), value))
+    return rows

@@ -74,3 +74,22 @@ def test_listed_tests_by_hand(spark):
     assert rows(changes) == sorted([(1, "t1", "f1"), (1, "t2", None)], key=repr)
     got = listed.listed_change(mutants, changes, spark.createDataFrame([(3, "conftest.py")], "snapshot int, file string"))
     assert rows(got) == sorted([(1, 1, ["f1"], ["t2"], True), (1, 2, ["f1"], [], True), (1, 4, [], [], False), (2, 1, [], [], False), (3, 1, ["conftest.py"], [], True)], key=repr)
+
+
+def test_merged_reports(spark):
+    """The same reports in another order differ in tests, in unloaded files and in the order of lists, and in nothing else."""
+    from loupe.operators import reports
+
+    def merged(numbers):
+        make = lambda rows, schema: spark.createDataFrame([(numbers[r[0]], *r[1:]) for r in rows], schema)
+        one = reports.merge(reports.Reports(
+            make([("a", 0, "files", "x", "a0"), ("a", 1, "files", "x", "a1"), ("b", 0, "files", "x", "b0"), ("b", 0, "branches", "x", "bb")], "report int, ord int, part string, file string, value string"),
+            make([("b", 0, "missing", "m1"), ("a", 0, "missing", "m2")], "report int, ord int, list string, value string"), make([("a", "go"), ("b", "go"), ("b", "dart")], "report int, language string"),
+            make([("a", "t1"), ("b", "t2")], "report int, test string"), make([("a",), ("b",)], "report int"), make([("a", "x"), ("b", "x")], "report int, file string"), make([("a", "u", "w1"), ("b", "u", "w2")], "report int, file string, why string"),
+        ))
+        return {n: rows(getattr(one, n).drop("report")) for n in ("segments", "notes", "languages", "tests", "proven", "unloaded")} | {"x": [r["value"] for r in one.segments.where("part = 'files'").orderBy("ord").collect()]}
+
+    there, back = merged({"a": 1, "b": 2}), merged({"a": 2, "b": 1})
+    assert there["x"] == ["a0", "a1", "b0"] and back["x"] == ["b0", "a0", "a1"]
+    assert (there["tests"], back["tests"]) == ([("t1",)], [("t2",)]) and (there["unloaded"], back["unloaded"]) == ([("u", "w2")], [("u", "w1")])
+    assert all(there[n] == back[n] for n in ("languages", "proven")) and there["languages"] == [("dart",), ("go",)] and there["proven"] == [("x",)]
