@@ -78,10 +78,7 @@ def scrap(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _ids(details.select("file", "pre", "post", "lines", "decisions", "is_table"))
     prints = syntax.fingerprints(rows, parsed)
     sets = cut(rows.join(prints, ["file", "pre"]).select("id", F.col("file").alias("part"), F.col("prints").alias("tokens"), "file", "lines", "decisions", "is_table", F.col("n_nodes").alias("nodes")))
-    pairs = cut(similarity.similar_pairs(sets, testshape.RELATED))
-    found = similarity.cluster(pairs, sets)
-    members = graph.components(pairs.select("a", "b")).join(sets.withColumnRenamed("id", "node"), "node")
-    clusters = testshape.classify(members.select("file", "root").distinct().join(found.drop("size"), "root"), members)
+    clusters = testshape.clusters(sets)
     return details.drop("pre", "post"), testshape.file_reports(details, clusters)
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loupe.operators import graph
 from loupe.operators.tables import cut
 
+#: Sets and tokens of a block in which a group's pairs are summed, and the tokens counted at a time.
+BLOCK_SETS, BLOCK_TOKENS, BLOCK_COLUMNS = 1024, 1 << 19, 2048
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays without repeats; 1 for two empty ones."""
@@ -56,13 +62,56 @@ def groups(pairs: DataFrame) -> DataFrame:
     return sizes.join(spread, "root")
 
 
-def cluster(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Groups by pairs with the mean similarity over all pairs of members, also of those below the threshold."""
-    roots = graph.components(pairs.select("a", "b"))
-    members = roots.join(sets.select(F.col("id").alias("node"), F.array_distinct("tokens").alias("tokens")), "node")
-    left, right = (members.select("root", F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
-    means = left.join(right, "root").where("a < b").groupBy("root").agg(F.avg(jaccard(F.col("ta"), F.col("tb"))).alias("similarity"))
-    return roots.groupBy("root").agg(F.count("*").alias("size")).join(means, "root")
+def cluster(pairs: DataFrame, sets: DataFrame, rows: int = BLOCK_SETS, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(root, size, similarity): groups by pairs with the mean similarity over all pairs of members, also of those below the threshold.
+
+    Equal sets of a group stand for one with a weight.  What is left is dealt to blocks of about `rows` sets or `tokens` tokens, and
+    each two blocks of a group are a key of their own that gives one sum, so no key grows with the group and no pair becomes a row.
+    Sums are added as decimals, so their order doesn't matter.
+    """
+    roots = cut(graph.components(pairs.select("a", "b")))
+    members = roots.join(sets.select(F.col("id").alias("node"), F.array_sort(F.array_distinct("tokens")).alias("tokens")), "node")
+    distinct = cut(members.groupBy("root", "tokens").agg(F.count("*").alias("weight"), F.min("node").alias("node")))
+    sizes = distinct.groupBy("root").agg(F.sum("weight").alias("size"), F.count("*").alias("n_sets"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.expr("weight * (weight - 1) div 2")).alias("alike"))
+    blocks = F.greatest(F.ceil(F.col("n_sets") / rows), F.ceil(F.col("n_tokens") / tokens), F.lit(1)).cast("int")
+    placed = distinct.join(sizes.where("n_sets > 1").select("root", blocks.alias("blocks")), "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = placed.withColumn("other", other).select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "weight", "tokens")
+    sums = cells.groupBy("root", "x", "y").applyInPandas(_cell, StructType([cells.schema["root"], StructField("total", DoubleType())]))
+    unlike = sums.groupBy("root").agg(F.sum(F.col("total").cast("decimal(38,12)")).alias("unlike"))
+    total = F.col("alike") + F.coalesce(F.col("unlike").cast("double"), F.lit(0.0))
+    return sizes.join(unlike, "root", "left").select("root", "size", (total / F.expr("size * (size - 1) div 2")).alias("similarity"))
+
+
+def _cell(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum of weighted similarities of the sets of one block with those of another, or among themselves.
+
+    Shared tokens are counted by products of 0/1 matrices, `BLOCK_COLUMNS` tokens at a time.
+    """
+    left, right = rows[rows["own"] == rows["x"]], rows[rows["own"] == rows["y"]]
+    same = rows["x"].iloc[0] == rows["y"].iloc[0]
+    total = 0.0
+    if len(left) and len(right):
+        sides = (left,) if same else (left, right)
+        at = [np.repeat(np.arange(len(s)), s["tokens"].map(len)) for s in sides]
+        codes, found = pd.factorize(np.concatenate([t for s in sides for t in s["tokens"]]))
+        of = np.split(codes, [len(at[0])])[: len(sides)]
+        n = [s["tokens"].map(len).to_numpy(np.float64) for s in sides]
+        shared = np.zeros((len(left), len(right)))
+        for low in range(0, len(found), BLOCK_COLUMNS):
+            bits = []
+            for s, a, c in zip(sides, at, of):
+                here = (c >= low) & (c < low + BLOCK_COLUMNS)
+                m = np.zeros((len(s), min(BLOCK_COLUMNS, len(found) - low)), np.float32)
+                m[a[here], c[here] - low] = 1
+                bits.append(m)
+            shared += bits[0] @ bits[-1].T
+        weights = [s["weight"].to_numpy(np.float64) for s in sides]
+        like = shared / np.maximum(n[0][:, None] + n[-1][None, :] - shared, 1)
+        whole = weights[0] @ like @ weights[-1]
+        # among themselves every two sets were met twice, and each with itself
+        total = (whole - weights[0] @ (weights[0] * np.diag(like))) / 2 if same else whole
+    return pd.DataFrame({"root": rows["root"].iloc[:1], "total": [total]})
 
 
 def large_enough(units: DataFrame, lines: int = 4, nodes: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions import scores
+from loupe.operators import graph, similarity
+from loupe.operators.tables import cut
 
 #: Similarity of related and of table-like examples, lines of a table case, nodes of shared scaffolding.
 RELATED, ALIKE, CASE_LINES, SCAFFOLD_NODES, MOST_ADVICE = 0.7, 0.85, 12, 40, 10
@@ -28,6 +30,14 @@ def classify(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return clusters.join(sums, ["file", "root"]).withColumn("kind", kind).where("kind IS NOT NULL").drop("plain", "nodes")
 
 
+def clusters(sets: DataFrame) -> DataFrame:
+    """Clusters (file, root, similarity, size, kind) of examples (id, part, tokens, file, lines, decisions, is_table, nodes): connected by pairs that are similar enough, kept if they are a table or repeat scaffolding."""
+    pairs = cut(similarity.similar_pairs(sets, RELATED))
+    found = similarity.cluster(pairs, sets)
+    members = cut(graph.components(pairs.select("a", "b"))).join(sets.withColumnRenamed("id", "node"), "node")
+    return classify(members.select("file", "root").distinct().join(found.drop("size"), "root"), members)
+
+
 def file_reports(details: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row a file from scored examples (file, group, score, mocks, assertions) and clusters (file, kind, similarity, size)."""
     hot = (F.col("score") >= scores.HOT_SCORE) | (F.col("assertions") == 0)

@@ -272,12 +272,28 @@ def q_scrap_recommend(spark, d):
 
 @query("""WITH s AS (SELECT conv_id * 1000 + turn AS id, conv_id AS part, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS tokens FROM conversations WHERE text IS NOT NULL), t AS (SELECT id, part, len(tokens) AS n, unnest(tokens) AS w FROM s)
   SELECT x.id AS a, y.id AS b, x.part AS part, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM t x JOIN t y ON x.part = y.part AND x.w = y.w AND x.id < y.id GROUP BY ALL HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.05""")
-def q_scrap_clusters(spark, d):
+def q_scrap_pairs(spark, d):
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
     sets = table(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("part"), words.alias("tokens"))
     return similarity.similar_pairs(sets, 0.05).select("a", "b", "part", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {EXAMPLES}, s AS (SELECT ord + 1000 * CAST(file[2:] AS BIGINT) AS id, file, lines, decisions, list_distinct(list_filter(string_split(lower(text), ''), lambda c: c <> ' ' AND c <> chr(10))) AS tokens, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS nodes
+      FROM ex JOIN conversations ON file = 'c' || conv_id AND ord = turn WHERE text IS NOT NULL),
+  t AS (SELECT id, file, len(tokens) AS n, unnest(tokens) AS w FROM s), j AS (SELECT x.file AS file, x.id AS a, y.id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS score FROM t x JOIN t y ON x.file = y.file AND x.w = y.w AND x.id < y.id GROUP BY ALL),
+  e AS (SELECT a, b FROM j WHERE score >= 0.7 UNION ALL SELECT b, a FROM j WHERE score >= 0.7), r AS (SELECT a AS id, a AS to_id FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.to_id = e.a), g AS (SELECT id, min(to_id) AS root FROM r GROUP BY id),
+  m AS (SELECT root, count(*) AS size, any_value(file) AS file, bool_and(lines <= 12 AND decisions = 0) AS plain, sum(nodes) // count(*) AS nodes FROM g JOIN s USING (id) GROUP BY root),
+  sim AS (SELECT x.root AS root, sum(score) AS total FROM j JOIN g x ON j.a = x.id JOIN g y ON j.b = y.id AND x.root = y.root GROUP BY x.root)
+  SELECT file, root, size, round(total / (size * (size - 1) / 2), 6) AS similarity, CASE WHEN plain AND size >= 3 AND total / (size * (size - 1) / 2) >= 0.85 THEN 'table' WHEN nodes >= 40 THEN 'duplication' END AS kind FROM m JOIN sim USING (root)
+  WHERE nodes >= 40 OR plain AND size >= 3 AND total / (size * (size - 1) / 2) >= 0.85""")
+def q_scrap_clusters(spark, d):
+    """Turns as examples, the letters of a text as its syntax: whole clusters of a conversation, with mean similarity and kind."""
+    letters = F.array_distinct(F.filter(F.split(F.lower("text"), ""), lambda c: ~c.isin("", " ", "\n")))
+    texts = table(spark, d, "conversations").where("text IS NOT NULL").select(F.concat(F.lit("c"), F.col("conv_id")).alias("file"), F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), letters.alias("tokens"), F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("nodes"))
+    sets = texts.join(_examples(spark, d).select("file", "ord", "lines", "decisions"), ["file", "ord"]).withColumn("is_table", F.lit(False)).withColumn("part", F.col("file"))
+    return testshape.clusters(sets).select("file", "root", "size", F.round("similarity", 6).alias("similarity"), "kind")
+
+
 @query("""WITH p AS (SELECT source, round(sum(n_chars) / 1000.0::DOUBLE, 1) AS pressure FROM documents WHERE doc_id % 2 = 0 GROUP BY source), c AS (SELECT source, round(sum(n_chars) / 1000.0::DOUBLE, 1) AS pressure FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
   SELECT source AS file, round(CAST(c.pressure - p.pressure AS DOUBLE), 1) AS delta, CASE WHEN p.pressure IS NULL THEN NULL WHEN round(CAST(c.pressure - p.pressure AS DOUBLE), 1) <= -0.5 THEN 'improved' WHEN round(CAST(c.pressure - p.pressure AS DOUBLE), 1) >= 0.5 THEN 'worse' ELSE 'unchanged' END AS verdict FROM c LEFT JOIN p USING (source)""")
 def q_compare_runs(spark, d):

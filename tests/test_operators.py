@@ -78,6 +78,26 @@ def test_groups_and_focus(spark):
     assert got["size"] == 3 and got["similarity"] == pytest.approx((1 + 1 / 3 + 1 / 3) / 3)
 
 
+def test_cluster_means_by_blocks(spark):
+    r = random.Random(8)
+    sets = [(i, sorted({r.randint(0, 30) for _ in range(r.randint(1, 12))})) for i in range(90)]
+    sets += [(100 + i, sets[i % 3][1]) for i in range(40)]
+    df = spark.createDataFrame(sets, "id int, tokens array<int>")
+    chain = [(a[0], b[0]) for a, b in zip(sets, sets[1:], strict=False) if a[0] != 50]
+    pairs = spark.createDataFrame(chain, "a int, b int")
+    want = []
+    for part in (sets[:51], sets[51:]):
+        likes = [len({*x[1]} & {*y[1]}) / len({*x[1]} | {*y[1]}) for i, x in enumerate(part) for y in part[:i]]
+        want.append((part[0][0], len(part), sum(likes) / len(likes)))
+    for limits in ((1024, 1 << 19), (7, 1 << 19), (1024, 60)):
+        got = sorted(tuple(x) for x in similarity.cluster(pairs, df, *limits).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-9)
+    alike = spark.createDataFrame([(i, ["x", "y"]) for i in range(5)], "id int, tokens array<string>")
+    one = similarity.cluster(spark.createDataFrame([(0, i) for i in range(1, 5)], "a int, b int"), alike).collect()
+    assert [tuple(x) for x in one] == [(0, 5, 1.0)]
+
+
 def test_components_reach_and_cycles(spark):
     r = random.Random(1)
     edges = sorted({(r.randint(0, 40), r.randint(0, 40)) for _ in range(45)})
