@@ -6,11 +6,13 @@ findings, and `exit_code` says whether there are any.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions import paths
-from loupe.operators import coverage, crap as crap_, endpoints, examples, graph, similarity, syntax, testshape
+from loupe.operators import coverage, crap as crap_, endpoints, examples, graph, imports, similarity, syntax, testshape
 from loupe.operators.tables import cut
 from loupe.sources import python_code
 
@@ -46,7 +48,11 @@ def crap(files: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     segments (of a report reader, with file as in files) are merged and met by lines from a function's body on.  A function without any
     measured line has no coverage if nothing is measured at all, else 0 where its file is in no report.
     """
-    rows = _units(_parsed(files, tests=False)).withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("pre")))
+    return _crap(_parsed(files, tests=False), segments)
+
+
+def _crap(nodes: DataFrame, segments: DataFrame | None) -> DataFrame:
+    rows = _units(nodes).withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("pre")))
     if segments is None:
         rows = rows.withColumn("coverage", F.lit(None).cast("double"))
     else:
@@ -94,6 +100,49 @@ def modules(files: DataFrame) -> DataFrame:
     return rows.groupBy(paths.module_of(F.col("file")).alias("module"), "file").agg(F.count("*").alias("functions"), F.max("complexity").alias("worst"))
 
 
+class Graph(NamedTuple):
+    """nodes: id, kind, label, parent, files, serves, calls, external and metrics of what is below.  units: node, file, line, name, complexity, crap.  edges: src, dst, kind, count, via.  totals: one row."""
+
+    nodes: DataFrame
+    units: DataFrame
+    edges: DataFrame
+    totals: DataFrame
+
+
+def module_graph(files: DataFrame, repository: str, segments: DataFrame | None = None) -> Graph:
+    """The graph of a repository from its sources alone (paths from its root): modules in their folders, their functions, imports and requests, with metrics rolled up.
+
+    Coverage comes from segments as in `crap`; without it no function has a CRAP score.  Mutation results aren't read here: their counts are NULL.
+    """
+    nodes = _parsed(files, tests=False)
+    sources = cut(files.where(~python_code.is_test(F.col("path"))).select(F.col("path").alias("file"), paths.module_of(F.col("path")).alias("module")).distinct())
+    found = cut(endpoints.endpoints(nodes))
+    named = sources.select("file", "module", F.translate("module", "/", ".").alias("namespace"), F.col("file").rlike(r"(^|/)__init__\.[^./]+$").alias("is_package"), F.lit(False).alias("is_test"))
+    wanted = syntax.imports(nodes).select("file", F.col("module").alias("target"), "name")
+    resolved = cut(imports.resolve_python(wanted, named).join(sources.withColumnRenamed("module", "src"), "file"))
+    route = F.trim(F.concat_ws(" ", "method", "path"))
+    facts = sources.select("module", F.lit("files").alias("field"), F.col("file").alias("value"))
+    facts = facts.union(found.select(paths.module_of(F.col("file")), "side", route)).union(resolved.where("external IS NOT NULL").select("src", F.lit("external"), "external"))
+    inside = lambda c: F.concat(F.lit(repository + "/"), F.when(F.col(c) == "", "(root)").otherwise(F.col(c)))
+    imported = resolved.where("module IS NOT NULL AND module <> src").groupBy(inside("src").alias("src"), inside("module").alias("dst")).agg(F.count("*").alias("count"))
+    asked = graph.http_edges(*endpoints.route_sides(found)).select(inside("src").alias("src"), inside("dst").alias("dst"), F.lit("http").alias("kind"), "count", F.split("via", ", ").alias("via"))
+    edges = cut(imported.select("src", "dst", F.lit("import").alias("kind"), "count", F.array().cast("array<string>").alias("via")).unionByName(asked))
+    scored = _crap(nodes, segments).join(sources, "file")
+    units_ = cut(scored.select(inside("module").alias("node"), "file", F.col("start_line").alias("line"), "namespace", "name", "complexity", "coverage", "crap", "band"))
+    unknown = [F.lit(None).cast("bigint").alias(c) for c in ("killed", "survived", "uncovered", "stale", "duplicates")]
+    metrics = graph.roll_up(units_.select(F.col("node").alias("path"), "crap", *unknown)).withColumnRenamed("node", "id").drop("module")
+    all_ = cut(graph.module_nodes(facts, repository))
+    ordered = graph.in_order(all_.join(metrics, "id", "left").withColumn("functions", F.coalesce("functions", F.lit(0).cast("bigint"))), units_, edges)
+    return Graph(*ordered, graph.totals(all_, units_, edges))
+
+
+def graph_view(made: Graph, container: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(boxes, arrows, sides) of one level of a graph; the container "" holds repositories."""
+    boxes = cut(graph.level(made.nodes, made.units, container))
+    arrows, sides = graph.view(made.edges, cut(graph.boxed(made.nodes, boxes)))
+    return boxes, graph.mark_cycles(cut(arrows)), sides
+
+
 def exit_code(findings: DataFrame) -> int:
     """1 if there is a finding, else 0."""
     return int(bool(findings.limit(1).count()))

@@ -9,6 +9,9 @@ from loupe.functions import scores
 from loupe.functions.paths import ancestors
 from loupe.operators.tables import cut
 
+#: What a module lists.
+FIELDS = ("files", "serves", "calls", "external")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (two columns of one type); root is the component's smallest node.
@@ -166,6 +169,73 @@ def attach(nodes: DataFrame, repository: str) -> DataFrame:
     return known.unionByName(missing)
 
 
+def module_nodes(facts: DataFrame, repository: str) -> DataFrame:
+    """Nodes of a repository from facts (module, field, value): id, kind, label, parent, and a sorted array without repeats for each of files, serves, calls and external.
+
+    Modules come with the repository itself and the folders between; those have empty arrays.  Facts are gathered as sets before
+    they are shuffled, so a module that many files name is as cheap as another.
+    """
+    inside = facts.withColumn("id", F.concat(F.lit(repository + "/"), F.when(F.col("module") == "", "(root)").otherwise(F.col("module"))))
+    lists = inside.groupBy("id").agg(*(F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in FIELDS))
+    lists = cut(lists)
+    top = lists.sparkSession.range(1).select(F.lit(repository).alias("id"), F.lit("repo").alias("kind"), F.lit(repository).alias("label"))
+    known = lists.select("id", F.lit("module").alias("kind"), F.substring_index("id", "/", -1).alias("label")).unionByName(top)
+    none = F.array().cast("array<string>")
+    return attach(known, repository).join(lists, "id", "left").withColumns({f: F.coalesce(f, none) for f in FIELDS})
+
+
+def level(nodes: DataFrame, units: DataFrame, container: str = "") -> DataFrame:
+    """Boxes (box, target, label, kind, self) that are seen inside a container: what stands right below it, and the container itself if it is a module with units.
+
+    nodes: id, kind, label, parent (NULL for a repository, which stands in the container "").  units: node.  A folder with one thing in it is
+    shown as that thing, with the labels on the way.
+    """
+    nodes = nodes.select("id", "kind", "label", F.coalesce("parent", F.lit("")).alias("parent"))
+    own = nodes.where((F.col("id") == container) & (F.col("kind") == "module")).join(units.where(F.col("node") == container).select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    only = nodes.groupBy("parent").agg(F.count("*").alias("n"), F.min(F.struct("id", "kind", "label")).alias("child")).where("n = 1").select(F.col("parent").alias("target"), "child")
+    shown = cut(nodes.where(F.col("parent") == container).select(F.col("id").alias("target"), "kind", "label"))
+    while True:
+        deeper = shown.where("kind = 'dir'").join(only, "target")
+        moved = cut(deeper.select("target", F.col("child.id").alias("to"), F.col("child.kind").alias("kind"), F.concat_ws("/", "label", "child.label").alias("label")))
+        if moved.limit(1).count() == 0:
+            break
+        shown = cut(shown.join(moved.select("target"), "target", "left_anti").unionByName(moved.select(F.col("to").alias("target"), "kind", "label")))
+    boxes = shown.select(F.col("target").alias("box"), "target", "label", "kind", F.lit(False).alias("self"))
+    return boxes.unionByName(own.select(F.concat("id", F.lit("#self")).alias("box"), F.col("id").alias("target"), "label", "kind", F.lit(True).alias("self")))
+
+
+def boxed(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(node, box): the box of a level that each node (id) stands in; nodes outside the level have no row."""
+    above = nodes.select(F.col("id").alias("node"), F.explode(ancestors(F.col("id"))).alias("target"))
+    below = above.join(boxes.where("NOT self").select("target", "box"), "target").select("node", "box")
+    return below.unionByName(boxes.where("self").select(F.col("target").alias("node"), "box"))
+
+
+def view(edges: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arrows (from_box, to_box, kind, count, pairs, via) between boxes, and (box, incoming, outgoing), the counts of edges from and to what is in no box.
+
+    edges: src, dst, kind, count, via (an array or NULL).  places: node, box.  Arrows of one kind between two boxes are one, with counts added
+    and all that they go via, sorted; edges inside a box are none.
+    """
+    ends = [places.select(F.col("node").alias(n), F.col("box").alias(b)) for n, b in (("src", "from_box"), ("dst", "to_box"))]
+    met = edges.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    across = met.where("from_box <> to_box")
+    arrows = across.groupBy("from_box", "to_box", "kind").agg(F.sum("count").alias("count"), F.count("*").alias("pairs"))
+    vias = across.select("from_box", "to_box", "kind", F.explode("via").alias("via")).groupBy("from_box", "to_box", "kind").agg(F.array_sort(F.collect_set("via")).alias("via"))
+    arrows = arrows.join(vias, ["from_box", "to_box", "kind"], "left").withColumn("via", F.coalesce("via", F.array().cast("array<string>")))
+    one = met.where("(from_box IS NULL) <> (to_box IS NULL)").groupBy(F.coalesce("from_box", "to_box").alias("box"))
+    sides = one.agg(*(F.sum(F.when(F.col(c).isNotNull(), F.col("count")).otherwise(0)).alias(n) for c, n in (("to_box", "incoming"), ("from_box", "outgoing"))))
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("incoming", "outgoing")}
+    return arrows, places.select("box").distinct().join(sides, "box", "left").withColumns(zero)
+
+
+def mark_cycles(arrows: DataFrame) -> DataFrame:
+    """arrows with `cycle`: whether an import between two boxes lies in a cycle of imports; requests by HTTP make none."""
+    found = cycles(arrows.where("kind = 'import'").select(F.col("from_box").alias("src"), F.col("to_box").alias("dst")))
+    ends = [found.select(F.col("node").alias(b), F.col("cycle").alias(c)) for b, c in (("from_box", "c1"), ("to_box", "c2"))]
+    return arrows.join(ends[0], "from_box", "left").join(ends[1], "to_box", "left").withColumn("cycle", (F.col("kind") == "import") & F.coalesce(F.col("c1") == F.col("c2"), F.lit(False))).drop("c1", "c2")
+
+
 def children(nodes: DataFrame, system: str = "") -> DataFrame:
     """nodes (id, kind, label, parent) below their parents, by label; repositories and nodes without a parent stand below `system`."""
     return nodes.withColumn("parent", F.when(F.col("kind") == "repo", F.lit(system)).otherwise(F.coalesce("parent", F.lit(system)))).orderBy("parent", "label", "id")

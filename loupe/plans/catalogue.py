@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.functions import paths, scores
 from loupe.operators import coverage, crap, graph, history, selection, similarity, testshape
+from loupe.operators.tables import cut
 from loupe.sources import reports
 from loupe.streaming import live
 
@@ -596,6 +597,48 @@ def q_graph_totals(spark, d):
     return graph.totals(graph.attach(_modules(spark, d), "shop"), table(spark, d, "part"), table(spark, d, "lineitem"))
 
 
+MODULE_OF = "'shop/' || p_type || '/' || p_brand || CASE WHEN p_partkey % 5 > 0 THEN '/' || p_partkey ELSE '' END"
+
+
+def _module_of() -> Column:
+    return F.concat(F.concat_ws("/", "p_type", "p_brand"), F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("/"), F.col("p_partkey"))).otherwise(""))
+
+
+@query(f"""WITH {MODULES}, f AS (SELECT {MODULE_OF} AS id, 'files' AS field, 'f' || (p_partkey % 7) AS value FROM part UNION ALL
+      SELECT {MODULE_OF}, CASE l_linenumber % 3 WHEN 0 THEN 'serves' WHEN 1 THEN 'calls' ELSE 'external' END, 's' || (l_suppkey % 9) FROM lineitem JOIN part ON l_partkey = p_partkey),
+  g AS (SELECT id, {", ".join(f"coalesce(string_agg(DISTINCT value, ',' ORDER BY value) FILTER (field = '{x}'), '') AS {x}" for x in graph.FIELDS)} FROM f GROUP BY id)
+  SELECT id, kind, CASE WHEN kind <> 'repo' THEN regexp_replace(id, '/[^/]*$', '') END AS parent, {", ".join(f"coalesce({x}, '') AS {x}" for x in graph.FIELDS)} FROM nodes LEFT JOIN g USING (id)""")
+def q_module_nodes(spark, d):
+    part = table(spark, d, "part").select("p_partkey", _module_of().alias("module"))
+    field = F.when(F.col("l_linenumber") % 3 == 0, "serves").when(F.col("l_linenumber") % 3 == 1, "calls").otherwise("external")
+    lines = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("module", field.alias("field"), F.concat(F.lit("s"), F.col("l_suppkey") % 9).alias("value"))
+    facts = part.select("module", F.lit("files").alias("field"), F.concat(F.lit("f"), F.col("p_partkey") % 7).alias("value")).union(lines)
+    return graph.module_nodes(facts, "shop").select("id", "kind", "parent", *(F.array_join(x, ",").alias(x) for x in graph.FIELDS))
+
+
+@query(f"""WITH RECURSIVE {MODULES}, kids AS (SELECT regexp_replace(id, '/[^/]*$', '') AS up, count(*) AS n, min(id) AS child FROM nodes GROUP BY ALL),
+  boxes AS (SELECT CASE WHEN kind = 'dir' AND n = 1 THEN child ELSE id END AS box FROM nodes LEFT JOIN kids ON up = id WHERE regexp_replace(id, '/[^/]*$', '') = 'shop/PROMO'),
+  place AS (SELECT id, box FROM nodes JOIN boxes ON id = box OR starts_with(id, box || '/')), mod AS (SELECT p_partkey, {MODULE_OF} AS id FROM part),
+  e AS (SELECT a.box AS from_box, b.box AS to_box, CASE WHEN x.l_suppkey % 5 = 0 THEN 'http' ELSE 'import' END AS kind, x.l_linenumber AS n, CASE WHEN x.l_suppkey % 5 = 0 THEN x.l_returnflag END AS via
+    FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN mod s ON s.p_partkey = x.l_partkey JOIN mod t ON t.p_partkey = y.l_partkey LEFT JOIN place a ON a.id = s.id LEFT JOIN place b ON b.id = t.id),
+  arrows AS (SELECT from_box, to_box, kind, CAST(sum(n) AS BIGINT) AS count, count(*) AS pairs, coalesce(string_agg(DISTINCT via, ',' ORDER BY via), '') AS via FROM e WHERE from_box <> to_box GROUP BY ALL),
+  r AS (SELECT from_box AS a, to_box AS b FROM arrows WHERE kind = 'import' UNION SELECT r.a, to_box FROM r JOIN arrows ON kind = 'import' AND from_box = r.b),
+  sides AS (SELECT box, (SELECT sum(n) FROM e WHERE to_box = box AND from_box IS NULL) AS incoming, (SELECT sum(n) FROM e WHERE from_box = box AND to_box IS NULL) AS outgoing FROM boxes)
+  SELECT *, kind = 'import' AND EXISTS (SELECT 1 FROM r WHERE r.a = to_box AND r.b = from_box) AS cycle FROM arrows UNION ALL SELECT box, NULL, 'outside', CAST(coalesce(incoming, 0) AS BIGINT), CAST(coalesce(outgoing, 0) AS BIGINT), '', false FROM sides""")
+def q_view_level(spark, d):
+    """One level of the tree of modules, lines after each other in an order as edges: arrows, and for each box what comes from and goes outside."""
+    nodes = graph.attach(_modules(spark, d), "shop")
+    part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("shop/"), _module_of()).alias("id"))
+    lines = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("id").alias("dst"))
+    web = F.col("l_suppkey") % 5 == 0
+    edges = lines.join(following, ["l_orderkey", "l_linenumber"]).select(F.col("id").alias("src"), "dst", F.when(web, "http").otherwise("import").alias("kind"), F.col("l_linenumber").cast("bigint").alias("count"), F.when(web, F.array("l_returnflag")).alias("via"))
+    boxes = cut(graph.level(nodes, nodes.select(F.col("id").alias("node")), "shop/PROMO"))
+    arrows, sides = graph.view(edges, cut(graph.boxed(nodes, boxes)))
+    rows = graph.mark_cycles(cut(arrows)).select("from_box", "to_box", "kind", "count", "pairs", F.array_join("via", ",").alias("via"), "cycle")
+    return rows.union(sides.select("box", F.lit(None).cast("string"), F.lit("outside"), "incoming", "outgoing", F.lit(""), F.lit(False)))
+
+
 @query("""WITH r AS (SELECT 'src/' || o_custkey AS path, CAST(o_orderkey AS VARCHAR) AS identity, sha256('fresh-plan-v2' || chr(0) || '7' || chr(0) || 'src/' || o_custkey || chr(0) || o_orderkey) AS rank FROM orders)
   SELECT path, identity, rank, row_number() OVER (ORDER BY rank, identity) <= 50 AS selected FROM r""")
 def q_fresh_plan(spark, d):

@@ -1,5 +1,7 @@
 """Routes, examples and whole questions over small Python files."""
 
+from pyspark.sql import functions as F
+
 from loupe import commands
 from loupe.operators import crap as crap_
 from loupe.operators import endpoints, examples, syntax
@@ -180,3 +182,30 @@ def test_statement_lines(spark):
     assert {r["text"]: (r["start_line"], r["statement_line"]) for r in got.where("kind IN ('literal', 'identifier')").collect()} == {
         "x": (1, 1), "1": (2, 1), "f": (3, 1), "2": (4, 1), "a": (6, 6), "b": (7, 6), "return_": (8, 8), "3": (9, 8),
     }
+
+
+def test_module_graph(spark):
+    sources = files(
+        spark,
+        shop__init="", app__api__init="", app__api__users='import os\nfrom ..core.model import User\nfrom app import core\n\n@app.get("/users/{id}")\ndef one(id):\n    return id and 1\n',
+        app__core__model="import app.api.users\nimport json\n\nclass User:\n    def name(self):\n        return 1\n",
+        client__deep__only="import requests\n\ndef ask():\n    requests.get(\"http://h/users/7\")\n", tests__test_x="import os\n",
+    ).withColumn("path", F.regexp_replace("path", "init.py$", "__init__.py"))
+    made = commands.module_graph(sources, "repo")
+    nodes = {r["id"]: r for r in made.nodes.collect()}
+    assert {k: (r["kind"], r["parent"]) for k, r in nodes.items()} == {
+        "repo": ("repo", None), "repo/shop": ("module", "repo"), "repo/app": ("dir", "repo"), "repo/app/api": ("module", "repo/app"), "repo/app/api/users": ("module", "repo/app/api"), "repo/app/core": ("dir", "repo/app"),
+        "repo/app/core/model": ("module", "repo/app/core"), "repo/client": ("dir", "repo"), "repo/client/deep": ("dir", "repo/client"), "repo/client/deep/only": ("module", "repo/client/deep"),
+    }
+    users = nodes["repo/app/api/users"]
+    assert (users["files"], users["serves"], users["calls"]) == (["app/api/users.py"], ["GET /users/*"], []) and "os" in users["external"]
+    assert nodes["repo/client/deep/only"]["calls"] == ["GET /users/7"] and nodes["repo"]["functions"] == 3 and nodes["repo/shop"]["functions"] == 0 and nodes["repo/app"]["files"] == []
+    edges = sorted((r["src"], r["dst"], r["kind"], r["count"], r["via"]) for r in made.edges.collect())
+    assert edges == [("repo/app/api/users", "repo/app/core/model", "import", 1, []), ("repo/app/core/model", "repo/app/api/users", "import", 1, []), ("repo/client/deep/only", "repo/app/api/users", "http", 1, ["GET /users/*"])]
+    assert tuple(made.totals.select("repositories", "modules", "functions", "edges").first()) == (1, 5, 3, 3)
+    boxes, arrows, sides = commands.graph_view(made, "repo")
+    assert sorted(tuple(r) for r in boxes.collect()) == [("repo/app", "repo/app", "app", "dir", False), ("repo/client/deep/only", "repo/client/deep/only", "client/deep/only", "module", False), ("repo/shop", "repo/shop", "shop", "module", False)]
+    assert [tuple(r) for r in arrows.select("from_box", "to_box", "kind", "count", "pairs", "via", "cycle").collect()] == [("repo/client/deep/only", "repo/app", "http", 1, 1, ["GET /users/*"], False)]
+    _, arrows, sides = commands.graph_view(made, "repo/app")
+    assert sorted((r["from_box"], r["to_box"], r["cycle"]) for r in arrows.collect()) == [("repo/app/api", "repo/app/core/model", True), ("repo/app/core/model", "repo/app/api", True)]
+    assert sorted((r["box"], r["incoming"], r["outgoing"]) for r in sides.collect()) == [("repo/app/api", 1, 0), ("repo/app/core/model", 0, 0)]
