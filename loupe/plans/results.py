@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, reports, sites, syntax
 from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
+from loupe.streaming import live
 
 # --- a region as a file: nations hold customers, customers hold orders --------------------------------
 
@@ -325,3 +326,19 @@ def q_report_merge(spark, d):
     for kind, df, name, value in (("languages", one.languages, "language", none), ("tests", one.tests, "test", none), ("proven", one.proven, "file", none), ("unloaded", one.unloaded, "file", F.col("why"))):
         rows = rows.union(df.select(F.lit(kind), name, F.lit(None).cast("bigint"), value))
     return rows
+
+
+# --- users as paths, their events as states ------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS path, epoch_us(ts) // 1000 AS stamp, CASE WHEN event_id % 4 > 0 THEN event_type END AS digest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  last AS (SELECT path, max(stamp) AS stamp FROM e GROUP BY path), newest AS (SELECT path, stamp, max(digest) AS digest FROM e JOIN last USING (path, stamp) GROUP BY path, stamp)
+  SELECT path, stamp, 'new' AS change FROM newest WHERE digest IS NOT NULL UNION ALL SELECT path, stamp, 'evicted' FROM newest WHERE digest IS NOT NULL AND stamp + 43200000 <= (SELECT max(stamp) FROM e) - 3600000""")
+def q_file_changes(spark, d):
+    """The events as a stream of states: the newest of each user, and those that were quiet for twelve hours at its end."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parquet*")  # a pattern: a plain path has to be a folder
+    states = events.where("user_id IS NOT NULL").select(F.concat(F.lit("u"), "user_id").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("stamp"), F.expr("CASE WHEN event_id % 4 > 0 THEN event_type END").alias("digest"), F.col("ts").cast("timestamp").alias("ts"))
+    out = folder(spark, "changes")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+    live.file_changes(states, "12 hours", "1 hour").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, stamp bigint, change string").parquet(f"{out}/rows/*")
