@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, reports, sites, syntax
+from loupe.operators import coverage_cache, evidence, exceptions, listed, platforms, reports, runs, sites, syntax
 from loupe.operators.tables import folder
 from loupe.plans.catalogue import query, table
 from loupe.streaming import live
@@ -342,3 +342,32 @@ def q_file_changes(spark, d):
     keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
     live.file_changes(states, "12 hours", "1 hour").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("path string, stamp bigint, change string").parquet(f"{out}/rows/*")
+
+
+# --- orders as sources, their lines as the tests that reach them ------------------------------------------------
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, (['go', 'typescript', 'python', 'dart', 'kotlin'])[1 + o_orderkey % 5] AS language, o_custkey % 3 AS k, o_orderkey % 7 < 2 AS whole, o_custkey % 11 = 0 AS shell, 'm' || (o_custkey % 4) AS own FROM orders),
+  a AS (SELECT DISTINCT l_orderkey AS id, 'm' || (l_suppkey % 4) AS rel, 'T' || (l_partkey % 50) AS name FROM lineitem WHERE l_suppkey % 6 <> 5),
+  f AS (SELECT id, rel, string_agg('--tests ' || name, ' ' ORDER BY name) AS classes FROM a GROUP BY id, rel),
+  g AS (SELECT id, count(*) AS n, min(rel) AS rel, min(classes) AS classes, string_agg(':' || rel || ':test --fail-fast ' || classes, ' ' ORDER BY rel) AS tasks, list(rel ORDER BY rel) AS rels FROM f GROUP BY id),
+  n AS (SELECT id, string_agg(name, ' ' ORDER BY name) AS names, string_agg('t.' || name, ' ' ORDER BY name) AS modules, '-Dtest=' || string_agg(name, ',' ORDER BY name) || ' -Dsurefire.failIfNoSpecifiedTests=false' AS surefire FROM (SELECT DISTINCT id, name FROM a) GROUP BY id)
+  SELECT id, CASE WHEN shell THEN NULL WHEN language = 'go' THEN 'go test -count=1 -failfast ' || CASE WHEN whole THEN './...' ELSE './' || own END
+    WHEN language = 'typescript' THEN CASE WHEN k = 0 THEN CASE WHEN whole THEN 'bin run --bail=1' ELSE 'bin related --run --bail=1 ' || own || '/s' || id END WHEN k = 1 THEN CASE WHEN whole THEN 'bin --bail' ELSE 'bin --bail --findRelatedTests ' || own || '/s' || id END ELSE 'npm run test --silent' END
+    WHEN language = 'python' THEN CASE WHEN k = 0 THEN CASE WHEN whole THEN 'bin -m pytest -q -x -p no:cacheprovider' ELSE 'bin -m pytest -q -x -p no:cacheprovider ' || names END ELSE CASE WHEN whole THEN 'bin -m unittest discover -f' ELSE 'bin -m unittest -f ' || modules END END
+    WHEN language = 'dart' THEN CASE WHEN k < 2 THEN CASE WHEN whole THEN 'bin test --no-pub' ELSE 'bin test --no-pub ' || names END END
+    WHEN k = 1 THEN CASE WHEN whole THEN 'mvn -q test' WHEN rels = [own] THEN 'mvn -q test ' || surefire ELSE 'mvn -q test -pl ' || array_to_string(list_concat(list_filter(rels, lambda x: x = own), list_filter(rels, lambda x: x <> own)), ',') || ' -am ' || surefire END
+    WHEN whole THEN 'bin test --fail-fast' WHEN n.id IS NULL THEN NULL WHEN g.n = 1 THEN 'bin -p ' || rel || ' test --fail-fast ' || classes ELSE 'bin ' || tasks END AS args,
+    CASE WHEN language = 'kotlin' AND k = 1 AND (whole OR g.id IS NULL OR rels = [own]) THEN 'r/' || own ELSE 'r' END AS folder, language = 'typescript' AND k = 2 AS suite FROM r LEFT JOIN g USING (id) LEFT JOIN n USING (id)""")
+def q_test_command(spark, d):
+    k, own = F.col("o_custkey") % 3, F.concat(F.lit("r/m"), F.col("o_custkey") % 4)
+    language = F.get(F.array(*map(F.lit, ("go", "typescript", "python", "dart", "kotlin"))), (F.col("o_orderkey") % 5).cast("int"))
+    tools = {"typescript": ("vitest", "jest", "npm"), "python": ("pytest", "unittest", "unittest"), "dart": ("flutter", "flutter", None), "kotlin": ("gradle", "mvn", "gradle")}
+    tool = F.coalesce(*(F.when((language == x) & (k == i), F.lit(t)) for x, names in tools.items() for i, t in enumerate(names) if t))
+    requests = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), language.alias("language"), tool.alias("tool"), F.array(F.lit("bin")).alias("bin"), F.lit("r").alias("root"), own.alias("module"),
+        F.concat(own, F.lit("/s"), F.col("o_orderkey")).alias("path"), (F.col("o_orderkey") % 7 < 2).alias("whole"), F.when(F.col("o_custkey") % 11 == 0, "make test").alias("shell"),
+    )
+    name = F.concat(F.lit("T"), F.col("l_partkey") % 50)
+    tests = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_suppkey") % 6 == 5, "x").otherwise(F.concat(F.lit("r/m"), F.col("l_suppkey") % 4)).alias("folder"), name.alias("name"), F.concat(F.lit("t."), name).alias("module"))
+    return runs.choose(requests, tests).select("id", F.array_join("args", " ").alias("args"), "folder", "suite")
