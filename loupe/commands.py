@@ -42,13 +42,15 @@ def units(files: DataFrame) -> DataFrame:
     return _units(_parsed(files)).select("file", "namespace", "name", "kind", "private", "start_line", "end_line", "complexity").orderBy("file", "start_line", "name")
 
 
-def crap(files: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def crap(files: DataFrame, segments: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """Functions of sources with complexity, coverage, crap and band, worst first.
 
     segments (of a report reader, with file as in files) are merged and met by lines from a function's body on.  A function without any
     measured line has no coverage if nothing is measured at all, else 0 where its file is in no report.
+    With only (path), the functions of those files alone are returned, with the values that they have among all.
     """
-    return _crap(_parsed(files, tests=False), segments)
+    scored = _crap(_parsed(files, tests=False), segments)
+    return scored if only is None else scored.join(only.select(F.col("path").alias("file")), "file", "left_semi").orderBy(F.col("crap").isNull(), F.col("crap").desc(), F.col("complexity").desc(), "file", "ord")
 
 
 def _crap(nodes: DataFrame, segments: DataFrame | None) -> DataFrame:
@@ -67,14 +69,29 @@ def _crap(nodes: DataFrame, segments: DataFrame | None) -> DataFrame:
     return scored.orderBy(F.col("crap").isNull(), F.col("crap").desc(), F.col("complexity").desc(), "file", "ord")
 
 
+class Duplicates(NamedTuple):
+    """candidates: as of `dry`.  groups: a row for each member of a group of candidates that hang together.  counts: file, start_line and duplicates of each function that is large enough."""
+
+    candidates: DataFrame
+    groups: DataFrame
+    counts: DataFrame
+
+
 def dry(files: DataFrame, threshold: float = SIMILAR, lines: int = 4, nodes: int = 20) -> DataFrame:
     """Candidates (score, left and right place): functions as large as that whose syntax is that similar."""
+    return duplicates(files, None, threshold, lines, nodes).candidates
+
+
+def duplicates(files: DataFrame, only: DataFrame | None = None, threshold: float = SIMILAR, lines: int = 4, nodes: int = 20) -> Duplicates:
+    """Near-duplicate functions of files as candidates, groups and counts; with only (path), those with a side in these files."""
     parsed = _parsed(files, tests=False)
     found = syntax.units(parsed)
     prints = syntax.fingerprints(found, parsed)
     rows = cut(_ids(similarity.large_enough(found.join(prints, ["file", "pre"]).withColumnRenamed("n_nodes", "nodes"), lines, nodes)))
-    pairs = similarity.similar_pairs(rows.select("id", F.lit("python").alias("part"), F.col("prints").alias("tokens")), threshold)
-    return similarity.candidates(pairs, rows)
+    ids = None if only is None else rows.join(only.select(F.col("path").alias("file")), "file", "left_semi").select("id")
+    pairs = cut(similarity.similar_pairs(rows.select("id", F.lit("python").alias("part"), F.col("prints").alias("tokens")), threshold, ids))
+    candidates = similarity.candidates(pairs, rows)
+    return Duplicates(candidates, similarity.group_members(pairs, rows), similarity.duplicate_counts(rows.select("file", "start_line"), candidates))
 
 
 def scrap(files: DataFrame) -> tuple[DataFrame, DataFrame]:

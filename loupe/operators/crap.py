@@ -25,6 +25,16 @@ def problems(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("crap") > threshold).withColumn("rule", F.lit("crap"))
 
 
+def gate(scored: DataFrame, threshold: float, gaps: DataFrame) -> DataFrame:
+    """Findings (rule, place, detail, crap) of a threshold: first each root that wasn't measured, as nothing can be said of it, then the units above the threshold, worst first.
+
+    scored: file, start_line, namespace, name, complexity, crap, ord.  gaps: dir, language, why; equal ones are one.
+    """
+    missing = gaps.select("dir", "language", "why").distinct().select(F.lit("coverage").alias("rule"), F.struct(F.lit(0).alias("turn"), F.lit(0.0).alias("a"), F.lit(0).alias("b"), F.col("dir").alias("c"), F.col("language").alias("d"), F.lit(0).cast("bigint").alias("e")).alias("order"), F.col("dir").alias("place"), F.concat_ws(": ", "language", "why").alias("detail"), F.lit(None).cast("double").alias("crap"))
+    above = problems(scored, threshold).select(F.lit("crap").alias("rule"), F.struct(F.lit(1).alias("turn"), (-F.col("crap")).alias("a"), (-F.col("complexity")).cast("int").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"), F.col("ord").cast("bigint").alias("e")).alias("order"), F.concat_ws(":", "file", "start_line").alias("place"), F.concat_ws("#", "namespace", "name").alias("detail"), "crap")
+    return missing.unionByName(above).orderBy("order", "place").drop("order")
+
+
 def measured_languages(units: DataFrame) -> DataFrame:
     """Languages with any measured unit; in them an unreported file has share 0, elsewhere it is unmeasured."""
     return units.where("coverage IS NOT NULL").select("language").distinct()

@@ -11,6 +11,24 @@ from loupe.operators.history import NOTICED, RERUNS, pair_by_hash
 BROAD = ("all", "shell", "suite")
 
 
+def on_sites(entries: DataFrame, mutants: DataFrame, functions: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recorded entries and mutants as far as the code still has them: mutants without a site now leave, and the counts lose theirs.
+
+    entries: unit, hash, sites, killed, survived, uncovered.  mutants: unit, key, outcome, flaky, line, column.  functions: unit, hash, as they are
+    now.  sites: unit, key, line, column.  Only entries of the function's hash now are changed, others are stale anyway; their mutants get the
+    place of their site now.  Flaky mutants count as a site and as nothing else.  Of equal keys in a unit the last place counts.
+    """
+    held = entries.select("unit", "hash").join(functions.select("unit", "hash").distinct(), ["unit", "hash"]).select("unit", F.lit(True).alias("held"))
+    places = sites.groupBy("unit", "key").agg(F.max(F.struct("line", "column")).alias("at"))
+    rows = mutants.join(held, "unit", "left").join(places, ["unit", "key"], "left")
+    gone = F.coalesce("held", F.lit(False)) & F.col("at").isNull()
+    judged = F.when(~F.coalesce("flaky", F.lit(False)), F.when(F.col("outcome").isin(*NOTICED), "killed").when(F.col("outcome").isin("survived", "uncovered"), F.col("outcome")))
+    lost = rows.where(gone).groupBy("unit").agg(F.count("*").alias("lost_sites"), *(F.count_if(judged == c).alias(f"lost_{c}") for c in ("killed", "survived", "uncovered")))
+    counts = {c: F.col(c) - F.coalesce(f"lost_{c}", F.lit(0)) for c in ("sites", "killed", "survived", "uncovered")}
+    moved = {c: F.when(F.col("held"), F.col(f"at.{c}")).otherwise(F.col(c)) for c in ("line", "column")}
+    return entries.join(lost, "unit", "left").withColumns(counts).select(*entries.columns), rows.where(~gone).withColumns(moved).select(*mutants.columns)
+
+
 def apply_site(source: Column, start: Column, original: Column, replacement: Column) -> Column:
     """Source bytes with the site's text replaced; start counts bytes from 0."""
     return F.overlay(source, replacement.cast("binary"), start + 1, F.octet_length(original))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.functions import paths, scores
-from loupe.operators import coverage, crap, graph, history, selection, similarity, testshape
+from loupe.operators import coverage, crap, graph, history, mutation, selection, similarity, testshape
 from loupe.operators.tables import cut
 from loupe.sources import reports
 from loupe.streaming import live
@@ -66,6 +66,14 @@ def q_threshold_problems(spark, d):
     return crap.problems(crap.score(_units(spark, d)), 30).select("rule", "ord", "crap")
 
 
+@query(f"""WITH {UNITS} SELECT 'crap' AS rule, 'p' || ord || ':' || (ord % 50) AS place, 'part#' || name AS detail, crap FROM scored WHERE crap > 6
+  UNION ALL SELECT DISTINCT 'coverage', n_name, r_name || ': not measured', CAST(NULL AS DOUBLE) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 1""")
+def q_crap_gate(spark, d):
+    scored = crap.score(_units(spark, d)).select("ord", "name", "complexity", "crap", F.concat(F.lit("p"), "ord").alias("file"), (F.col("ord") % 50).alias("start_line"), F.lit("part").alias("namespace"))
+    roots = table(spark, d, "nation").where("n_nationkey % 4 = 1").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return crap.gate(scored, 6.0, roots.select(F.col("n_name").alias("dir"), F.col("r_name").alias("language"), F.lit("not measured").alias("why")))
+
+
 @query(f"WITH {UNITS} SELECT band, count(*) AS functions, max(crap) AS worst FROM banded GROUP BY band")
 def q_bands(spark, d):
     return crap.score(_units(spark, d)).groupBy("band").agg(F.count("*").alias("functions"), F.max("crap").alias("worst"))
@@ -473,6 +481,26 @@ def q_sites_unrecorded(spark, d):
 OUTCOME = "CASE event_id % 5 WHEN 0 THEN 'killed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'survived' WHEN 3 THEN 'uncovered' ELSE 'skipped' END"
 
 
+@query("""WITH m AS (SELECT l_orderkey AS unit, l_linenumber AS key, CASE l_returnflag WHEN 'R' THEN 'killed' WHEN 'A' THEN 'survived' ELSE 'uncovered' END AS outcome, l_suppkey % 10 = 0 AS flaky, l_linenumber AS line FROM lineitem),
+  s AS (SELECT l_orderkey AS unit, l_linenumber AS key, max(1000 + l_partkey) AS line FROM lineitem WHERE l_discount > 0.03 GROUP BY ALL), h AS (SELECT o_orderkey AS unit, o_custkey % 4 > 0 AS held FROM orders),
+  k AS (SELECT m.*, h.held, s.line AS site_line, NOT held OR s.key IS NOT NULL AS kept FROM m JOIN h USING (unit) LEFT JOIN s USING (unit, key))
+  SELECT unit, count(key) FILTER (kept) AS sites, count(key) FILTER (kept AND NOT flaky AND outcome = 'killed') AS killed, count(key) FILTER (kept AND NOT flaky AND outcome = 'survived') AS survived, count(key) FILTER (kept AND NOT flaky AND outcome = 'uncovered') AS uncovered,
+    count(key) FILTER (kept) AS mutants, CAST(coalesce(sum(CASE WHEN held THEN site_line ELSE line END) FILTER (kept), 0) AS BIGINT) AS lines FROM k GROUP BY unit""")
+def q_on_sites(spark, d):
+    """Lines as recorded mutants of their orders, those with a larger discount as sites that are still there; of every fourth customer the code changed."""
+    outcome = F.when(F.col("l_returnflag") == "R", "killed").when(F.col("l_returnflag") == "A", "survived").otherwise("uncovered")
+    line = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "unit", "l_linenumber": "key"})
+    mutants = line.select("unit", "key", outcome.alias("outcome"), (F.col("l_suppkey") % 10 == 0).alias("flaky"), F.col("key").cast("bigint").alias("line"), F.lit(0).alias("column"))
+    sure = lambda o: F.count_if((F.col("outcome") == o) & ~F.col("flaky")).alias(o)
+    entries = mutants.groupBy("unit").agg(F.lit("h1").alias("hash"), F.count("*").alias("sites"), *map(sure, ("killed", "survived", "uncovered")))
+    functions = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"), F.when(F.col("o_custkey") % 4 > 0, "h1").otherwise("h2").alias("hash"))
+    sites = line.where("l_discount > 0.03").select("unit", "key", (1000 + F.col("l_partkey")).alias("line"), F.lit(0).alias("column"))
+    counted, kept = mutation.on_sites(entries, mutants, functions, sites)
+    lines = kept.groupBy("unit").agg(F.count("*").alias("mutants"), F.sum("line").alias("lines"))
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("mutants", "lines")}
+    return counted.drop("hash").join(lines, "unit", "left").withColumns(zero)
+
+
 @query(f"WITH m AS (SELECT user_id AS unit, {OUTCOME} AS o FROM events) SELECT unit, count(*) FILTER (o IN ('killed', 'timeout', 'over-limit')) AS killed, count(*) FILTER (o = 'survived') AS survived, count(*) FILTER (o = 'uncovered') AS uncovered, count(*) FILTER (o <> 'skipped') AS sites FROM m GROUP BY unit")
 def q_snapshot_tallies(spark, d):
     return history.tallies(table(spark, d, "events").select(F.col("user_id").alias("unit"), F.expr(OUTCOME).alias("outcome")))

@@ -151,6 +151,11 @@ def test_units_and_dry(spark):
     got = commands.units(source).where("file = 'src/box.py'").collect()
     assert [(r["namespace"], r["name"], r["kind"], r["complexity"]) for r in got] == [("Box", "add", "method", 4), ("Box", "put", "method", 4), ("", "lone", "function", 1)]
     assert [tuple(r) for r in commands.dry(source, nodes=5).collect()] == [(1.0, "src/box.py", 3, "src/box.py", 10)]
+    names = lambda *x: spark.createDataFrame([(f,) for f in x], "path string")
+    found = commands.duplicates(source, names("src/box.py"), nodes=5)
+    assert found.candidates.count() == 1 and [tuple(r) for r in found.groups.select("size", "file", "start_line").collect()] == [(2, "src/box.py", 3), (2, "src/box.py", 10)]
+    assert sorted((r["start_line"], r["duplicates"]) for r in found.counts.where("duplicates > 0").collect()) == [(3, 1), (10, 1)]
+    assert commands.duplicates(source, names("src/other.py"), nodes=5).candidates.count() == 0
 
 
 def test_crap(spark):
@@ -159,6 +164,11 @@ def test_crap(spark):
     segments = spark.createDataFrame([("src/box.py", False, "", i, n, n, 1.0, c, c > 0, 1) for i, (n, c) in enumerate([(4, 1.0), (5, 1.0), (11, 0.0), (12, 0.0)])], "file string, is_branch boolean, key string, ord int, start int, end int, total double, covered double, ran boolean, from_mask int")
     got = commands.crap(source, segments)
     assert [(r["name"], r["coverage"], r["crap"]) for r in got.collect()] == [("put", 0.0, 20.0), ("add", 1.0, 4.0), ("bare", 0.0, 2.0), ("lone", None, None)]
+    assert [r["name"] for r in commands.crap(source, segments, spark.createDataFrame([("src/bare.py",)], "path string")).collect()] == ["bare"]
+    gaps = spark.createDataFrame([("pkg", "go", "no tests"), ("pkg", "go", "no tests")], "dir string, language string, why string")
+    found = crap_.gate(got, 3.0, gaps).collect()
+    assert [(r["rule"], r["place"], r["detail"], r["crap"]) for r in found] == [("coverage", "pkg", "go: no tests", None), ("crap", "src/box.py:10", "Box#put", 20.0), ("crap", "src/box.py:3", "Box#add", 4.0)]
+    assert commands.exit_code(crap_.gate(got, 50.0, gaps)) == 1 and commands.exit_code(crap_.gate(got, 50.0, gaps.limit(0))) == 0
     assert commands.exit_code(crap_.problems(got, 19.0)) == 1 and commands.exit_code(crap_.problems(got, 20.0)) == 0
 
 
