@@ -182,7 +182,7 @@ def test_scrap(spark):
 
 def test_empty(spark):
     none = files(spark, src__a="").where("false")
-    for made in (commands.units(none), commands.crap(none), commands.dry(none), *commands.scrap(none), commands.routes(none), commands.modules(none)):
+    for made in (commands.units(none), commands.crap(none), commands.dry(none), *commands.scrap(none), commands.routes(none), commands.modules(none), *commands.duplicates(none), commands.module_graph(none, "r").edges):
         assert made.count() == 0
 
 
