@@ -58,11 +58,14 @@ def renew_exceptions(stale: DataFrame, sites: DataFrame) -> DataFrame:
     otherwise; without: the one at its place, else the only one.  state: renewed, ambiguous or gone.
     """
     bare = lambda c: F.regexp_replace(c, r"\s", "")
-    near = stale.alias("e").join(sites.alias("s"), ["file", "function", "change"], "left")
-    fits = F.col("s.line").isNotNull() & (F.col("e.line_text").isNull() | (bare(F.col("e.line_text")) == bare(F.col("s.text"))))
-    placed = fits & (F.col("s.line") == F.col("e.line")) & (F.col("s.column") == F.col("e.column"))
-    spot = F.struct(F.col("s.line").alias("line"), F.col("s.column").alias("column"))
-    sums = near.groupBy("id").agg(F.count_if(fits).alias("n"), F.count_if(placed).alias("here"), F.min(F.when(fits, spot)).alias("only"), F.min(F.when(placed, spot)).alias("place"))
+    # sites are summed by text and place, and once more under no text, so that no exception meets each site of its change
+    change, place = ["file", "function", "change"], ["at_line", "at_column"]
+    known = sites.where("line IS NOT NULL").select(*change, F.explode(F.array(F.lit("-"), F.concat(F.lit("="), bare(F.col("text"))))).alias("look"), F.col("line").alias("at_line"), F.col("column").alias("at_column")).where("look IS NOT NULL")
+    spots = known.groupBy(*change, "look", *place).agg(F.count("*").alias("here"))
+    spot = F.struct(F.col("at_line").alias("line"), F.col("at_column").alias("column"))
+    texts = spots.groupBy(*change, "look").agg(F.sum("here").alias("n"), F.min(spot).alias("only"))
+    asked = stale.select("id", *change, F.coalesce(F.concat(F.lit("="), bare(F.col("line_text"))), F.lit("-")).alias("look"), F.col("line").alias("at_line"), F.col("column").alias("at_column"))
+    sums = asked.join(texts, [*change, "look"], "left").join(spots.withColumn("place", spot), [*change, "look", *place], "left")
     target = F.when(F.col("here") == 1, F.col("place")).when(F.col("n") == 1, F.col("only"))
     return sums.select("id", F.when(target.isNotNull(), "renewed").when(F.col("n") > 1, "ambiguous").otherwise("gone").alias("state"), target["line"].alias("line"), target["column"].alias("column"))
 

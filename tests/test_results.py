@@ -1,6 +1,7 @@
 """Evidence, exceptions and listed tests: every outcome occurs, and awkward rows have the results that are stated."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loupe.operators import evidence, exceptions, listed
 from loupe.plans import catalogue
@@ -93,3 +94,31 @@ def test_merged_reports(spark):
     assert there["x"] == ["a0", "a1", "b0"] and back["x"] == ["b0", "a0", "a1"]
     assert (there["tests"], back["tests"]) == ([("t1",)], [("t2",)]) and (there["unloaded"], back["unloaded"]) == ([("u", "w2")], [("u", "w1")])
     assert all(there[n] == back[n] for n in ("languages", "proven")) and there["languages"] == [("dart",), ("go",)] and there["proven"] == [("x",)]
+
+
+def most_rows(df):
+    """The largest number of rows that a step of the query made."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in name:
+            return walk(plan.plan())
+        made, children = plan.metrics().get("numOutputRows"), plan.children()
+        return max([made.get().value() if made.isDefined() else 0, *(walk(children.apply(i)) for i in range(children.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_no_exception_meets_each_site_or_survivor(spark):
+    n = 400
+    units = spark.createDataFrame([("f", 1, "x", 10, "h", "g")], "file string, unit int, function string, start_line int, hash string, prev_hash string")
+    ids = spark.range(n).selectExpr("cast(id AS int) AS i")
+    sites = ids.selectExpr("'f' AS file", "1 AS unit", "i AS site", "10 + i % 20 AS line", "i % 3 AS column", "'a' AS original", "'b' AS replacement", "concat('t ', i % 7) AS text")
+    entries = ids.selectExpr("i AS id", "'f' AS file", "'x' AS function", "if(i % 2 = 0, 'h', 'o') AS hash", "i % 25 + 1 AS line_in_function", "i % 4 AS column", "'a' AS original", "'b' AS replacement", "if(i % 3 = 0, NULL, concat('t', i % 9)) AS line_text")
+    survivors = ids.selectExpr("i AS survivor", "'f' AS file", "'x' AS function", "i % 25 + 1 AS line_in_function", "i % 5 AS column", "'a' AS original", "'b' AS replacement")
+    assert most_rows(exceptions.locate(entries, units, sites)) <= 2 * n
+    assert most_rows(exceptions.held_reasons(exceptions.locate(entries, units, sites).withColumn("reason", F.col("hash")))) <= 2 * n
+    assert most_rows(exceptions.repointed(survivors, entries, units, sites)) <= 2 * n
