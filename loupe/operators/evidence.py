@@ -22,6 +22,25 @@ def line_evidence(units: DataFrame, lines: DataFrame, files: DataFrame) -> DataF
     start on.  In Kotlin body_line is the first statement's; a function without one has nothing to prove, so its
     evidence is complete.  In a file that isn't proven there are no blocks, and the evidence isn't complete.
     """
+    known, own = _own_lines(units, lines, files)
+    own = own.select("file", "unit", "line", F.lit(None).cast("int").alias("column"), F.col("line").cast("string").alias("span"), F.lit(1).alias("weight"), "covered")
+    counted = own.groupBy("file", "unit").agg(_blocks().alias("blocks"))
+    return known.join(counted, ["file", "unit"], "left").select(*units.columns, F.coalesce("blocks", F.array().cast(counted.schema["blocks"].dataType)).alias("blocks"), (F.col("proven") | F.col("bare")).alias("complete"))
+
+
+def line_sums(units: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
+    """units with complete and what `line_evidence` comes to: n_blocks, n_covered and places (the sum of their lines).
+
+    Lines are summed as rows, so a function may have any number of them; blocks in a cell are one task's.
+    """
+    known, own = _own_lines(units, lines, files)
+    counted = own.groupBy("file", "unit").agg(F.count("*").alias("n_blocks"), F.count_if("covered").alias("n_covered"), F.sum("line").cast("bigint").alias("places"))
+    sums = (F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_blocks", "n_covered", "places"))
+    return known.join(counted, ["file", "unit"], "left").select(*units.columns, (F.col("proven") | F.col("bare")).alias("complete"), *sums)
+
+
+def _own_lines(units: DataFrame, lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """units with proven and bare, and the lines (file, unit, line, covered) that are theirs, of those that are proven and not bare."""
     bare = (F.col("language") == "kotlin") & F.col("body_line").isNull()
     first = F.when(F.coalesce("body_line", F.lit(0)) > 0, F.col("body_line")).otherwise(F.col("start_line"))
     known = units.join(files.where("proven").select("file").distinct().withColumn("proven", F.lit(True)), "file", "left")
@@ -30,9 +49,7 @@ def line_evidence(units: DataFrame, lines: DataFrame, files: DataFrame) -> DataF
     spans = known.select("file", F.col("taken").alias("low"), F.col("end_line").alias("high"), "unit", "first")
     inside = innermost(lines, spans, at="line").where("line >= first").select("file", "unit", "line", "covered")
     start = lines.join(known.where("first < taken").select("file", "unit", F.col("first").alias("line")), ["file", "line"]).select("file", "unit", "line", "covered")
-    own = inside.unionByName(start).select("file", "unit", "line", F.lit(None).cast("int").alias("column"), F.col("line").cast("string").alias("span"), F.lit(1).alias("weight"), "covered")
-    counted = known.where("proven AND NOT bare").select("file", "unit").join(own, ["file", "unit"]).groupBy("file", "unit").agg(_blocks().alias("blocks"))
-    return known.join(counted, ["file", "unit"], "left").select(*units.columns, F.coalesce("blocks", F.array().cast(counted.schema["blocks"].dataType)).alias("blocks"), (F.col("proven") | F.col("bare")).alias("complete"))
+    return known, known.where("proven AND NOT bare").select("file", "unit").join(inside.unionByName(start), ["file", "unit"])
 
 
 def block_evidence(units: DataFrame, blocks: DataFrame) -> DataFrame:

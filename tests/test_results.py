@@ -122,3 +122,12 @@ def test_no_exception_meets_each_site_or_survivor(spark):
     assert most_rows(exceptions.locate(entries, units, sites)) <= 2 * n
     assert most_rows(exceptions.held_reasons(exceptions.locate(entries, units, sites).withColumn("reason", F.col("hash")))) <= 2 * n
     assert most_rows(exceptions.repointed(survivors, entries, units, sites)) <= 2 * n
+
+
+def test_line_evidence_is_summed_as_rows(spark):
+    units = spark.createDataFrame([("f", "a", "go", 1, 2, 30), ("f", "b", "go", 5, 5, 9), ("f", "k", "kotlin", 12, None, 14), ("g", "c", "go", 1, 2, 9)], "file string, unit string, language string, start_line int, body_line int, end_line int")
+    lines = spark.range(1, 41).selectExpr("if(id % 10 = 0, 'g', 'f') AS file", "cast(id AS int) AS line", "id % 3 = 0 AS covered")
+    files = spark.createDataFrame([("f", True), ("g", False)], "file string, proven boolean")
+    want = {r["unit"]: (r["complete"], len(r["blocks"]), sum(b["covered"] for b in r["blocks"]), sum(b["line"] for b in r["blocks"])) for r in evidence.line_evidence(units, lines, files).collect()}
+    assert {r["unit"]: (r["complete"], r["n_blocks"], r["n_covered"], r["places"]) for r in evidence.line_sums(units, lines, files).collect()} == want
+    assert "collect_list" not in catalogue.QUERIES["q_line_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
