@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only when its counted rows, at their width, stay under this.
+BROADCAST_BYTES = 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within BROADCAST_BYTES; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 @functools.cache
 def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tables-")

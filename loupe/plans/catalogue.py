@@ -198,7 +198,8 @@ def q_overlap(spark, d):
 
 def _word_sets(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"), words.alias("tokens")).where("size(tokens) >= 20")
+    # a generator of one row keeps the filter from splitting each text again
+    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"), F.explode(F.array(words)).alias("tokens")).where("size(tokens) >= 20")
 
 
 WORDS = r"""sets AS (SELECT id, part, tokens, len(tokens) AS n FROM (SELECT doc_id AS id, lang AS part, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS tokens FROM documents WHERE text IS NOT NULL) WHERE len(tokens) >= 20),
@@ -221,8 +222,8 @@ def q_dry_focus(spark, d):
   roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
   SELECT root, (SELECT count(*) FROM roots r WHERE r.root = g.root) AS size, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM (SELECT root, score FROM pairs JOIN roots ON a = id) g GROUP BY root""")
 def q_dry_groups(spark, d):
-    pairs = similarity.similar_pairs(_word_sets(spark, d), 0.82)
-    return similarity.groups(pairs).select("root", "size", F.round("min_score", 6).alias("min_score"), F.round("max_score", 6).alias("max_score"))
+    links = similarity.with_copies(*similarity.similar_classes(_word_sets(spark, d), 0.82))
+    return similarity.groups(links).select("root", "size", F.round("min_score", 6).alias("min_score"), F.round("max_score", 6).alias("max_score"))
 
 
 @query("SELECT * FROM (VALUES ('both', 1.0::DOUBLE), ('one', 0.0::DOUBLE), ('half', round(1 / 3, 6)::DOUBLE)) AS t(kind, score)")

@@ -68,6 +68,32 @@ def test_similar_pairs_equal_brute_force(spark):
         assert rows(similarity.similar_pairs(df, t), "a", "b") == want
 
 
+def test_classes_stand_for_their_copies(spark):
+    r = random.Random(5)
+    base = [(i, "ab"[i % 2], sorted({r.randint(0, 40) for _ in range(r.randint(1, 25))})) for i in range(120)]
+    near = [(200 + i, p, sorted({*t, 41 + i % 3})) for i, p, t in base[:60]]
+    copies = [(400 + 60 * k + i, p, t) for k in range(3) for i, p, t in (base + near)[60:120]]
+    sets = base + near + copies + [(900, "a", []), (901, "a", None), (902, None, [1])]
+    df = spark.createDataFrame(sets, "id int, part string, tokens array<int>")
+    like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    for t in (0.05, 0.5, 0.82, 1.0):
+        want = {(x[0], y[0]): like(x[2], y[2]) for x in sets for y in sets if x[2] and y[2] and x[0] < y[0] and x[1] == y[1] and like(x[2], y[2]) >= t}
+        assert {(x["a"], x["b"]): x["score"] for x in similarity.similar_pairs(df, t).collect()} == pytest.approx(want)
+        some = similarity.similar_pairs(df, t, df.where("id % 9 = 0")).collect()
+        assert sorted((x["a"], x["b"]) for x in some) == sorted(p for p in want if p[0] % 9 == 0 or p[1] % 9 == 0)
+        pairs, members = similarity.similar_classes(df, t)
+        reps = {x["id"]: x["rep"] for x in members.collect()}
+        assert reps == {x[0]: min(y[0] for y in sets if y[2] == x[2] and y[1] == x[1]) for x in sets if x[1] and x[2]}
+        assert {(x["a"], x["b"]) for x in pairs.collect()} == {p for p in want if reps[p[0]] == p[0] and reps[p[1]] == p[1] and want[p] < 1}
+
+
+def test_groups_of_many_copies_make_no_pairs(spark):
+    copies = spark.range(3_000).selectExpr("id", "'p' AS part", "array('x', 'y', concat('z', id div 2999)) AS tokens")
+    links = similarity.with_copies(*similarity.similar_classes(copies, 0.5))
+    assert links.count() == 2_999
+    assert rows(similarity.groups(links), "root", "size", "min_score", "max_score") == [(0, 3_000, 0.5, 1.0)]
+
+
 def test_groups_and_focus(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 1.0), (5, 6, 0.95)], "a int, b int, score double")
     assert rows(similarity.groups(pairs), "root", "size", "min_score", "max_score") == [(1, 3, 0.9, 1.0), (5, 2, 0.95, 0.95)]
