@@ -9,10 +9,10 @@ those whose home it is, on all 64 bits.  An anchor gives a spanning forest of it
 links themselves, so groups of near copies don't grow quadratically on the way out.
 
 `near_copies` finds documents by their similarity instead: Jaccard >= 0.8 of five-word shingles.  It is an
-exact prefix-filtered join: in one order of all shingles, those rare in a sample first, two texts that
+exact prefix-filtered join: in one order of all shingles, those of rare ranges first, two texts that
 similar share a shingle among the first fifth of each, and enough places are left after the first that
-they share.  Texts that share a shingle there are its members.  The sample only orders shingles; it never
-decides whether a pair is looked at.  Postings travel to owners of shingle ranges in compressed blocks, and
+they share.  Texts that share a shingle there are its members.  Ranges of hashes are counted over all
+texts; the counts only order shingles and never decide whether a pair is looked at.  Postings travel to owners of shingle ranges in compressed blocks, and
 those of shingles that no other text has end there.  Pairs of a shingle with few members are all checked.
 Of a larger one, some members represent it in a round: they are checked with all others, what is linked is
 contracted, and the next round takes more representatives, for shingles with members in two
@@ -35,15 +35,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BROADCAST_BYTES, enter, expected, row_digest, small_side, trim, without, written
+from llm.common import BROADCAST_BYTES, bounded_batches, enter, row_digest, small_side, trim, without, written
 from llm.components import components
 
 SEED = 42
 LIMIT = 3
 #: Similarity search: the measure and the words of its shingles.
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
-#: Rows of the sample that orders shingles by rarity, and shingles known from it: those found most often, REPEATED times at least.
-ORDER_ROWS, COMMON, REPEATED = 10_000, 1 << 16, 3
+#: Ranges of hashes in which all texts' shingles are counted to order them by rarity, and pieces in which the counts travel.
+RANGES, CHUNKS = 1 << 20, 16
 #: Members of a shingle up to which its pairs are handed on at once, and of a larger one how many represent it in the first round; each further round takes GROWTH times as many.
 SMALL_GROUP, FIRST, GROWTH = 8, 4, 16
 #: Postings that a task sends at a time, that a task of owners is meant to get, and members of a shingle beyond which an owner doesn't hold them.
@@ -243,40 +243,49 @@ def profile(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount(ranges, minlength=PROFILE), 255).astype(np.uint8).tobytes()
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, texts that hold them) of those found most often in a sample of about ORDER_ROWS texts; COMMON at most."""
+def range_ranks(times: np.ndarray) -> np.ndarray:
+    """Two bytes for each count, in the counts' order; large counts that are nearly equal may share a rank."""
+    return np.minimum(np.log2(1.0 + times) * 2047, 65535).astype(np.uint16)
 
-    def run(batches):
+
+def shingle_order(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """For each of RANGES ranges of shingle hashes a rank by how many (text, distinct shingle) fall into it, counted over all texts."""
+
+    def count(batches):
         import pyarrow as pa
 
-        held = [distinct_shingles(t, k) for batch in batches for t in batch["text"].to_pylist()]
-        found, times = np.unique(np.concatenate([np.zeros(0, "<u8"), *held]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["token", "n"])
+        times = np.zeros(RANGES, "<u4")
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(times, _range(distinct_shingles(t.as_py(), k)), 1)
+        parts = times.reshape(CHUNKS, -1)
+        # counts by their first bytes, second ones and so on: shuffles compress them better
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts], pa.binary())], names=["chunk", "times"])
         trim()
 
-    rows = expected(docs, ORDER_ROWS, docs.count(), "order", id_col, text_col).select(F.col(text_col).alias("text"))
-    counts = written(rows.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= REPEATED), "simhash-order")
-    least, total = REPEATED, 0
-    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("tokens")).collect(), reverse=True):
-        total += row["tokens"]
-        if total > COMMON:
-            least = row["n"] + 1
-            break
-    table = counts.where(F.col("n") >= least).toPandas()
-    tokens, n = table["token"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
-
-
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """Those shingles, rare ones first, of which a text that similar has one at least."""
-    known, times = common
+    def add(batches):
+        import pyarrow as pa
+
+        sums = {}
+        for batch in batches:
+            for chunk, data in zip(batch["chunk"].to_pylist(), batch["times"]):
+                times = np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                sums[chunk] = sums.get(chunk, 0) + times.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([range_ranks(x).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "ranks"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "chunk int, times binary")
+    rows = counted.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, ranks binary").collect()
+    return np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["ranks"], np.uint16) for r in sorted(rows, key=lambda r: r["chunk"]))]) if rows else np.zeros(RANGES, np.uint16)
+
+
+def _range(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(RANGES - 1)).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
+    """Those shingles, of rare ranges first, of which a text that similar has one at least."""
     n = len(shingles)
-    rank = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        rank = np.where(known[at] == shingles, times[at], 0)
-    return shingles[np.argsort(rank, kind="stable")][: max(0, n - int(np.ceil(similarity * n - 1e-6)) + 1) if n else 0]
+    return shingles[np.argsort(order[_range(shingles)], kind="stable")][: max(0, n - int(np.ceil(similarity * n - 1e-6)) + 1) if n else 0]
 
 
 #: Bytes of a posting on the way to its owner: shingle, node, number of shingles of the node's text, place.
@@ -529,7 +538,8 @@ def _components(rows: DataFrame, limit: int) -> DataFrame:
 def _components_by_similarity(docs: DataFrame, id_col: str, text_col: str, k: int, limit: int, similarity: float) -> DataFrame:
     """(id, digest, fp, component_id) of every row, by fingerprint links and links by similarity together."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, SHINGLE_WORDS))
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, text_col, SHINGLE_WORDS))
 
     def run(batches):
         import pyarrow as pa

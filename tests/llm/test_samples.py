@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from llm import language_id
+from llm import language_id, simhash
 from llm.common import expected
 
 
@@ -33,3 +34,17 @@ def test_three_hundred_languages(spark):
         language_id.fit(df)
     langs, matrix = language_id.fit(df, most_languages=300)
     assert len(langs) == 300 and matrix.shape == (language_id.BUCKETS + 1, 300)
+
+
+def test_shingles_are_ordered_by_counts_of_all_texts(spark):
+    texts = [f"one two three four five w{i} w{i % 7}" for i in range(12_000)] + [None, "", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    times = np.zeros(simhash.RANGES, np.int64)
+    for t in texts:
+        np.add.at(times, (simhash.distinct_shingles(t, 5) & np.uint64(simhash.RANGES - 1)).astype(int), 1)
+    got = simhash.shingle_order(docs, "text", 5)
+    assert times.max() >= 12_000 and (got == simhash.range_ranks(times)).all()
+    assert len(simhash.shingle_order(docs.limit(0), "text", 5)) == simhash.RANGES
+    shared = simhash.distinct_shingles("one two three four five", 5)[0]
+    # a shingle that every text has comes last in its order
+    assert shared not in simhash.prefix(simhash.distinct_shingles(texts[5], 5), got, 0.8)
